@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup
+from . import decontaminate, mixing, near_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,5 +15,20 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
-QUERIES = {"op1_near_dedup": op1_near_dedup}
-SQL: dict[str, str] = {}
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+    return found.drop("hit_spans")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_read(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_near_dedup": op1_near_dedup,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_mixing": op8_mixing,
+}
+SQL: dict[str, str] = {
+    "op8_mixing": mixing.SQL,
+}
