@@ -1,0 +1,134 @@
+"""Secret scans: patterns, and sliding-window entropy of candidate strings; built-in functions only.
+
+Candidate strings are runs of key characters.  A window of ``WINDOW`` characters slides over each;
+its Shannon entropy is kept up to date by the counts of the character that enters and the one that
+leaves.  A string whose entropy reaches the limit of its character class at some window is a
+secret from the first such window to the last, unless the allow-list knows it.  The work on a row
+needs no other row, so there is no shuffle.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+#: The pattern of each kind, in the order in which kinds are listed.
+ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+ACCESS = r"AKIA[A-Z0-9]{16,}"
+HEX = r"[0-9a-f]{24,}"
+KINDS = ("assign", "access", "hex", "entropy")
+LEAST_VALUE = 6
+
+#: Candidate strings of the entropy scan; each needs a digit and a letter.
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+WINDOW = 20
+#: Bits per character from which a window of each character class counts as random.
+LIMITS = ((r"^[0-9a-fA-F]+$", 3.2), (r"^[A-Z0-9]+$", 3.6), (r"", 3.8))
+#: Candidates that are known to be harmless: uuids, documented sample keys, alphabets, paths and markup.
+ALLOWED = r"(?i)^[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}$|example|sample|placeholder|x{6}|0123456789|123456789|abcdefgh|qwerty|//|^/|/.*/.*/|--|__|=="
+
+
+def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
+    """array<struct<start, kind, end, value>> of a pattern's matches, by code points.
+
+    The pieces between the matches and the matches themselves give the positions.
+    """
+    gaps = F.split(text, pattern, -1)
+    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.regexp_extract_all(text, F.lit(pattern), group).alias("v"), gaps.alias("g"))
+    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["g"])
+        end = start + F.length(x["m"])
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    return F.when(text.rlike(pattern), F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), first, add, lambda acc: acc["out"])).otherwise(empty)
+
+
+def _term(count: Column) -> Column:
+    """c * log2 c, 0 for c = 0."""
+    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
+
+
+def _count(part: Column, char: Column) -> Column:
+    return F.length(part) - F.length(F.replace(part, char, F.lit("")))
+
+
+def _random_part(value: Column, limit: Column) -> Column:
+    """struct<a, b>: from the first to the last window of ``value`` whose entropy reaches ``limit``; a null if none."""
+
+    def slide(acc: Column, j: Column) -> Column:
+        since = F.greatest(j - WINDOW, F.lit(0))
+        leaving, entering = F.substring(value, since + 1, F.lit(1)), F.substring(value, j + 1, F.lit(1))
+        window = F.substring(value, since + 1, j - since)
+        out = _count(window, leaving)
+        middle = F.when(j >= WINDOW, F.substring(value, since + 2, j - since - 1)).otherwise(window)
+        into = _count(middle, entering)
+        total = acc["total"] + F.when(j >= WINDOW, _term(out - 1) - _term(out)).otherwise(F.lit(0.0)) + _term(into + 1) - _term(into)
+        entropy = F.log2(F.lit(float(WINDOW))) - total / WINDOW
+        hit = (j >= WINDOW - 1) & (entropy >= limit - 1e-9)
+        return F.struct(
+            total.alias("total"),
+            F.when(hit & acc["a"].isNull(), j - (WINDOW - 1)).otherwise(acc["a"]).alias("a"),
+            F.when(hit, j + 1).otherwise(acc["b"]).alias("b"),
+        )
+
+    none = F.lit(None).cast("int")
+    zero = F.struct(F.lit(0.0).alias("total"), none.alias("a"), none.alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, slide, lambda acc: F.struct(acc["a"], acc["b"]))
+
+
+def _entropy_spans(text: Column, base: Column) -> Column:
+    limit = lambda v: F.coalesce(*[F.when(v.rlike(p), F.lit(x)) for p, x in LIMITS])
+    plausible = lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~s["value"].rlike(ALLOWED)
+    apart = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+    candidates = F.filter(F.filter(_spans(text, CANDIDATE, 3), plausible), apart)
+    parts = F.transform(candidates, lambda s: F.struct(s["start"].alias("start"), _random_part(s["value"], limit(s["value"])).alias("p")))
+    return F.transform(
+        F.filter(parts, lambda s: s["p"]["a"].isNotNull()),
+        lambda s: F.struct((s["start"] + s["p"]["a"]).alias("start"), F.lit(3).alias("kind"), (s["start"] + s["p"]["b"]).alias("end"), F.lit("").alias("value")),
+    )
+
+
+def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
+    """``docs`` with arrays ``__base`` and ``__all`` of spans in order of start and kind."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    assign = F.filter(_spans(text, ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= LEAST_VALUE)
+    base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
+    out = docs.withColumn("__base", base)
+    return out.withColumn("__all", F.array_sort(F.concat("__base", _entropy_spans(text, F.col("__base")))))
+
+
+def _listed(spans: str) -> Column:
+    names = F.array(*[F.lit(k) for k in KINDS])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``.
+
+    Spans are ``kind:start:end`` in code points, the end exclusive.  An entropy span never touches a
+    base span.  A null text is empty and has no spans; equal rows get equal results.
+    """
+    found = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__all").alias("spans")
+    )
+
+
+def masked(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+    """``docs`` with each run of overlapping spans in the text replaced by ``mask``; null texts stay null."""
+    text = F.col(text_col)
+
+    def cut(acc: Column, s: Column) -> Column:
+        fresh = s["start"] >= acc["at"]
+        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
+
+    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    clean = F.when(F.size("__all") > 0, F.aggregate("__all", first, cut, rest)).otherwise(text)
+    return _scanned(docs, text_col).withColumn(text_col, clean).select(*docs.columns)
