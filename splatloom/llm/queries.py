@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, near_dedup, secrets
+from . import decontaminate, licences, line_quality, mixing, near_dedup, quality_model, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -15,6 +15,19 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_read(spark, sf_dir, "documents"), shingle=2)
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_read(spark, sf_dir, "documents"))
+
+
+def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality.quality(_read(spark, sf_dir, "documents"))
+
+
+def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return quality_model.grades(docs, quality_model.train(docs, quality_model.ratings_of(_read(spark, sf_dir, "labels"))))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("hit_spans")
@@ -30,10 +43,15 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
+    "op2_licences": op2_licences,
+    "op4_line_quality": op4_line_quality,
+    "op5_quality_model": op5_quality_model,
     "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
 }
 SQL: dict[str, str] = {
+    "op2_licences": licences.SQL,
+    "op4_line_quality": line_quality.SQL,
     "op8_mixing": mixing.SQL,
 }
