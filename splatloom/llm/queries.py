@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, licences, line_quality, mixing, near_dedup, quality_model, secrets
+from . import decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, secrets, token_counts
+from .session import shared_dir
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -19,6 +23,14 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_read(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    docs = _read(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out))
+    found = language_id.identify(docs, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op4_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.quality(_read(spark, sf_dir, "documents"))
 
@@ -28,6 +40,11 @@ def op5_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.grades(docs, quality_model.train(docs, quality_model.ratings_of(_read(spark, sf_dir, "labels"))))
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_extract.extract(pages, html_extract.train(pages))
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
     return found.drop("hit_spans")
@@ -41,14 +58,26 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_read(spark, sf_dir, "documents"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of inserts, committed twice: the second time changes nothing."""
+    ledger = token_counts.Ledger(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
+    changes = _read(spark, sf_dir, "documents").withColumn("op", F.lit("insert"))
+    ledger.commit("documents", changes)
+    ledger.commit("documents", changes)
+    return ledger.totals()
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_licences": op2_licences,
+    "op3_language_id": op3_language_id,
     "op4_line_quality": op4_line_quality,
     "op5_quality_model": op5_quality_model,
+    "op6_html_extract": op6_html_extract,
     "op7_decontaminate": op7_decontaminate,
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
+    "op10_token_counts": op10_token_counts,
 }
 SQL: dict[str, str] = {
     "op2_licences": licences.SQL,
