@@ -93,12 +93,16 @@ def lerp(a: tuple[Column, ...], b: tuple[Column, ...], t: Column) -> tuple[Colum
     return tuple(x + t * (y - x) for x, y in zip(a, b, strict=True))
 
 
-def slerp(a: Quaternion, b: Quaternion, t: Column) -> Quaternion:
-    """Spherical interpolation along the shorter arc; nearly equal rotations are interpolated linearly."""
+def slerp_shares(a: Quaternion, b: Quaternion, t: Column) -> tuple[Column, Column]:
+    """The shares of a and b in their spherical interpolation along the shorter arc; linear where they are nearly equal."""
     d = dot(a, b)
     flip = F.when(d < 0, F.lit(-1.0)).otherwise(F.lit(1.0))
     angle = F.acos(F.least(F.lit(1.0), F.abs(d)))
     near = F.abs(d) > 0.9995
-    u = F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle))
-    v = flip * F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle))
+    return F.when(near, 1 - t).otherwise(F.sin((1 - t) * angle) / F.sin(angle)), flip * F.when(near, t).otherwise(F.sin(t * angle) / F.sin(angle))
+
+
+def slerp(a: Quaternion, b: Quaternion, t: Column) -> Quaternion:
+    """Spherical interpolation.  For long inputs, select ``slerp_shares`` first: the shares are used many times."""
+    u, v = slerp_shares(a, b, t)
     return normalised(tuple(u * x + v * y for x, y in zip(a, b, strict=True)))
