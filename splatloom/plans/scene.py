@@ -27,7 +27,7 @@ def nearest_track(spark: SparkSession, folder: str) -> DataFrame:
 
 def points_in_boxes(spark: SparkSession, folder: str) -> DataFrame:
     rows = spatial.first_box(V.points(spark, folder), V.boxes(spark, folder))
-    return rows.select("point_id", *[r4(a).alias(a) for a in "xyz"], "box_id")
+    return rows.select("point_id", "x", "y", "z", "box_id")
 
 
 def knn_scale(spark: SparkSession, folder: str) -> DataFrame:
@@ -154,7 +154,7 @@ select query_id, track_id, case when gap <= 3600000000 then key end as key_id, c
     "points_in_boxes": """with p as (select distinct (l_orderkey*8 + l_linenumber)::bigint as point_id, l_quantity/10 as x, l_discount*50 as y, l_extendedprice/20000 as z from lineitem),
   b as (select p_partkey::bigint as box_id, p_size/10::double as bx, (p_partkey % 6)::double as b_y, p_retailprice/500 as bz from part),
   m as (select point_id, x, y, z, min(box_id) as box_id from p join b on abs(x - bx) <= 0.15::double and abs(y - b_y) <= 0.15::double and abs(z - bz) <= 0.15::double group by all)
-select p.point_id, round(p.x, 4) + 0 as x, round(p.y, 4) + 0 as y, round(p.z, 4) + 0 as z, box_id from p left join m on p.point_id = m.point_id and p.x = m.x and p.y = m.y and p.z = m.z""",
+select p.point_id, p.x, p.y, p.z, box_id from p left join m on p.point_id = m.point_id and p.x = m.x and p.y = m.y and p.z = m.z""",
     "knn_scale": f"""with {V.GAUSSIANS}, d as (select a.gaussian_id, b.gaussian_id as o, sqrt((a.mx-b.mx)*(a.mx-b.mx) + (a.my-b.my)*(a.my-b.my) + (a.mz-b.mz)*(a.mz-b.mz)) as d from gaussians a join gaussians b on a.gaussian_id <> b.gaussian_id)
 select gaussian_id, round(ln(greatest(sqrt(avg(d*d)), 1e-6)), 4) + 0 as log_scale from (select *, row_number() over (partition by gaussian_id order by d, o) as r from d) where r <= 3 group by 1""",
     "densify_stats": f"with {_PLAIN} select gaussian_id, count(*) as n, max(greatest(radius_x, radius_y)) as radius, round(sum(depth), 4) + 0 as depth from seen group by 1",
