@@ -79,6 +79,19 @@ def contributions(rows: DataFrame) -> DataFrame:
     return rows.withColumn("weight", F.col("alpha") * F.col("after") / (1 - F.col("alpha")))
 
 
+def gradients(weighted: DataFrame, channel: str) -> DataFrame:
+    """(gaussian_id, color, opacity): derivatives of the sum of ``channel`` over all pixels.
+
+    Behind a pair stands what later pairs of its pixel add, which shrinks as its alpha grows: the
+    suffix sum of the ordered window.  A clamped alpha passes nothing on to the opacity.
+    """
+    later = Window.partitionBy(*PIXEL).orderBy("place").rowsBetween(1, Window.unboundedFollowing)
+    behind = F.coalesce(F.sum(F.col("weight") * F.col(channel)).over(later), F.lit(0.0))
+    by_alpha = F.col(channel) * F.col("after") / (1 - F.col("alpha")) - behind / (1 - F.col("alpha"))
+    rows = weighted.select("gaussian_id", "weight", F.when(F.col("alpha") < ALPHA_MOST, by_alpha * F.col("alpha") / F.col("opacity")).otherwise(0.0).alias("v"))
+    return rows.groupBy("gaussian_id").agg(F.sum("weight").alias("color"), F.sum("v").alias("opacity"))
+
+
 def pixels(cameras: DataFrame) -> DataFrame:
     rows = cameras.select("camera_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     return rows.select("camera_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), "y")

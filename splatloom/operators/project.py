@@ -51,6 +51,12 @@ def computed(rows: DataFrame, *columns: Column | str) -> DataFrame:
     return rows.select(F.inline(F.array(F.struct(*rows.columns))))
 
 
+def spread_out(rows: DataFrame) -> DataFrame:
+    """``rows`` in as many partitions as there are cores: a small table that fans out is no work for few tasks."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def project(gaussians: DataFrame, cameras: DataFrame, model: str = "pinhole", near: float = 0.01, far: float = 1e10, blur: float = 0.3, radius_clip: float = 0.0, antialiased: bool = False, keep_culled: bool = False) -> DataFrame:
     """One row for each camera and primitive that shows in it.
 
@@ -61,7 +67,7 @@ def project(gaussians: DataFrame, cameras: DataFrame, model: str = "pinhole", ne
     """
     rest = [c for c in gaussians.columns if c not in {"mx", "my", "mz", "qw", "qx", "qy", "qz", "sx", "sy", "sz"}]
     q, s, m = R.columns("qw", "qx", "qy", "qz"), R.columns("sx", "sy", "sz"), R.columns("mx", "my", "mz")
-    unit = gaussians.select(*rest, *m, *s, *[c.alias(n) for n, c in zip(("qw", "qx", "qy", "qz"), R.normalised(q), strict=True)])
+    unit = spread_out(gaussians).select(*rest, *m, *s, *[c.alias(n) for n, c in zip(("qw", "qx", "qy", "qz"), R.normalised(q), strict=True)])
     turn = R.rotation(q)
     unit = unit.select(*rest, *m, *[(turn[i][j] * s[j]).alias(f"m{i}{j}") for i in range(3) for j in range(3)])
     axes = tuple(R.columns(f"m{i}0", f"m{i}1", f"m{i}2") for i in range(3))

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .project import spread_out
+
 
 def _cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
-def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.5) -> DataFrame:
+def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.3) -> DataFrame:
     """(point_id, x, y, z, box_id): for each distinct point the box of smallest id that holds it, faces included; null if none.
 
     Boxes are listed in every grid cell that they meet and points in their own, so the join is on
@@ -20,6 +22,7 @@ def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.5) -> DataFra
     rows = boxes
     for a in "xyz":
         rows = rows.select("*", spans[a])
+    points = spread_out(points)
     placed = points.select("*", *[_cell(a, cell).alias(f"g{a}") for a in "xyz"])
     inside = [F.abs(F.col(a) - F.col(f"b{a}")) <= F.col("half") for a in "xyz"]
     met = placed.join(rows, ["gx", "gy", "gz"]).where(inside[0] & inside[1] & inside[2]).groupBy("point_id", "x", "y", "z").agg(F.min("box_id").alias("box_id"))

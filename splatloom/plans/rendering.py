@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splatloom.operators import composite as C
 from splatloom.operators.project import project
+from splatloom.operators.surfels import composite_surfels, project_surfels
 from splatloom.sources import views as V
 
 from .common import r4
@@ -136,11 +137,30 @@ def contrib_last(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select(*C.PIXEL, "last_id", r4("left").alias("left"))
 
 
+def _surfels(spark: SparkSession, folder: str) -> DataFrame:
+    scene = V.gaussians(spark, folder).select("gaussian_id", "mx", "my", "mz", "qw", "qx", "qy", "qz", "sx", "sy", "sz", "opacity", F.col("c0").alias("red"))
+    return project_surfels(scene, V.cameras(spark, folder))
+
+
+def project_2dgs(spark: SparkSession, folder: str) -> DataFrame:
+    return _surfels(spark, folder).select("camera_id", "gaussian_id", *[r4(c).alias(c) for c in ("mean2d_x", "mean2d_y", "depth", "n0", "n1", "n2")], "radius_x", "radius_y")
+
+
+def composite_2dgs(spark: SparkSession, folder: str) -> DataFrame:
+    """Colour, normal, distortion and median depth of flat primitives."""
+    return composite_surfels(_surfels(spark, folder), ["red"]).select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "red", "n0", "n1", "n2", "distortion", "median_depth")])
+
+
+def blend_backward(spark: SparkSession, folder: str) -> DataFrame:
+    """Derivatives of the summed first channel by each primitive's colour and opacity."""
+    return C.gradients(_weighted(spark, folder), "c0").select("gaussian_id", r4("color").alias("color"), r4("opacity").alias("opacity"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth,
-        composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last,
+        composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last, project_2dgs, composite_2dgs, blend_backward,
     )
 }
 
@@ -217,6 +237,25 @@ _ASKED = "(camera_id, x, y) in (select (camera_id, x, y) from wanted)"
 _TOP = "select camera_id, x, y, (row_number() over (partition by camera_id, x, y order by place))::int as rank, gaussian_id, round(weight, 4) + 0 as weight from (select *, row_number() over (partition by camera_id, x, y order by weight desc, place) as h from weighted) where h <= 3"
 _LIST = "select camera_id, x, y, string_agg(gaussian_id::varchar, ',' order by place) as ids, round(sum(weight), 4) + 0 as total from weighted group by all"
 
+_SURFELS = f"""{V.GAUSSIANS}, {V.CAMERAS},
+h as (select gaussian_id, opacity, c0 as red, mx, my, mz, (1 - 2*(qy*qy + qz*qz))*sx as h00, 2*(qx*qy - qw*qz)*sy as h01, 2*(qx*qz + qw*qy) as h02, 2*(qx*qy + qw*qz)*sx as h10, (1 - 2*(qx*qx + qz*qz))*sy as h11, 2*(qy*qz - qw*qx) as h12,
+  2*(qx*qz - qw*qy)*sx as h20, 2*(qy*qz + qw*qx)*sy as h21, 1 - 2*(qx*qx + qy*qy) as h22 from gaussians),
+w as (select *, {', '.join(f'r{i}0*h0{j} + r{i}1*h1{j} + r{i}2*h2{j} as w{i}{j}' for i in range(3) for j in range(3))}, {', '.join(f'r{i}0*mx + r{i}1*my + r{i}2*mz as p{i}' for i in range(3))} from h cross join cameras),
+k as (select *, {', '.join(f'fx*{x} + cx*{z} as ra{i}, fy*{y} + cy*{z} as rb{i}, {z} as rc{i}' for i, (x, y, z) in enumerate((('w00', 'w10', 'w20'), ('w01', 'w11', 'w21'), ('p0', 'p1', 'p2'))))},
+  case when w02*p0 + w12*p1 + w22*p2 < 0 then 1 else -1 end as flip from w where p2 > 0.01::double and p2 < 1e10),
+d as (select *, rc0*rc0 + rc1*rc1 - rc2*rc2 as d from k),
+m as (select *, ra0*rc0/d + ra1*rc1/d - ra2*rc2/d as mean2d_x, rb0*rc0/d + rb1*rc1/d - rb2*rc2/d as mean2d_y, ra0*ra0/d + ra1*ra1/d - ra2*ra2/d as aa, rb0*rb0/d + rb1*rb1/d - rb2*rb2/d as bb from d where d <> 0),
+x as (select *, ceil(3.33::double*sqrt(greatest(1e-4, mean2d_x*mean2d_x - aa)))::int as radius_x, ceil(3.33::double*sqrt(greatest(1e-4, mean2d_y*mean2d_y - bb)))::int as radius_y, p2 as depth, w02*flip as n0, w12*flip as n1, w22*flip as n2 from m),
+seen as (select * from x where mean2d_x + radius_x > 0 and mean2d_x - radius_x < width and mean2d_y + radius_y > 0 and mean2d_y - radius_y < height)"""
+_FLAT = """, cells as (select s.*, xx::int as x, yy::int as y, xx + 0.5::double as px, yy + 0.5::double as py from seen s, unnest(range(greatest(floor((mean2d_y - radius_y)/16), 0)::int*16, least(ceil((mean2d_y + radius_y)/16), 3)::int*16)) u(yy),
+  unnest(range(greatest(floor((mean2d_x - radius_x)/16), 0)::int*16, least(ceil((mean2d_x + radius_x)/16), 4)::int*16)) v(xx)),
+rays as (select *, px*rc0 - ra0 as u0, px*rc1 - ra1 as u1, px*rc2 - ra2 as u2, py*rc0 - rb0 as v0, py*rc1 - rb1 as v1, py*rc2 - rb2 as v2 from cells),
+crossed as (select *, u1*v2 - u2*v1 as k0, u2*v0 - u0*v2 as k1, u0*v1 - u1*v0 as k2 from rays),
+alphas as (select *, least(0.99::double, opacity*exp(-0.5::double*least((k0*k0 + k1*k1)/(k2*k2), 2*((mean2d_x - px)*(mean2d_x - px) + (mean2d_y - py)*(mean2d_y - py))))) as alpha from crossed where k2 <> 0),
+ordered as (select *, exp(sum(ln(1 - alpha)) over (partition by camera_id, x, y order by depth::float, gaussian_id rows unbounded preceding)) as after_, row_number() over (partition by camera_id, x, y order by depth::float, gaussian_id) as place from alphas where alpha >= 1e0/255),
+weighted as (select *, alpha*after_/(1 - alpha) as weight from ordered where after_ > 1e-4),
+prefixed as (select *, coalesce(sum(weight) over p, 0) as pw, coalesce(sum(weight*depth) over p, 0) as pd from weighted window p as (partition by camera_id, x, y order by place rows between unbounded preceding and 1 preceding))"""
+
 SQL = {
     "project_dense": f"with {_projection(dense=True)} {_GEOMETRY}",
     "project_packed": f"with {_PLAIN} {_GEOMETRY}",
@@ -243,4 +282,9 @@ select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, sum(n)::bigint a
     "contrib_topk": f"with {_PLAIN}{_blend()} {_TOP}",
     "contrib_topk_sparse": f"with {_WANTED}, {_PLAIN}{_blend(_ASKED)} {_TOP}",
     "contrib_last": f"with {_PLAIN}{_blend()} select camera_id, x, y, arg_max(gaussian_id, place) as last_id, round(min(after_), 4) + 0 as \"left\" from weighted group by all",
+    "project_2dgs": f"with {_SURFELS} select camera_id, gaussian_id, {_rounded('mean2d_x', 'mean2d_y', 'depth', 'n0', 'n1', 'n2')}, radius_x, radius_y from seen",
+    "composite_2dgs": f"""with {_SURFELS}{_FLAT} select camera_id, x, y, count(*) as n, round(sum(weight), 4) + 0 as alpha, {', '.join(f'round(sum(weight*{c}), 4) + 0 as {c}' for c in ('red', 'n0', 'n1', 'n2'))},
+  round(sum(2*weight*(depth*pw - pd)), 4) + 0 as distortion, round(arg_max(depth, case when after_/(1 - alpha) > 0.5::double then place end), 4) + 0 as median_depth from prefixed group by all""",
+    "blend_backward": f"""with {_PLAIN}{_blend()}, b as (select *, coalesce(sum(weight*c0) over (partition by camera_id, x, y order by place rows between 1 following and unbounded following), 0) as behind from weighted)
+select gaussian_id, round(sum(weight), 4) + 0 as color, round(sum(case when alpha < 0.99::double then (c0*after_/(1 - alpha) - behind/(1 - alpha))*alpha/opacity else 0 end), 4) + 0 as opacity from b group by 1""",
 }
