@@ -26,9 +26,10 @@ from .html_blocks import TAG_SLOTS, Block, blocks
 from .session import small_batches
 from .text import NOT_SPACE, buffers, word_hashes, words
 
-#: Pages that the model is trained on, by a hash of their id, and blocks of each at most in training.
+#: Pages in the mean that the model is trained on, and blocks of each at most in training.
 SAMPLE_PAGES, TRAIN_BLOCKS = 240, 60
 LAYOUTS = 3
+_SHARES = 1 << 30
 WORD_SLOTS, TAG_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 16, 8, 6, 16
 EPOCHS, RATE, GROUP = 10, 0.01, 24
 _INPUT = TAG_SIZE + WORD_SIZE + MEASURES
@@ -220,10 +221,11 @@ def _marked(page: str) -> list[Block]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller | None:
-    """Train on at most ``sample_pages`` pages and new layouts of their texts; None if none has main text."""
-    sample = pages.where(f"{html_col} is not null").select(F.xxhash64(id_col).alias("k"), F.col(html_col).alias("html")).orderBy("k", "html").limit(sample_pages)
+    """Train on about ``sample_pages`` pages, drawn by a hash of the id, and new layouts of their texts; None if none has main text."""
+    share = F.pmod(F.xxhash64(id_col), F.lit(_SHARES)) < -(-sample_pages * _SHARES // max(1, pages.count()))
+    sample = pages.where(share & F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
     r, learned = random.Random(0), []
-    told = [found for row in sample.collect() if (found := _marked(row["html"]))]
+    told = [found for html in sorted(row["html"] for row in sample.collect()) if (found := _marked(html))]
     for found in told:
         learned.append(_piece(found, r))
         main, other = [b.text for b in found if b.marked], [b.text for b in found if not b.marked] or _SHORT
