@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .project import ALPHA_LEAST, ALPHA_MOST, TRANSMITTANCE_LEAST, computed
+from .project import ALPHA_LEAST, ALPHA_MOST, EXTENT, TRANSMITTANCE_LEAST, computed
 
 PIXEL = ["camera_id", "x", "y"]
 
@@ -34,6 +34,31 @@ def tiles(projected: DataFrame, tile: int = 16) -> DataFrame:
     return _spread(projected, tile, across("width"), across("height"), "tile_x", "tile_y")
 
 
+def tiles_by_ellipse(projected: DataFrame, tile: int = 16) -> DataFrame:
+    """``tiles`` without those that the ellipse where alpha reaches 1/255 does not meet.
+
+    In a row of tiles the ellipse spans one interval of x, whose ends lie at the ellipse's own
+    extreme points if these are in the row, or else on the row's edge nearer to them.
+    """
+    across = lambda c: F.ceil(F.col(c) / tile).cast("int")
+    a, b, c = F.col("conic_a"), F.col("conic_b"), F.col("conic_c")
+    rows = computed(projected, *projected.columns, F.least(F.lit(EXTENT * EXTENT), 2 * F.ln(F.col("opacity") * 255)).alias("level"), (a * c - b * b).alias("det"))
+    rows = computed(rows, *projected.columns, "level", F.sqrt(F.col("level") * c / F.col("det")).alias("far_x"), F.sqrt(F.col("level") * a / F.col("det")).alias("far_y"))
+    y0, y1 = _span((F.col("mean2d_y") - F.col("radius_y")) / tile, (F.col("mean2d_y") + F.col("radius_y")) / tile, across("height"))
+    rows = computed(rows, *rows.columns, y0.alias("_y0"), y1.alias("_y1")).where("_y1 > _y0")
+    rows = rows.withColumn("tile_y", F.explode(F.sequence(F.col("_y0"), F.col("_y1") - 1)))
+    low = F.greatest(F.col("tile_y") * tile - F.col("mean2d_y"), -F.col("far_y"))
+    high = F.least((F.col("tile_y") + 1) * tile - F.col("mean2d_y"), F.col("far_y"))
+    rows = computed(rows, *projected.columns, "tile_y", "level", "far_x", low.alias("low"), high.alias("high")).where("low <= high")
+    within = lambda v: F.least(F.greatest(v, F.col("low")), F.col("high"))
+    rows = rows.withColumns({"yr": within(-b / c * F.col("far_x")), "yl": within(b / c * F.col("far_x"))})
+    root = lambda y: F.sqrt(F.greatest(F.lit(0.0), b * b * y * y - a * (c * y * y - F.col("level"))))
+    right, left = (-b * F.col("yr") + root(F.col("yr"))) / a, (-b * F.col("yl") - root(F.col("yl"))) / a
+    x0, x1 = _span((F.col("mean2d_x") + left) / tile, (F.col("mean2d_x") + right) / tile, across("width"))
+    rows = computed(rows, *projected.columns, "tile_y", x0.alias("_x0"), x1.alias("_x1")).where("_x1 > _x0")
+    return rows.withColumn("tile_x", F.explode(F.sequence(F.col("_x0"), F.col("_x1") - 1))).drop("_x0", "_x1")
+
+
 def tile_offsets(met: DataFrame, cameras: DataFrame, tile: int = 16) -> DataFrame:
     """(camera_id, tile_y, tile_x, n, start): primitives of each tile, empty ones too, and those before it."""
     across = lambda c: F.ceil(F.col(c) / tile).cast("int")

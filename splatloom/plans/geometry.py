@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splatloom.functions import harmonics, packing
 from splatloom.functions import rotation as R
+from splatloom.operators.shutter import project_shutter
 from splatloom.sources import views as V
 
 from .common import r4
@@ -106,6 +107,17 @@ def pixel_rays(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("camera_id", "x", "y", *_rounded(**_named("ray", world), down=down, up=1 - down, right=right, left=1 - right))
 
 
+def rolling_shutter(spark: SparkSession, folder: str) -> DataFrame:
+    """Primitives' centres in cameras that turn by 0.05 and move by 0.1 while their rows are read."""
+    yaw = F.col("n_nationkey") * F.lit(0.02) - 0.24
+    lens = V.cameras(spark, folder).select("camera_id", "fx", "fy", "cx", "cy", "width", "height")
+    turn = lambda k, a: [F.cos(a / 2).alias(f"{k}w"), F.lit(0.0).alias(f"{k}x"), F.sin(a / 2).alias(f"{k}y"), F.lit(0.0).alias(f"{k}z")]
+    poses = V.table(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("camera_id"), *turn("a", yaw), *turn("b", yaw + 0.05), *[F.lit(x).alias(n) for n, x in zip(("at0", "at1", "at2", "bt0", "bt1", "bt2"), (0.0, 0.0, 0.0, 0.1, 0.0, 0.0), strict=True)])
+    points = V.gaussians(spark, folder).select(F.col("gaussian_id").alias("point_id"), F.col("mx").alias("px"), F.col("my").alias("py"), F.col("mz").alias("pz"))
+    rows = project_shutter(points, lens.join(poses, "camera_id"))
+    return rows.select("camera_id", F.col("point_id").alias("gaussian_id"), *[r4(c).alias(c) for c in ("x", "y", "time")], "valid")
+
+
 def morton_order(spark: SparkSession, folder: str) -> DataFrame:
     """Morton code over the scene's box, place in that order and chunk of 256.
 
@@ -145,7 +157,7 @@ def quantize(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("gaussian_id", "b8", F.expr("b16 div 256").alias("high"), (F.col("b16") % 256).alias("low"), r4(F.col("b16") / 65535 * (F.col("hi") - F.col("lo")) + F.col("lo")).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (quat_covariance, quat_algebra, se3_poses, sh_color, sh_basis, opencv_distort, pixel_rays, morton_order, pack_bits, chunk_bounds, quantize)}
+QUERIES = {f.__name__: f for f in (quat_covariance, quat_algebra, se3_poses, sh_color, sh_basis, opencv_distort, pixel_rays, rolling_shutter, morton_order, pack_bits, chunk_bounds, quantize)}
 
 _ROT = """rot as (select *, 1 - 2*(qy*qy + qz*qz) as r00, 2*(qx*qy - qw*qz) as r01, 2*(qx*qz + qw*qy) as r02, 2*(qx*qy + qw*qz) as r10, 1 - 2*(qx*qx + qz*qz) as r11, 2*(qy*qz - qw*qx) as r12,
   2*(qx*qz - qw*qy) as r20, 2*(qy*qz + qw*qx) as r21, 1 - 2*(qx*qx + qy*qy) as r22 from gaussians)"""
@@ -187,6 +199,17 @@ def _three(k: int) -> str:
     return " + ".join([f"({k}::bigint << 30)", *(f"({_U(f'q{j} * {sign} * 0.7071067811865476::double + 0.5::double', 10)} << {20 - 10 * n})" for n, j in enumerate(others))])
 
 
+def _rolling(rounds: int = 10) -> str:
+    steps = [f"""s0 as (select gaussian_id, camera_id, mx, my, mz, a, coalesce(case when z0 > 0 then 60*x0/z0 + 32 end, case when z1 > 0 then 60*x1/z1 + 32 end) as u, coalesce(case when z0 > 0 then 60*my/z0 + 24 end, case when z1 > 0 then 60*my/z1 + 24 end) as v, 0::double as s
+  from (select *, cos(a)*mx + sin(a)*mz as x0, -sin(a)*mx + cos(a)*mz as z0, cos(a + 0.05::double)*mx + sin(a + 0.05::double)*mz + 0.1::double as x1, -sin(a + 0.05::double)*mx + cos(a + 0.05::double)*mz as z1
+    from gaussians cross join (select n_nationkey::int as camera_id, n_nationkey*0.02::double - 0.24::double as a from nation)))"""]
+    for k in range(rounds):
+        steps.append(f"""s{k + 1} as (select gaussian_id, camera_id, mx, my, mz, a, case when z > 0 then 60*x/z + 32 else u end as u, case when z > 0 then 60*my/z + 24 else v end as v, s
+  from (select *, cos(g)*mx + sin(g)*mz + s*0.1::double as x, -sin(g)*mx + cos(g)*mz as z
+    from (select *, 2*atan2((1 - s)*sin(a/2) + s*sin((a + 0.05::double)/2), (1 - s)*cos(a/2) + s*cos((a + 0.05::double)/2)) as g from (select * exclude (s), greatest(0, least(1, floor(v)/47)) as s from s{k}))))""")
+    return f"with {V.GAUSSIANS}, {', '.join(steps)} select camera_id, gaussian_id, round(u, 4) + 0 as x, round(v, 4) + 0 as y, round(s, 4) + 0 as time, u is not null as valid from s{rounds}"
+
+
 SQL = {
     "quat_covariance": f"with {V.GAUSSIANS}, {_ROT} select gaussian_id, {_r(**_cov('cov', '(s{0}*s{0})'), **_cov('prec', '((1/s{0})*(1/s{0}))'))} from rot",
     "quat_algebra": f"""with {V.GAUSSIANS}, {_ROT}, a as (select *, cos(e15*3/2) as aw, 0.6::double*sin(e15*3/2) as ax, 0::double as ay, 0.8::double*sin(e15*3/2) as az, abs(e16) as t from rot),
@@ -216,4 +239,5 @@ select gaussian_id, ({_U('mx/8 + 0.5::double', 11)} << 21) + ({_U('my/8 + 0.5::d
     "chunk_bounds": f"with {V.GAUSSIANS}, {_MORTON} select place // 256 as chunk, count(*) as n, {_r(**{f'{f}_{c}': f'{f}({c})' for c in (*M, *S) for f in ('min', 'max')})} from morton group by 1",
     "quantize": f"""with {V.GAUSSIANS}, b as (select *, min(mx) over () as lo, max(mx) over () as hi from gaussians), q as (select *, floor((mx - lo)/(hi - lo)*255 + 0.5::double)::bigint as b8, floor((mx - lo)/(hi - lo)*65535 + 0.5::double)::bigint as b16 from b)
 select gaussian_id, b8, b16 // 256 as high, b16 % 256 as low, round(b16/65535::double*(hi - lo) + lo, 4) + 0 as back from q""",
+    "rolling_shutter": _rolling(),
 }

@@ -58,6 +58,10 @@ def isect_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return C.tiles(_seen(spark, folder)).select("camera_id", "tile_y", "tile_x", "gaussian_id")
 
 
+def isect_ellipse(spark: SparkSession, folder: str) -> DataFrame:
+    return C.tiles_by_ellipse(_seen(spark, folder)).select("camera_id", "tile_y", "tile_x", "gaussian_id")
+
+
 def isect_offsets(spark: SparkSession, folder: str) -> DataFrame:
     return C.tile_offsets(C.tiles(_seen(spark, folder)), V.cameras(spark, folder))
 
@@ -159,7 +163,7 @@ def blend_backward(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth,
+        project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_ellipse, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth,
         composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last, project_2dgs, composite_2dgs, blend_backward,
     )
 }
@@ -263,6 +267,11 @@ SQL = {
     "project_ortho": f"with {_projection('ortho')} {_GEOMETRY}",
     "project_fisheye": f"with {_projection('fisheye')} {_GEOMETRY}",
     "isect_tiles": f"with {_PLAIN}{_TILES} select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from met",
+    "isect_ellipse": f"""with {_PLAIN}{_TILES}, l as (select *, least(3.33::double*3.33::double, 2*ln(opacity*255)) as lev, conic_a*conic_c - conic_b*conic_b as det from met),
+  r as (select *, greatest(tile_y*16 - mean2d_y, -sqrt(lev*conic_a/det)) as lo, least((tile_y + 1)*16 - mean2d_y, sqrt(lev*conic_a/det)) as hi, conic_b/conic_c*sqrt(lev*conic_c/det) as ex from l),
+  y as (select *, least(greatest(-ex, lo), hi) as yr, least(greatest(ex, lo), hi) as yl from r where lo <= hi)
+select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from y where (tile_x + 1)*16 > mean2d_x + (-conic_b*yl - sqrt(greatest(0, conic_b*conic_b*yl*yl - conic_a*(conic_c*yl*yl - lev))))/conic_a
+  and tile_x*16 < mean2d_x + (-conic_b*yr + sqrt(greatest(0, conic_b*conic_b*yr*yr - conic_a*(conic_c*yr*yr - lev))))/conic_a""",
     "isect_offsets": f"""with {_PLAIN}{_TILES}, n as (select c.camera_id, ty::int as tile_y, tx::int as tile_x, count(m.gaussian_id) as n
   from cameras c cross join unnest(range(3)) u(ty) cross join unnest(range(4)) v(tx) left join met m on m.camera_id = c.camera_id and m.tile_y = ty and m.tile_x = tx group by all)
 select *, coalesce(sum(n) over (order by camera_id, tile_y, tile_x rows between unbounded preceding and 1 preceding), 0)::bigint as start from n""",
