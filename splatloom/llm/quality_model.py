@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from .session import small_batches
 from .text import ALNUM, NOT_SPACE, buffers, chunks, mix, seeded, word_hashes, words
 
-#: Rated documents that the model is fitted on, taken in order of a hash of their id.
+#: Rated documents in the mean that the model is fitted on.
 SAMPLE_ROWS = 8_000
+_SHARES = 1 << 30
 #: Least probability of the top grade for a document to be kept.
 TAIL = 0.7
 WORD_SLOTS, BEGIN_SLOTS, SYMBOL_SLOTS, CLASSES = 1 << 18, 1 << 16, 1 << 12, 32
@@ -137,13 +138,14 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray,
 
 
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
-    """Fit on at most ``sample_rows`` rated documents; None if fewer than two grades are rated.
+    """Fit on about ``sample_rows`` rated documents, drawn by a hash of the id; None if fewer than two grades are rated.
 
     Grades are whole numbers from 0; a document rated more than once has its lowest grade.
     """
     small_batches(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("__rated"), F.col(grade_col).cast("int").alias("__grade")).dropna().groupBy("__rated").agg(F.min("__grade").alias("__grade"))
-    sample = rated.orderBy(F.xxhash64("__rated"), "__rated").limit(sample_rows)
+    share = -(-sample_rows * _SHARES // max(1, ratings.count()))
+    sample = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(_SHARES)) < share)
     texts = docs.join(F.broadcast(sample), docs[id_col] == sample["__rated"]).select("__grade", F.col(text_col).alias("text")).dropDuplicates(["text"])
     table = texts.mapInArrow(_features_of, "grade int, slots array<int>, values array<float>").toArrow()
     grade = table.column("grade").to_numpy()
