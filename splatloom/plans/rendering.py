@@ -20,7 +20,7 @@ def _seen(spark: SparkSession, folder: str, **options) -> DataFrame:
     return project(scene, V.cameras(spark, folder), **options)
 
 
-def _weighted(spark: SparkSession, folder: str, requests: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
+def weighted_pairs(spark: SparkSession, folder: str, requests: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
     return C.contributions(C.pairs(_seen(spark, folder), requests, mask))
 
 
@@ -78,40 +78,40 @@ def sparse_tile_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composite_rgb(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.composite(_weighted(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"])
+    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"])
     return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def composite_background(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.composite(_weighted(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
+    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
     return out.select(*C.PIXEL, *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def composite_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Accumulated and expected depth."""
-    out = C.composite(_weighted(spark, folder), C.pixels(V.cameras(spark, folder)), ["depth"])
+    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["depth"])
     return out.select(*C.PIXEL, r4("depth").alias("depth"), r4(F.col("depth") / F.greatest("alpha", F.lit(1e-10))).alias("expected_depth"))
 
 
 def composite_masked(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.composite(_weighted(spark, folder, mask=_mask(spark, folder)), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
+    out = C.composite(weighted_pairs(spark, folder, mask=_mask(spark, folder)), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
     return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def composite_sparse(spark: SparkSession, folder: str) -> DataFrame:
     wanted = V.pixel_requests(spark, folder)
-    out = C.composite(_weighted(spark, folder, wanted), wanted, ["c0", "c1", "c2"])
+    out = C.composite(weighted_pairs(spark, folder, wanted), wanted, ["c0", "c1", "c2"])
     return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def contrib_count(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.contributor_counts(_weighted(spark, folder), C.pixels(V.cameras(spark, folder)))
+    out = C.contributor_counts(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)))
     return out.select(*C.PIXEL, "n", r4("alpha").alias("alpha"))
 
 
 def contrib_count_sparse(spark: SparkSession, folder: str) -> DataFrame:
     wanted = V.pixel_requests(spark, folder)
-    out = C.contributor_counts(_weighted(spark, folder, wanted), wanted)
+    out = C.contributor_counts(weighted_pairs(spark, folder, wanted), wanted)
     return out.select(*C.PIXEL, "n", r4("alpha").alias("alpha"))
 
 
@@ -120,24 +120,24 @@ def _listed(rows: DataFrame) -> DataFrame:
 
 
 def contrib_list(spark: SparkSession, folder: str) -> DataFrame:
-    return _listed(C.contributor_lists(_weighted(spark, folder)))
+    return _listed(C.contributor_lists(weighted_pairs(spark, folder)))
 
 
 def contrib_list_sparse(spark: SparkSession, folder: str) -> DataFrame:
-    return _listed(C.contributor_lists(_weighted(spark, folder, V.pixel_requests(spark, folder))))
+    return _listed(C.contributor_lists(weighted_pairs(spark, folder, V.pixel_requests(spark, folder))))
 
 
 def contrib_topk(spark: SparkSession, folder: str) -> DataFrame:
-    return C.top_contributors(_weighted(spark, folder), 3).select(*C.PIXEL, "rank", "gaussian_id", r4("weight").alias("weight"))
+    return C.top_contributors(weighted_pairs(spark, folder), 3).select(*C.PIXEL, "rank", "gaussian_id", r4("weight").alias("weight"))
 
 
 def contrib_topk_sparse(spark: SparkSession, folder: str) -> DataFrame:
-    return C.top_contributors(_weighted(spark, folder, V.pixel_requests(spark, folder)), 3).select(*C.PIXEL, "rank", "gaussian_id", r4("weight").alias("weight"))
+    return C.top_contributors(weighted_pairs(spark, folder, V.pixel_requests(spark, folder)), 3).select(*C.PIXEL, "rank", "gaussian_id", r4("weight").alias("weight"))
 
 
 def contrib_last(spark: SparkSession, folder: str) -> DataFrame:
     """The last contributor of each pixel and what light is left behind it."""
-    rows = _weighted(spark, folder).groupBy(*C.PIXEL).agg(F.max_by("gaussian_id", "place").alias("last_id"), F.min("after").alias("left"))
+    rows = weighted_pairs(spark, folder).groupBy(*C.PIXEL).agg(F.max_by("gaussian_id", "place").alias("last_id"), F.min("after").alias("left"))
     return rows.select(*C.PIXEL, "last_id", r4("left").alias("left"))
 
 
@@ -157,7 +157,7 @@ def composite_2dgs(spark: SparkSession, folder: str) -> DataFrame:
 
 def blend_backward(spark: SparkSession, folder: str) -> DataFrame:
     """Derivatives of the summed first channel by each primitive's colour and opacity."""
-    return C.gradients(_weighted(spark, folder), "c0").select("gaussian_id", r4("color").alias("color"), r4("opacity").alias("opacity"))
+    return C.gradients(weighted_pairs(spark, folder), "c0").select("gaussian_id", r4("color").alias("color"), r4("opacity").alias("opacity"))
 
 
 QUERIES = {
@@ -215,7 +215,7 @@ _TILES = """, met as (select s.*, tile_x, tile_y from seen s, unnest(range(great
 _WANTED = "wanted as (select distinct (o_custkey % 25)::int as camera_id, (o_orderkey % 48)::int as y, ((o_custkey * 7 + o_orderkey) % 64)::int as x from orders)"
 
 
-def _blend(keep: str = "true") -> str:
+def blend(keep: str = "true") -> str:
     """CTEs up to ``weighted``."""
     return f""", cells as (select s.*, xx::int as x, yy::int as y, mean2d_x - (xx + 0.5::double) as dx, mean2d_y - (yy + 0.5::double) as dy from seen s,
   unnest(range(greatest(floor(mean2d_y - radius_y), 0)::int, least(ceil(mean2d_y + radius_y), height)::int)) u(yy), unnest(range(greatest(floor(mean2d_x - radius_x), 0)::int, least(ceil(mean2d_x + radius_x), width)::int)) v(xx)),
@@ -226,17 +226,17 @@ ordered as (select *, exp(sum(ln(1 - alpha)) over (partition by camera_id, x, y
 weighted as (select *, alpha * after_ / (1 - alpha) as weight from ordered where after_ > 1e-4)"""
 
 
-_GRID = ", grid as (select camera_id, x::int as x, y::int as y from cameras, unnest(range(64)) u(x), unnest(range(48)) v(y))"
+GRID = ", grid as (select camera_id, x::int as x, y::int as y from cameras, unnest(range(64)) u(x), unnest(range(48)) v(y))"
 
 
-def _image(grid: str, columns: str) -> str:
+def image(grid: str, columns: str) -> str:
     return f"""select camera_id, x, y, {columns} from (select g.camera_id, g.x, g.y, coalesce(n, 0) as n, coalesce(alpha, 0) as alpha, {', '.join(f'coalesce({c}, 0) as {c}' for c in ('c0', 'c1', 'c2', 'depth'))}
   from {grid} g left join (select camera_id, x, y, count(*) as n, sum(weight) as alpha, {', '.join(f'sum(weight * {c}) as {c}' for c in ('c0', 'c1', 'c2', 'depth'))} from weighted group by all) s
   on g.camera_id = s.camera_id and g.x = s.x and g.y = s.y)"""
 
 
 _BACKED = ", ".join(f"round(c{k} + (1 - alpha) * {b}::double, 4) + 0 as c{k}" for k, b in enumerate(BACK))
-_PLAIN = _projection()
+PLAIN = _projection()
 _ASKED = "(camera_id, x, y) in (select (camera_id, x, y) from wanted)"
 _TOP = "select camera_id, x, y, (row_number() over (partition by camera_id, x, y order by place))::int as rank, gaussian_id, round(weight, 4) + 0 as weight from (select *, row_number() over (partition by camera_id, x, y order by weight desc, place) as h from weighted) where h <= 3"
 _LIST = "select camera_id, x, y, string_agg(gaussian_id::varchar, ',' order by place) as ids, round(sum(weight), 4) + 0 as total from weighted group by all"
@@ -262,38 +262,38 @@ prefixed as (select *, coalesce(sum(weight) over p, 0) as pw, coalesce(sum(weigh
 
 SQL = {
     "project_dense": f"with {_projection(dense=True)} {_GEOMETRY}",
-    "project_packed": f"with {_PLAIN} {_GEOMETRY}",
+    "project_packed": f"with {PLAIN} {_GEOMETRY}",
     "project_antialiased": f"with {_projection(antialiased=True, clip=2)} {_GEOMETRY}",
     "project_ortho": f"with {_projection('ortho')} {_GEOMETRY}",
     "project_fisheye": f"with {_projection('fisheye')} {_GEOMETRY}",
-    "isect_tiles": f"with {_PLAIN}{_TILES} select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from met",
-    "isect_ellipse": f"""with {_PLAIN}{_TILES}, l as (select *, least(3.33::double*3.33::double, 2*ln(opacity*255)) as lev, conic_a*conic_c - conic_b*conic_b as det from met),
+    "isect_tiles": f"with {PLAIN}{_TILES} select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from met",
+    "isect_ellipse": f"""with {PLAIN}{_TILES}, l as (select *, least(3.33::double*3.33::double, 2*ln(opacity*255)) as lev, conic_a*conic_c - conic_b*conic_b as det from met),
   r as (select *, greatest(tile_y*16 - mean2d_y, -sqrt(lev*conic_a/det)) as lo, least((tile_y + 1)*16 - mean2d_y, sqrt(lev*conic_a/det)) as hi, conic_b/conic_c*sqrt(lev*conic_c/det) as ex from l),
   y as (select *, least(greatest(-ex, lo), hi) as yr, least(greatest(ex, lo), hi) as yl from r where lo <= hi)
 select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from y where (tile_x + 1)*16 > mean2d_x + (-conic_b*yl - sqrt(greatest(0, conic_b*conic_b*yl*yl - conic_a*(conic_c*yl*yl - lev))))/conic_a
   and tile_x*16 < mean2d_x + (-conic_b*yr + sqrt(greatest(0, conic_b*conic_b*yr*yr - conic_a*(conic_c*yr*yr - lev))))/conic_a""",
-    "isect_offsets": f"""with {_PLAIN}{_TILES}, n as (select c.camera_id, ty::int as tile_y, tx::int as tile_x, count(m.gaussian_id) as n
+    "isect_offsets": f"""with {PLAIN}{_TILES}, n as (select c.camera_id, ty::int as tile_y, tx::int as tile_x, count(m.gaussian_id) as n
   from cameras c cross join unnest(range(3)) u(ty) cross join unnest(range(4)) v(tx) left join met m on m.camera_id = c.camera_id and m.tile_y = ty and m.tile_x = tx group by all)
 select *, coalesce(sum(n) over (order by camera_id, tile_y, tile_x rows between unbounded preceding and 1 preceding), 0)::bigint as start from n""",
-    "isect_sparse": f"with {_WANTED}, {_PLAIN}{_TILES} select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from met where (camera_id, tile_y, tile_x) in (select (camera_id, y // 16, x // 16) from wanted)",
+    "isect_sparse": f"with {_WANTED}, {PLAIN}{_TILES} select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, gaussian_id from met where (camera_id, tile_y, tile_x) in (select (camera_id, y // 16, x // 16) from wanted)",
     "sparse_tile_layout": f"""with {_WANTED}, w as (select camera_id, y // 16 as tile_y, x // 16 as tile_x, ((y % 16) * 16 + x % 16) // 64 as w, ((y % 16) * 16 + x % 16) % 64 as b from wanted),
   g as (select camera_id, tile_y, tile_x, w, count(*) as n, sum(case when b = 63 then -9223372036854775808 else (1::bigint << b) end)::bigint as bits from w group by all)
 select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, sum(n)::bigint as n, string_agg(w::varchar || ':' || bits::varchar, ',' order by w) as words from g group by all""",
-    "composite_rgb": f"with {_PLAIN}{_blend()}{_GRID} {_image('grid', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
-    "composite_background": f"with {_PLAIN}{_blend()}{_GRID} {_image('grid', _rounded('alpha') + ', ' + _BACKED)}",
-    "composite_depth": f"with {_PLAIN}{_blend()}{_GRID} {_image('grid', 'round(depth, 4) + 0 as depth, round(depth / greatest(alpha, 1e-10), 4) + 0 as expected_depth')}",
-    "composite_masked": f"with {_PLAIN}{_blend('not (x // 16 = y // 16 and x // 16 < 3)')}{_GRID} {_image('grid', 'n, ' + _rounded('alpha') + ', ' + _BACKED)}",
-    "composite_sparse": f"with {_WANTED}, {_PLAIN}{_blend(_ASKED)} {_image('wanted', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
-    "contrib_count": f"with {_PLAIN}{_blend()}{_GRID} {_image('grid', 'n, ' + _rounded('alpha'))}",
-    "contrib_count_sparse": f"with {_WANTED}, {_PLAIN}{_blend(_ASKED)} {_image('wanted', 'n, ' + _rounded('alpha'))}",
-    "contrib_list": f"with {_PLAIN}{_blend()} {_LIST}",
-    "contrib_list_sparse": f"with {_WANTED}, {_PLAIN}{_blend(_ASKED)} {_LIST}",
-    "contrib_topk": f"with {_PLAIN}{_blend()} {_TOP}",
-    "contrib_topk_sparse": f"with {_WANTED}, {_PLAIN}{_blend(_ASKED)} {_TOP}",
-    "contrib_last": f"with {_PLAIN}{_blend()} select camera_id, x, y, arg_max(gaussian_id, place) as last_id, round(min(after_), 4) + 0 as \"left\" from weighted group by all",
+    "composite_rgb": f"with {PLAIN}{blend()}{GRID} {image('grid', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
+    "composite_background": f"with {PLAIN}{blend()}{GRID} {image('grid', _rounded('alpha') + ', ' + _BACKED)}",
+    "composite_depth": f"with {PLAIN}{blend()}{GRID} {image('grid', 'round(depth, 4) + 0 as depth, round(depth / greatest(alpha, 1e-10), 4) + 0 as expected_depth')}",
+    "composite_masked": f"with {PLAIN}{blend('not (x // 16 = y // 16 and x // 16 < 3)')}{GRID} {image('grid', 'n, ' + _rounded('alpha') + ', ' + _BACKED)}",
+    "composite_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)} {image('wanted', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
+    "contrib_count": f"with {PLAIN}{blend()}{GRID} {image('grid', 'n, ' + _rounded('alpha'))}",
+    "contrib_count_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)} {image('wanted', 'n, ' + _rounded('alpha'))}",
+    "contrib_list": f"with {PLAIN}{blend()} {_LIST}",
+    "contrib_list_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)} {_LIST}",
+    "contrib_topk": f"with {PLAIN}{blend()} {_TOP}",
+    "contrib_topk_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)} {_TOP}",
+    "contrib_last": f"with {PLAIN}{blend()} select camera_id, x, y, arg_max(gaussian_id, place) as last_id, round(min(after_), 4) + 0 as \"left\" from weighted group by all",
     "project_2dgs": f"with {_SURFELS} select camera_id, gaussian_id, {_rounded('mean2d_x', 'mean2d_y', 'depth', 'n0', 'n1', 'n2')}, radius_x, radius_y from seen",
     "composite_2dgs": f"""with {_SURFELS}{_FLAT} select camera_id, x, y, count(*) as n, round(sum(weight), 4) + 0 as alpha, {', '.join(f'round(sum(weight*{c}), 4) + 0 as {c}' for c in ('red', 'n0', 'n1', 'n2'))},
   round(sum(2*weight*(depth*pw - pd)), 4) + 0 as distortion, round(arg_max(depth, case when after_/(1 - alpha) > 0.5::double then place end), 4) + 0 as median_depth from prefixed group by all""",
-    "blend_backward": f"""with {_PLAIN}{_blend()}, b as (select *, coalesce(sum(weight*c0) over (partition by camera_id, x, y order by place rows between 1 following and unbounded following), 0) as behind from weighted)
+    "blend_backward": f"""with {PLAIN}{blend()}, b as (select *, coalesce(sum(weight*c0) over (partition by camera_id, x, y order by place rows between 1 following and unbounded following), 0) as behind from weighted)
 select gaussian_id, round(sum(weight), 4) + 0 as color, round(sum(case when alpha < 0.99::double then (c0*after_/(1 - alpha) - behind/(1 - alpha))*alpha/opacity else 0 end), 4) + 0 as opacity from b group by 1""",
 }

@@ -138,7 +138,7 @@ _ANGLES = """p as (select (l_orderkey*8 + l_linenumber)::bigint as point_id, l_q
 g as (select point_id, asin(z/sqrt(x*x + y*y + z*z)) as elevation, atan2(y, x) as azimuth from p)"""
 _COMB = " + ".join(f"(case when n >= {k + 1} then (case n {' '.join(f'when {m} then {__import__("math").comb(m, k + 1)}' for m in range(k + 1, 6))} end) * {'-' if k % 2 else ''}1 / sqrt({k + 1}::double) * pow(o, {k + 1}) else 0 end)" for k in range(5))
 
-from .rendering import _PLAIN  # noqa: E402
+from .rendering import PLAIN  # noqa: E402
 
 SQL = {
     "track_interpolate": f"""with {_KEYS}, m as (select j.query_id, j.track_id, j.t_us, x.tx as bx, x.ty as by_, x.qw as bw, x.qz as bz, y.tx as ax, y.ty as ay, y.qw as aw, y.qz as az, bk, ak, at_, (j.t_us - bt)/(at_ - bt)::double as s
@@ -157,7 +157,7 @@ select query_id, track_id, case when gap <= 3600000000 then key end as key_id, c
 select p.point_id, p.x, p.y, p.z, box_id from p left join m on p.point_id = m.point_id and p.x = m.x and p.y = m.y and p.z = m.z""",
     "knn_scale": f"""with {V.GAUSSIANS}, d as (select a.gaussian_id, b.gaussian_id as o, sqrt((a.mx-b.mx)*(a.mx-b.mx) + (a.my-b.my)*(a.my-b.my) + (a.mz-b.mz)*(a.mz-b.mz)) as d from gaussians a join gaussians b on a.gaussian_id <> b.gaussian_id)
 select gaussian_id, round(ln(greatest(sqrt(avg(d*d)), 1e-6)), 4) + 0 as log_scale from (select *, row_number() over (partition by gaussian_id order by d, o) as r from d) where r <= 3 group by 1""",
-    "densify_stats": f"with {_PLAIN} select gaussian_id, count(*) as n, max(greatest(radius_x, radius_y)) as radius, round(sum(depth), 4) + 0 as depth from seen group by 1",
+    "densify_stats": f"with {PLAIN} select gaussian_id, count(*) as n, max(greatest(radius_x, radius_y)) as radius, round(sum(depth), 4) + 0 as depth from seen group by 1",
     "duplicate_split_prune": f"""with {V.GAUSSIANS}, d as (select *, greatest(sx, sy, sz) > 0.12::double as large from gaussians), c as (select *, 'kept' as origin from d union all select *, 'clone' from d where not large and component_id % 2 = 0),
 s as (select *, 0 as child from c where not large union all select *, 1 from c where large union all select *, -1 from c where large)
 select gaussian_id, origin, child, round(mx + child*0.5::double*((1 - 2*(qy*qy + qz*qz))*sx + 2*(qx*qy - qw*qz)*sy + 2*(qx*qz + qw*qy)*sz), 4) + 0 as mx, round(my + child*0.5::double*(2*(qx*qy + qw*qz)*sx + (1 - 2*(qx*qx + qz*qz))*sy + 2*(qy*qz - qw*qx)*sz), 4) + 0 as my,
