@@ -17,7 +17,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .session import written
+from .session import free_name, written
 
 WEIGHTS = (5, 2, 1)
 #: The budget over the size of all sources (in halves), and the most often that a document is taken.
@@ -91,10 +91,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``mix``'s columns as ``mix_*``; ids are unique."""
+    """The rows of ``docs`` that the mix takes, with ``mix``'s columns as ``mix_*`` (earlier ones of these names go).
+
+    Ids are expected to be unique: of rows with one id, one result stands for all.
+    """
     found = mix(docs, id_col, text_col, source_col).where("taken > 0").dropDuplicates(["doc_id"])
-    found = found.select(F.col("doc_id").alias("__mixed"), *[F.col(c).alias(f"mix_{c}") for c in ("size", "source_size", "target", "taken")])
-    return docs.join(found, docs[id_col].eqNullSafe(found["__mixed"])).drop("__mixed")
+    added = {f"mix_{c}": F.col(c) for c in ("size", "source_size", "target", "taken")}
+    key = free_name(docs, "__mixed")
+    found = found.select(F.col("doc_id").alias(key), *[c.alias(n) for n, c in added.items()])
+    docs = docs.drop(*added)
+    return docs.join(found, docs[id_col].eqNullSafe(found[key])).drop(key)
 
 
 SQL = r"""

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .session import small_batches, written
+from .session import free_name, small_batches, written
 from .text import NOT_SPACE, buffers, chunks, mix, ngram_hashes, seeded, word_hashes, words
 
 #: 36 bands of 6 rows: a pair at a similarity of exactly 0.8 shares no band with probability 2e-5.
@@ -231,8 +231,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stay together; a row without id is linked with nothing, has no component and is kept.
     Every text is read whole; other columns of ``docs`` are not looked at.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
+    if bands * rows > 256:
+        raise ValueError("a signature has at most 256 slots")
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signs = written(base.mapInArrow(_described(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     linkable = signs.where("n > 0 and id is not null")
@@ -263,5 +264,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
-    dropped = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias("__dropped"))
-    return docs.join(dropped.distinct(), docs[id_col] == F.col("__dropped"), "left_anti")
+    key = free_name(docs, "__dropped")
+    dropped = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(key))
+    return docs.join(dropped.distinct(), F.col(id_col) == F.col(key), "left_anti")

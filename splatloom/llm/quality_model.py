@@ -146,7 +146,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     rated = ratings.select(F.col(id_col).alias("__rated"), F.col(grade_col).cast("int").alias("__grade")).dropna().groupBy("__rated").agg(F.min("__grade").alias("__grade"))
     share = -(-sample_rows * _SHARES // max(1, ratings.count()))
     sample = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(_SHARES)) < share)
-    texts = docs.join(F.broadcast(sample), docs[id_col] == sample["__rated"]).select("__grade", F.col(text_col).alias("text")).dropDuplicates(["text"])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__id") == F.col("__rated")).select("__grade", "text").dropDuplicates(["text"])
     table = texts.mapInArrow(_features_of, "grade int, slots array<int>, values array<float>").toArrow()
     grade = table.column("grade").to_numpy()
     if len(np.unique(grade)) < 2:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .session import free_name
+
 #: The pattern of each kind, in the order in which kinds are listed.
 ASSIGN = r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -92,13 +94,13 @@ def _entropy_spans(text: Column, base: Column) -> Column:
     )
 
 
-def _scanned(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with arrays ``__base`` and ``__all`` of spans in order of start and kind."""
+def _scanned(docs: DataFrame, text_col: str, base_col: str, all_col: str) -> DataFrame:
+    """``docs`` with arrays of the base spans and of all spans in order of start and kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     assign = F.filter(_spans(text, ASSIGN, 0, 1), lambda s: F.length(s["value"]) >= LEAST_VALUE)
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
-    out = docs.withColumn("__base", base)
-    return out.withColumn("__all", F.array_sort(F.concat("__base", _entropy_spans(text, F.col("__base")))))
+    out = docs.withColumn(base_col, base)
+    return out.withColumn(all_col, F.array_sort(F.concat(base_col, _entropy_spans(text, F.col(base_col)))))
 
 
 def _listed(spans: str) -> Column:
@@ -112,7 +114,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     Spans are ``kind:start:end`` in code points, the end exclusive.  An entropy span never touches a
     base span.  A null text is empty and has no spans; equal rows get equal results.
     """
-    found = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text")
+    found = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "__base", "__all")
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(_listed("__base"), 256).alias("base_sha256"), _listed("__all").alias("spans")
@@ -130,5 +132,6 @@ def masked(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> D
 
     first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("__all") > 0, F.aggregate("__all", first, cut, rest)).otherwise(text)
-    return _scanned(docs, text_col).withColumn(text_col, clean).select(*docs.columns)
+    base_col, all_col = free_name(docs, "__base"), free_name(docs, "__all")
+    clean = F.when(F.size(all_col) > 0, F.aggregate(all_col, first, cut, rest)).otherwise(text)
+    return _scanned(docs, text_col, base_col, all_col).withColumn(text_col, clean).select(*docs.columns)
