@@ -22,12 +22,14 @@ def track_interpolate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nearest_track(spark: SparkSession, folder: str) -> DataFrame:
-    return tracks.nearest(V.pose_keys(spark, folder), _queries(spark, folder), 3_600_000_000).select("query_id", "track_id", "key_id", "gap_us")
+    """The key nearest to each query within an hour; -1 if there is none."""
+    rows = tracks.nearest(V.pose_keys(spark, folder), _queries(spark, folder), 3_600_000_000)
+    return rows.select("query_id", "track_id", *[F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("key_id", "gap_us")])
 
 
 def points_in_boxes(spark: SparkSession, folder: str) -> DataFrame:
     rows = spatial.first_box(V.points(spark, folder), V.boxes(spark, folder))
-    return rows.select("point_id", "x", "y", "z", "box_id")
+    return rows.select("point_id", "x", "y", "z", F.coalesce("box_id", F.lit(-1)).cast("long").alias("box_id"))
 
 
 def knn_scale(spark: SparkSession, folder: str) -> DataFrame:
@@ -150,11 +152,11 @@ select query_id, track_id, {', '.join(f"round(case when ak is null and bk is nul
   ('tx', 'bx', 'ax', 'bx + s*(ax - bx)', 0), ('ty', 'by_', 'ay', 'by_ + s*(ay - by_)', 0), ('tz', '0.5::double', '0.5::double', '0.5::double', 0), ('qw', 'bw', 'aw', '(u*bw + v*aw)/l', 1), ('qx', '0::double', '0::double', '0::double', 0), ('qy', '0::double', '0::double', '0::double', 0), ('qz', 'bz', 'az', '(u*bz + v*az)/l', 0)))},
   case when ak is null and bk is null then null else how <> 'i' end as exact from r""",
     "nearest_track": f"""with {_KEYS}, n as (select *, case when at_ is null or t_us - bt <= at_ - t_us then t_us - bt else at_ - t_us end as gap, case when at_ is null or t_us - bt <= at_ - t_us then bk else ak end as key from j)
-select query_id, track_id, case when gap <= 3600000000 then key end as key_id, case when gap <= 3600000000 then gap end as gap_us from n""",
+select query_id, track_id, (case when gap <= 3600000000 then key else -1 end)::bigint as key_id, (case when gap <= 3600000000 then gap else -1 end)::bigint as gap_us from n""",
     "points_in_boxes": """with p as (select distinct (l_orderkey*8 + l_linenumber)::bigint as point_id, l_quantity/10 as x, l_discount*50 as y, l_extendedprice/20000 as z from lineitem),
   b as (select p_partkey::bigint as box_id, p_size/10::double as bx, (p_partkey % 6)::double as b_y, p_retailprice/500 as bz from part),
   m as (select point_id, x, y, z, min(box_id) as box_id from p join b on abs(x - bx) <= 0.15::double and abs(y - b_y) <= 0.15::double and abs(z - bz) <= 0.15::double group by all)
-select p.point_id, p.x, p.y, p.z, box_id from p left join m on p.point_id = m.point_id and p.x = m.x and p.y = m.y and p.z = m.z""",
+select p.point_id, p.x, p.y, p.z, coalesce(box_id, -1)::bigint as box_id from p left join m on p.point_id = m.point_id and p.x = m.x and p.y = m.y and p.z = m.z""",
     "knn_scale": f"""with {V.GAUSSIANS}, d as (select a.gaussian_id, b.gaussian_id as o, sqrt((a.mx-b.mx)*(a.mx-b.mx) + (a.my-b.my)*(a.my-b.my) + (a.mz-b.mz)*(a.mz-b.mz)) as d from gaussians a join gaussians b on a.gaussian_id <> b.gaussian_id)
 select gaussian_id, round(ln(greatest(sqrt(avg(d*d)), 1e-6)), 4) + 0 as log_scale from (select *, row_number() over (partition by gaussian_id order by d, o) as r from d) where r <= 3 group by 1""",
     "densify_stats": f"with {PLAIN} select gaussian_id, count(*) as n, max(greatest(radius_x, radius_y)) as radius, round(sum(depth), 4) + 0 as depth from seen group by 1",
