@@ -149,8 +149,9 @@ def _find(parent: list[int], x: int) -> int:
 def linked_forest(sets: list[np.ndarray], share: tuple[int, int]) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the sets whose intersection is at least share[0]/share[1] of their union.
 
-    Every link between two trees has an end outside the largest tree, so only documents outside it
-    are compared with all others; each comparison counts the shared elements with every other set.
+    Each comparison counts the shared elements of one set with every other set.  Sets of the largest
+    tree are left out for as long as it is the largest; passes go on until all sets left out lie in
+    one tree.  Every link between two trees then has an end that was compared.
     """
     up, down = share
     if len(sets) == 2:
@@ -162,23 +163,26 @@ def linked_forest(sets: list[np.ndarray], share: tuple[int, int]) -> list[tuple[
     order = np.argsort(ids, kind="stable")
     holders, at = owner[order], np.append(np.searchsorted(ids[order], np.arange(ids.max() + 1)), len(ids))
     own = np.append(0, np.cumsum(sizes))
-    parent, weight, edges, done, biggest = list(range(n)), [1] * n, [], np.zeros(n, bool), 0
-    for x in np.argsort(-sizes, kind="stable").tolist():
-        if done[x] or (done.any() and _find(parent, x) == _find(parent, biggest)):
-            continue
-        done[x] = True
-        mine = ids[own[x] : own[x + 1]]
-        lengths = at[mine + 1] - at[mine]
-        places = np.repeat(at[mine] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
-        common = np.bincount(holders[places], minlength=n)
-        for y in np.flatnonzero(down * common >= up * (sizes + sizes[x] - common)).tolist():
-            a, b = _find(parent, x), _find(parent, y)
-            if a != b:
-                parent[b] = a
-                weight[a] += weight[b]
-                edges.append((x, y))
-        if weight[_find(parent, x)] > weight[_find(parent, biggest)]:
-            biggest = x
+    parent, weight, edges, done = list(range(n)), [1] * n, [], np.zeros(n, bool)
+    left, biggest = np.argsort(-sizes, kind="stable").tolist(), None
+    while left:
+        for x in left:
+            if biggest is not None and _find(parent, x) == _find(parent, biggest):
+                continue
+            done[x] = True
+            mine = ids[own[x] : own[x + 1]]
+            lengths = at[mine + 1] - at[mine]
+            places = np.repeat(at[mine] - np.append(0, np.cumsum(lengths)[:-1]), lengths) + np.arange(lengths.sum())
+            common = np.bincount(holders[places], minlength=n)
+            for y in np.flatnonzero(down * common >= up * (sizes + sizes[x] - common)).tolist():
+                a, b = _find(parent, x), _find(parent, y)
+                if a != b:
+                    parent[b] = a
+                    weight[a] += weight[b]
+                    edges.append((x, y))
+            if biggest is None or weight[_find(parent, x)] > weight[_find(parent, biggest)]:
+                biggest = x
+        left = [x for x in left if not done[x] and _find(parent, x) != _find(parent, biggest)]
     return edges
 
 

@@ -100,6 +100,34 @@ def test_linked_forest_equals_all_pairs():
     assert groups(lambda x: near_dedup._find(parent, x)) == groups(lambda x: label[x])
 
 
+def _window_sets(windows):
+    return [np.arange(a, b, dtype=np.uint64) for a, b in windows]
+
+
+@pytest.mark.parametrize(
+    "sets",
+    [
+        # The largest set has no link; 0 and 3 are linked, each skipped under another largest tree.
+        [*_window_sets([(0, 100), (1000, 1150)]), np.append(np.arange(80), np.arange(200, 219)).astype(np.uint64), *_window_sets([(0, 80)])],
+        # A hub with one neighbour, a hub with four, and a bridge between two of the neighbours.
+        _window_sets([(0, 100), (5, 100), (21, 115), (15, 108), (21, 114), (21, 113), (21, 112)]),
+        *[_window_sets([(int(a), int(a + n)) for a, n in zip(r.integers(0, 90, 40), r.integers(60, 110, 40), strict=True)]) for r in map(np.random.default_rng, range(6))],
+    ],
+)
+def test_linked_forest_of_bridged_trees(sets):
+    n, groups = len(sets), lambda parent: [near_dedup._find(parent, x) for x in range(n)]
+    trees, links = list(range(n)), list(range(n))
+    for x, y in near_dedup.linked_forest(sets, (80, 100)):
+        assert near_dedup._find(trees, x) != near_dedup._find(trees, y)
+        trees[near_dedup._find(trees, y)] = near_dedup._find(trees, x)
+    for x, y in itertools.combinations(range(n), 2):
+        both = len(np.intersect1d(sets[x], sets[y]))
+        if 100 * both >= 80 * (len(sets[x]) + len(sets[y]) - both):
+            links[near_dedup._find(links, y)] = near_dedup._find(links, x)
+    a, b = groups(trees), groups(links)
+    assert len(set(a)) == len(set(b)) == len(set(zip(a, b, strict=True)))
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 7), (200, 201), (5, 5), (None, 3)]
     got = dict(connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
