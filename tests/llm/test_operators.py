@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, on awkward tables and on empty ones."""
 
+import base64
 import hashlib
 import itertools
 import re
@@ -336,6 +337,24 @@ def test_secrets(spark, awkward, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_of_every_shape(spark):
+    r = np.random.default_rng(0)
+    keys = [base64.b64encode(r.bytes(n)).decode() for n in (16, 64, 64, 300)] + [base64.urlsafe_b64encode(r.bytes(30)).decode()]
+    keys += ["hT7/kQ2/xW9/pL4mZ8vB3nC6", "/Zk3uV8qT1yW6rM4xP9sB2", "Qd8--Zr5__Xw2Kp7Ym4Tn9Vb", "q3W9example7ZkT4xV8bN2mR", "//9fT2kW7qZ4xP8vM3bR6n"]
+    random = re.compile("[0-9]")
+    rows = [(i, f"it is {k} here") for i, k in enumerate(k for k in keys if random.search(k))]
+    hexed = "xK9v2Lq8Zt4Rw7Yp3Mn6Bc5D_" + "0123456789abcdef" * 2 + "_Hs8Kf2Wq9Zt4Rv7Yp3Mn6Bx"
+    harmless = ["/usr/lib/python3/dist-packages/x86_64-linux-gnu", "123e4567-e89b-42d3-a456-426614174000", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "your-example-key-number-2031", "====Chapter12==Results====Overview", "/a1" * 20_000]
+    extra = [(100 + i, f"it is {t} here") for i, t in enumerate(harmless)] + [(200, f"it is {hexed} here")]
+    docs = spark.createDataFrame([*rows, *extra], "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in secrets.scan(docs).collect()}
+    masked = {x["doc_id"]: x["text"] for x in secrets.masked(docs).collect()}
+    assert len(rows) == 10 and all("entropy" in spans[i] for i, _ in rows), spans
+    assert all(spans[100 + i] == "" for i in range(len(harmless))), spans
+    assert [s.split(":")[0] for s in spans[200].split(",")] == ["entropy", "hex", "entropy"]
+    assert "xK9v2Lq8" not in masked[200] and "Yp3Mn6Bx" not in masked[200]
+
+
 def test_token_ledger(spark, awkward, tmp_path):
     ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
     assert ledger.commit("a", awkward.withColumn("op", F.lit("insert")))
