@@ -1,8 +1,8 @@
 """Licence scans by sentence rules; built-in functions only.
 
-A text is cut into sentences at line ends and after ``.``, ``!`` and ``?`` before white space.  A
-sentence is normalised to lower-case words and looked up among known licence sentences.  The
-identifiers that are found, in order, make the text's sequence, against which each licence's rule,
+A text is normalised to lower-case words, in which single line ends and comment markers are white
+space.  Sentences end at empty lines and after ``.``, ``!`` and ``?`` before white space.  Known
+licence sentences are found in whole sentences and in parts of them.  The identifiers that are found, in order, make the text's sequence, against which each licence's rule,
 an ordered run of identifiers, is matched.
 """
 
@@ -49,13 +49,19 @@ KNOWN = {sentence: name for name, forms in SENTENCES.items() for sentence in for
 HINT = r"(?i)licen[cs]ed|license|rights|software|permission|redistribution|copyright|warranty|warranties"
 
 
+#: Stands where a sentence ends.
+_END = "\x01"
+#: The known sentences, a longer one before its parts; "not licensed under ..." isn't one.
+FORMS = r"(?<![a-z0-9])(?<!\bnot )(?:" + "|".join(sorted(KNOWN, key=lambda s: (-len(s), s))) + r")(?![a-z0-9])"
+
+
 def sentence_ids(text: Column) -> Column:
     """The identifiers of the known sentences of a text, in order."""
-    cut = F.split(F.regexp_replace(text, r"([.!?])[\x20\x09-\x0D]+", "$1\n"), "\n", -1)
-    normal = F.transform(cut, lambda s: F.trim(F.regexp_replace(F.lower(s), r"[^a-z0-9]+", " ")))
+    bare = F.regexp_replace(F.translate(text, _END, " "), r"(?im)^[\x20\t]*(?:rem|dnl)[\x20\t]+", "")
+    ended = F.regexp_replace(F.regexp_replace(bare, r"\n[^\p{L}\p{N}\n]*(?=\n)", _END), r"[.!?][\x20\x09-\x0D]+", _END)
+    normal = F.regexp_replace(F.lower(ended), r"[^a-z0-9\x01]+", " ")
     known = F.create_map(*[F.lit(x) for pair in KNOWN.items() for x in pair])
-    listed = F.array(*[F.lit(x) for x in KNOWN])
-    names = F.transform(F.filter(normal, lambda s: F.array_contains(listed, s)), lambda s: F.element_at(known, s))
+    names = F.transform(F.regexp_extract_all(normal, F.lit(FORMS), 0), lambda s: F.element_at(known, s))
     return F.when(text.rlike(HINT), names).otherwise(F.array().cast("array<string>"))
 
 

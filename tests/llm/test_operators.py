@@ -146,6 +146,53 @@ def test_licences(spark, awkward):
     assert all(re.search(licences.HINT, s) for s in licences.KNOWN)
 
 
+MIT_TEXT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT"""
+BSD_TEXT = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the"""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at"""
+
+
+def test_wrapped_licences(spark):
+    texts = {"MIT": MIT_TEXT, "BSD-2-Clause": BSD_TEXT, "GPL-3.0": GPL_TEXT, "Apache-2.0": APACHE_TEXT}
+    texts["BSD-3-Clause"] = BSD_TEXT + "\n3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission.\n"
+    marks = ["", "# ", "// ", " * ", "REM ", "dnl ", ";; "]
+    rows = [(f"{name}|{k}", "\n".join(mark + line for line in text_.split("\n"))) for name, text_ in texts.items() for k, mark in enumerate(marks)]
+    rows += [("MIT|line", "This file is licensed under the MIT License."), ("|not", "This file is not licensed under the MIT License."), ("|two", "All rights. Reserved"), ("|blank", "All rights\n\nreserved"), ("MIT|first", "Released under the MIT License\nand so on")]
+    got = {r["doc_id"]: r for r in licences.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert {i: r["licences"] for i, r in got.items()} == {i: i.split("|")[0] for i, _ in rows}
+    assert got["MIT|0"]["sentences"] == "mit-grant,mit-notice,as-is" and got["Apache-2.0|3"]["sentences"] == "apache2-ref,apache2-comply,apache2-copy"
+
+
 def test_language(spark, awkward):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
