@@ -59,11 +59,20 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of inserts, committed twice: the second time changes nothing."""
+    """All documents inserted; then deleted, revised or both; then replaced by what the table holds.
+
+    Each batch is committed twice: the second time changes nothing.
+    """
     ledger = token_counts.Ledger(spark, f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}")
-    changes = _read(spark, sf_dir, "documents").withColumn("op", F.lit("insert"))
-    ledger.commit("documents", changes)
-    ledger.commit("documents", changes)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text").withColumns({"op": F.lit("insert"), "seq": F.lit(2)})
+    known, deal = docs.where("doc_id is not null"), F.pmod(F.xxhash64("doc_id"), F.lit(3))
+    deleted = known.withColumns({"op": F.lit("delete"), "text": F.lit(None).cast("string")})
+    revised = known.withColumns({"op": F.lit("revise"), "seq": F.lit(1), "text": F.upper("text")})
+    changed = deleted.where(deal < 2).unionByName(revised.where(deal > 0))
+    restored = deleted.withColumn("seq", F.lit(1)).unionByName(known)
+    for batch, changes in (("documents", docs), ("changed", changed), ("restored", restored)):
+        ledger.commit(batch, changes)
+        ledger.commit(batch, changes)
     return ledger.totals()
 
 

@@ -15,13 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import small_batches, written
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 VERSION = "byte_bpe_50k"
 #: Fixed value: the public pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "version")
+_COUNTED = ("doc_id", "source", "lang", "n_tokens", "n_chars")
+#: The place of changes without one in the order of a batch.
+_FIRST = -(1 << 63)
 _encodings: dict[str, object] = {}
 
 
@@ -52,11 +55,17 @@ def _counter(path: str, text: int):
 class Ledger:
     """Totals of token counts in a folder that all executors share.
 
-    ``commit`` takes changes with columns op ('insert', 'delete' or 'revise'), doc_id, source, lang
-    and text.  A deleted or revised document leaves with the counts that the ledger holds for it; of
-    a document the ledger doesn't hold, a delete changes nothing and a revision inserts.  Inserting
-    a document again adds it again.  Null texts count 0 tokens; null sources and languages are
-    groups of their own; changes without op are ignored.  One batch is committed at a time.
+    ``commit`` takes changes with columns op ('insert', 'delete' or 'revise'), doc_id, source, lang,
+    text and, if a document can have several changes in a batch, seq: they apply in its order.  Of
+    the same seq (a missing or null one comes first), inserts apply before revisions and these
+    before deletes; of revisions with the same seq, that of the greatest text hash is left.
+
+    A deleted or revised document leaves with all counts that the ledger holds for it, whatever
+    their tokenizer version, and with those of earlier changes of its batch; of a document that
+    isn't held, a delete changes nothing and a revision inserts.  Inserting a document again adds it
+    again; without doc_id, revisions insert and deletes change nothing.  Null texts count 0 tokens;
+    null sources and languages are groups of their own; changes without op are ignored.  One batch
+    is committed at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, version: str = VERSION):
@@ -78,14 +87,22 @@ class Ledger:
         if self._exists(f"{path}/_SUCCESS"):
             return False
         small_batches(self.spark)
-        changes = changes.select("op", F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col("text").alias("text"))
-        coming = changes.where("op in ('insert', 'revise')").select("doc_id", "source", "lang", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), "text")
-        coming = coming.mapInArrow(_counter(self.tokenizer, 4), "doc_id long, source string, lang string, n_chars long, n_tokens long")
+        seq = F.coalesce(F.col("seq").cast("long"), F.lit(_FIRST)) if "seq" in changes.columns else F.lit(_FIRST)
+        rank = F.expr("case op when 'insert' then 0 when 'revise' then 1 when 'delete' then 2 end")
+        text = F.when(F.col("op") != "delete", F.col("text"))
+        changes = changes.select(F.col("doc_id").cast("long").alias("doc_id"), seq.alias("seq"), rank.alias("rank"), F.xxhash64("text").alias("hash"), "source", "lang", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), text.alias("text"))
+        changes = changes.where("rank < 2 or rank = 2 and doc_id is not null")
+        changes = written(changes.mapInArrow(_counter(self.tokenizer, 7), "doc_id long, seq long, rank int, hash long, source string, lang string, n_chars long, n_tokens long"), "changes")
+        # The last change of a document that clears it, and the inserts after that.
+        last = changes.where("rank > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("seq", "rank", "hash", "source", "lang", "n_chars", "n_tokens")).alias("last"))
+        added = changes.where("rank = 0 or doc_id is null").withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("hash", "source", "lang", "n_chars")).otherwise(F.lit(0)))
+        cleared = last.select("doc_id", F.lit(0).cast("long").alias("spread"), F.col("last.seq").alias("cleared"))
+        added = added.join(cleared, ["doc_id", "spread"], "left").where("cleared is null or seq > cleared")
+        coming = added.select(*_COUNTED).unionByName(last.where("last.rank = 1").select("doc_id", *[F.col(f"last.{c}").alias(c) for c in _COUNTED[1:]]))
         signed = coming.select("doc_id", "source", "lang", F.lit(self.version).alias("version"), F.lit(1).cast("long").alias("sign"), "n_tokens", "n_chars")
         held = self.rows()
         if held is not None:
-            gone = changes.where("op in ('delete', 'revise')").select("doc_id").distinct()
-            held = held.where((F.col("version") == self.version) & (F.col("batch") != batch)).join(gone, "doc_id", "left_semi")
+            held = held.where(F.col("batch") != batch).join(last.select("doc_id"), "doc_id", "left_semi")
             state = held.groupBy("doc_id", *KEYS).agg(*[F.sum(c).alias(c) for c in ("sign", "n_tokens", "n_chars")]).where("sign <> 0")
             signed = signed.unionByName(state.select("doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in ("sign", "n_tokens", "n_chars")]))
         signed.write.mode("overwrite").parquet(path)

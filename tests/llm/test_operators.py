@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from splatloom.llm import decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, secrets, text, token_counts
+from splatloom.llm import decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, queries, secrets, text, token_counts
 from splatloom.llm.components import connected_components
 from splatloom.llm.html_blocks import blocks
 
@@ -418,6 +418,34 @@ def test_token_ledger(spark, awkward, tmp_path):
     assert sum(r["n_docs"] for r in after.values()) == awkward.count() - 1
 
 
+def test_token_ledger_of_several_changes(spark, tmp_path):
+    schema = "op string, doc_id long, source string, lang string, text string, seq long"
+    rows = lambda *changes: spark.createDataFrame([(o, i, "s", "l", t, q) for o, i, t, q in changes], schema)
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    state = lambda: sorted((r["version"], r["n_docs"], r["n_chars"]) for r in ledger.totals().collect())
+    assert ledger.commit("a", rows(("insert", 1, "aaa", 1), ("insert", 2, "bb", 1), ("delete", 2, None, 1), ("insert", 3, "c", 1), ("insert", None, "nn", 1), ("delete", None, None, 2)))
+    assert state() == [("byte_bpe_50k", 3, 6)]
+    # 1 revised twice and repeated, 2 deleted and inserted anew, 3 revised and deleted, 4 deleted before its insert.
+    changes = [("revise", 1, "long text", 2), ("revise", 1, "x", 3), ("revise", 1, "x", 3), ("delete", 2, None, 1), ("insert", 2, "bbbb", 2), ("revise", 3, "ccc", None), ("delete", 3, None, None), ("insert", 4, "dd", 2), ("delete", 4, None, 1)]
+    assert ledger.commit("b", rows(*changes)) and not ledger.commit("b", rows(*changes))
+    assert state() == [("byte_bpe_50k", 4, 9)]
+    newer = token_counts.Ledger(spark, ledger.folder, version="v2")
+    assert newer.commit("c", rows(("delete", 1, None, 1), ("insert", 5, "eeeee", 1), ("revise", 4, "d", 1)))
+    assert state() == [("byte_bpe_50k", 2, 6), ("v2", 2, 6)]
+
+
+def test_token_query_equals_the_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = docs.groupBy("source", "lang").agg(F.count("*"), F.sum(F.length("text"))).collect()
+    folders = []
+    commit = token_counts.Ledger.commit
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(token_counts.Ledger, "commit", lambda self, batch, changes: folders.append((self, batch)) or commit(self, batch, changes))
+        got = queries.op10_token_counts(spark, SF).collect()
+    assert sorted((r["source"], r["lang"], r["n_docs"], r["n_chars"]) for r in got) == sorted(map(tuple, want))
+    assert folders[0][0].rows().where("sign < 0").count() >= docs.count()
+
+
 def test_words_and_hashes():
     import pyarrow as pa
 
