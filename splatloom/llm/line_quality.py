@@ -1,8 +1,9 @@
 """Quality rules: measures of each text, and lines that too many documents of a host share.
 
-Built-in functions only.  Lines are normalised and hashed; a host's lines are counted by the number
-of distinct texts that hold them (exact copies of a document are one text).  Lines above the limit
-are removed, and a document that loses too large a part of its words is rejected.
+Built-in functions only.  One pass over the texts takes the measures and hashes the normalised
+lines; both go to the shared folder.  A host's lines are counted by the number of its documents
+that hold them.  Lines above the limits are removed, and a document that loses too large a part of
+its words is rejected.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from .session import written
 SPACE = r"[\x20\x09-\x0D]+"
 #: Base rules.
 LEAST_WORDS, REPEATED_PERCENT = 50, 50
-#: A line is removed if more distinct texts of its host hold it than both LINE_TEXTS and LINE_SHARE of the host's texts.
-LINE_TEXTS, LINE_SHARE = 10, 0.02
+#: A line is removed if more than LINE_DOCS documents of its host hold it, and they are more than LINE_SHARE of the
+#: host's documents or more than LINE_MANY.
+LINE_DOCS, LINE_SHARE, LINE_MANY = 10, 0.02, 1_000
 #: A document of which less than this part of its words is left is depleted.
 LEFT_SHARE = 0.5
-_INDEX_BITS = 24
 
 
 def text_words(text: Column) -> Column:
@@ -30,83 +31,74 @@ def text_words(text: Column) -> Column:
 def repeated_words(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more in ``words``.
 
-    Windows are sorted as longs of hash and index; neighbours with the same hash are compared word
-    by word.  Texts may have up to 2**24 words.
+    A text whose windows all hash differently repeats none.  Otherwise the windows are sorted by
+    hash and words, so that equal ones are neighbours; texts may be of any length.
     """
-    low = (1 << _INDEX_BITS) - 1
-    index = lambda x: x.bitwiseAND(F.lit(low)).cast("int")
-    packed = F.transform(F.sequence(F.lit(0), F.size(words) - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).bitwiseAND(F.lit(~low)).bitwiseOR(i.cast("long")))
+    at = lambda i: [F.get(words, i + k) for k in range(3)]
+    starts = F.sequence(F.lit(0), F.size(words) - 3)
+    hashes = F.transform(starts, lambda i: F.xxhash64(*at(i)))
+    windows = F.transform(starts, lambda i: F.struct(F.xxhash64(*at(i)).alias("h"), *[w.alias(f"w{k}") for k, w in enumerate(at(i))], i.alias("i")))
 
     def same(x: Column, y: Column) -> Column:
-        near = F.shiftright(x, _INDEX_BITS) == F.shiftright(y, _INDEX_BITS)
-        for k in range(3):
-            near = near & (F.get(words, index(x) + k) == F.get(words, index(y) + k))
-        return F.coalesce(near, F.lit(False))
+        return F.coalesce((x["h"] == y["h"]) & (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"]), F.lit(False))
 
     def found(ordered: Column) -> Column:
         twice = F.filter(ordered, lambda x, k: same(x, F.get(ordered, k + 1)) | same(x, F.get(ordered, k - 1)))
-        starts = F.sort_array(F.transform(twice, index))
         zero = F.struct(F.lit(-3).alias("last"), F.lit(0).cast("long").alias("n"))
         add = lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n"))
-        return F.aggregate(starts, zero, add, lambda acc: acc["n"])
+        return F.aggregate(F.sort_array(F.transform(twice, lambda x: x["i"])), zero, add, lambda acc: acc["n"])
 
-    # The one-element array gives the sorted windows a name, so that they are computed once.
-    value = F.get(F.transform(F.array(F.sort_array(packed)), found), 0)
-    return F.when(F.size(words) > 3, value).otherwise(F.lit(0).cast("long"))
+    # One-element arrays give values a name, so that they are computed once.
+    alike = F.get(F.transform(F.array(hashes), lambda h: F.size(F.array_distinct(h)) < F.size(h)), 0)
+    value = F.get(F.transform(F.array(F.sort_array(windows)), found), 0)
+    return F.when((F.size(words) > 3) & alike, value).otherwise(F.lit(0).cast("long"))
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, key, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed); key hashes the text."""
+    """(doc_id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, held).
+
+    ``held`` lists the hash and the number of words of each line that has a word, normalised to
+    lower case and single spaces.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))  # the column of that name below
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
+    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "))
+    hashed = lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n"))
     out = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     out = out.withColumns({"words": text_words(text), "lines": lines})
     out = out.select(
         "doc_id",
         "host",
-        F.xxhash64(text).alias("key"),
         F.size("words").cast("long").alias("n_words"),
         F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.regexp_replace(text, r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_words(F.col("words")).alias("n_repeat_words"),
+        F.transform(F.transform("lines", normal), hashed).alias("held"),
     )
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PERCENT * F.col("n_words")))
 
 
-def host_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(doc_id, host, key, pos, line, n): the hash of each normalised line with a word, and its words."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    normal = lambda x: F.trim(F.regexp_replace(F.lower(x), r"[\x20\x09-\x0D]+", " "))
-    lines = F.filter(F.transform(F.split(text, "\n", -1), normal), lambda x: x != "")
-    hashed = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("line"), (F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("long").alias("n")))
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.xxhash64(text).alias("key"), F.posexplode(hashed).alias("pos", "l"))
-    return out.select("doc_id", "host", "key", "pos", "l.line", "l.n")
-
-
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_removed_words).
 
-    One row for every row of ``docs``; null and empty texts have no words and fail.  A null host is
-    a host of its own.  ``kept`` is false where the base rules fail or less than ``LEFT_SHARE`` of
-    the words stand outside the removed lines.
+    One row for every row of ``docs``, each a document of its own; null and empty texts have no words
+    and fail.  A null host is a host of its own.  ``kept`` is false where the base rules fail or less
+    than ``LEFT_SHARE`` of the words stand outside the removed lines.  Texts may be of any length.
     """
-    base = measures(docs, id_col, text_col, host_col)
-    lines = host_lines(docs, id_col, text_col, host_col)
-    hosts = docs.select(F.col(host_col).alias("host"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
-    hosts = hosts.groupBy("host").agg(F.count_distinct("key").alias("texts"))
-    # First one row for each text and line, so that a hot line is counted from many partial counts.
-    counts = lines.groupBy("host", "line", "key").agg(F.lit(1).alias("one")).groupBy("host", "line").agg(F.count("*").alias("texts")).where(F.col("texts") > LINE_TEXTS)
-    common = counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(F.col("c.texts") > LINE_SHARE * F.col("h.texts"))
-    common = written(common.select("c.host", "c.line"), "lines")
+    base = written(measures(docs, id_col, text_col, host_col).withColumn("row", F.monotonically_increasing_id()), "measures")
+    hosts = base.groupBy("host").agg(F.count("*").alias("docs"))
+    # A document counts once for each of its lines; counts are added up before the shuffle, so hot lines are cheap.
+    counts = base.select("host", F.explode(F.array_distinct(F.transform("held", lambda x: x["line"]))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs"))
+    above = (F.col("c.docs") > LINE_DOCS) & ((F.col("c.docs") > LINE_SHARE * F.col("h.docs")) | (F.col("c.docs") > LINE_MANY))
+    common = written(counts.alias("c").join(hosts.alias("h"), F.expr("c.host <=> h.host")).where(above).select("c.host", "c.line"), "lines")
+    lines = base.select("row", "host", F.explode("held").alias("l")).select("row", "host", "l.line", "l.n")
     inside = lines.alias("l").join(common.alias("c"), F.expr("l.line = c.line and l.host <=> c.host"), "left_semi")
-    # Rows of the same id, host and text have the same lines: they count once.
-    inside = inside.groupBy("doc_id", "host", "key", "pos").agg(F.first("n").alias("n"))
-    removed = inside.groupBy("doc_id", "host", "key").agg(F.sum("n").alias("removed"))
-    out = base.alias("b").join(removed.alias("r"), F.expr("b.doc_id <=> r.doc_id and b.host <=> r.host and b.key = r.key"), "left")
-    lost = F.coalesce(F.col("r.removed"), F.lit(0).cast("long"))
+    removed = inside.groupBy("row").agg(F.sum("n").alias("removed"))
+    lost = F.coalesce(F.col("removed"), F.lit(0).cast("long"))
     kept = ~F.col("base_failed") & (F.col("n_words") - lost >= LEFT_SHARE * F.col("n_words"))
-    return out.select("b.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), lost.alias("n_removed_words"))
+    out = base.drop("held", "host").join(removed, "row", "left")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), lost.alias("n_removed_words"))
 
 
 SQL = rf"""
@@ -120,11 +112,12 @@ b as (select d.row, d.doc_id, d.source, d.text, len(words)::bigint as n_words, l
   (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
   (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from d join w using (row) left join repeated r using (row)),
-l as (select row, source, text, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) as line
-  from (select row, source, text, unnest(string_split(text, chr(10))) as x from d)),
-hosts as (select source, count(distinct text) as texts from d group by source),
+l as (select row, source, trim(regexp_replace(lower(x), '[\x20\x09-\x0D]+', ' ', 'g')) as line
+  from (select row, source, unnest(string_split(text, chr(10))) as x from d)),
+hosts as (select source, count(*) as docs from d group by source),
 common as (select l.source, l.line from l join hosts h on l.source is not distinct from h.source where l.line <> ''
-  group by l.source, l.line, h.texts having count(distinct l.text) > {LINE_TEXTS} and count(distinct l.text) > {LINE_SHARE}::double * h.texts),
+  group by l.source, l.line, h.docs having count(distinct l.row) > {LINE_DOCS}
+  and (count(distinct l.row) > {LINE_SHARE}::double * h.docs or count(distinct l.row) > {LINE_MANY})),
 removed as (select row, sum(len(string_split(l.line, ' ')))::bigint as n
   from l join common c on l.line = c.line and l.source is not distinct from c.source group by row)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,

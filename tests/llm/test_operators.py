@@ -243,6 +243,19 @@ def test_common_lines_deplete(spark):
     assert all(got[i]["kept"] == (i >= 30) and got[i]["n_removed_words"] == (60 if i < 30 else 0) for i in range(60))
 
 
+def test_lines_of_copies_and_of_large_hosts(spark, monkeypatch):
+    """Copies are documents of their own; a line in many documents goes however large its host is."""
+    words = lambda i: " ".join(f"u{i}x{k}" for k in range(80))
+    rows = [(i, words(0), "copies") for i in range(12)] + [(i, words(i) + ("\ncommon line of the host" if i < 115 else ""), "large") for i in range(100, 900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r["doc_id"]: r for r in line_quality.quality(docs).collect()}
+    assert not any(got[i]["kept"] for i in range(12)) and got[0]["n_removed_words"] == 80
+    assert got[100]["n_removed_words"] == 0
+    monkeypatch.setattr(line_quality, "LINE_MANY", 14)
+    got = {r["doc_id"]: r for r in line_quality.quality(docs).collect()}
+    assert all(got[i]["n_removed_words"] == (5 if i < 115 else 0) and got[i]["kept"] for i in range(100, 900))
+
+
 def test_quality_model(spark, awkward, empty):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rated = quality_model.ratings_of(labels)
