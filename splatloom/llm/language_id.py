@@ -1,11 +1,12 @@
 """Language identification by prediction by partial matching (PPM).
 
-For each language a context tree over the last ``ORDER`` bytes counts which byte follows.  A byte's
-probability comes from the longest context; a byte not seen there costs an escape (method C:
-distinct symbols over total plus distinct) to the next shorter context, with the symbols already
-ruled out excluded, down to a uniform choice.  The statistics are frozen after training, so the
-code length of each byte in each context and language is a constant, kept in one table.  A text's
-language is the one with the shortest code.
+Each language has a context tree of its own over the last ``ORDER`` bytes, which counts the bytes
+that follow each context of 0 to ``ORDER`` bytes.  A byte's probability comes from the longest
+context that the tree knows; a byte not seen there costs an escape (method C: distinct symbols over
+total plus distinct) to the next shorter context, with the symbols already ruled out excluded, down
+to a uniform choice.  No context is left out, whatever its count.  The statistics are frozen after
+training, so a byte's code length depends on nothing but the bytes before it, and a text's language
+is the one with the shortest code.
 """
 
 from __future__ import annotations
@@ -18,144 +19,153 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .session import small_batches
-from .text import buffers, chunks
+from .text import buffers
 
 ORDER = 3
-#: Documents of each language, in the mean, that the statistics are learned from.
-SAMPLE_DOCS = 2_000
-#: Contexts of each order above 1: the most frequent ones, seen at least so often.
-MOST_CONTEXTS, LEAST_COUNT = 8_192, 8
+#: Documents, and bytes of text, of each language, in the mean, that its tree is learned from.
+SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 8 << 20
+#: Bytes of text looked at together, and code lengths that a worker keeps for later texts.
+SLICE, KEPT = 1 << 20, 1 << 22
 _SHARES = 1 << 20
 
 
-def _history(raw: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """For each byte the 1st, 2nd, ... byte before it; 0 before the start of its text."""
-    out, starts = [], offsets[:-1][np.diff(offsets) > 0]
-    ends = offsets[1:][np.diff(offsets) > 0]
+def grams(raw: np.ndarray, offsets: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Each byte of ``raw[a:b]`` with the ``ORDER`` bytes before it in higher places; 0 before the start of its text."""
+    out = raw[a:b].astype(np.int64)
     for k in range(1, ORDER + 1):
-        past = np.zeros(len(raw), np.uint8)
-        past[k:] = raw[: max(0, len(raw) - k)]
-        for j in range(k):
-            at = starts + j
-            past[at[at < ends]] = 0
-        out.append(past)
+        past = raw[max(0, a - k) : b - k] if b > k else raw[:0]
+        out[b - a - len(past) :] |= past.astype(np.int64) << 8 * k
+    starts = offsets[np.searchsorted(offsets, a - ORDER) : np.searchsorted(offsets, b)]
+    for j in range(ORDER):
+        at = starts + j - a
+        at = at[(at >= 0) & (at < b - a)]
+        out[at] &= (1 << 8 * (j + 1)) - 1
     return out
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(lang, gram, n): how often each byte follows each context of ORDER bytes, packed into 32 bits."""
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, gram, n) of the texts of each batch."""
     for batch in batches:
-        langs = np.array(batch.column(0).to_pylist(), dtype=object)
+        names, index = np.unique(np.array(batch.column(0).to_pylist(), dtype=object).astype(str), return_inverse=True)
         raw, offsets = buffers(batch.column(1))
-        past = _history(raw, offsets)
-        gram = (past[2].astype(np.int64) << 24) | (past[1].astype(np.int64) << 16) | (past[0].astype(np.int64) << 8) | raw
-        names, index = np.unique(langs.astype(str), return_inverse=True)
-        key, n = np.unique((np.repeat(index, np.diff(offsets)).astype(np.int64) << 32) | gram, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(names[key >> 32].tolist(), pa.string()), pa.array(key & 0xFFFFFFFF), pa.array(n)], ["lang", "gram", "n"])
+        owner = np.repeat(index, np.diff(offsets))
+        for a in range(0, len(raw), SLICE):
+            b = min(a + SLICE, len(raw))
+            found = grams(raw, offsets, a, b)
+            for k, name in enumerate(names):
+                gram, n = np.unique(found[owner[a:b] == k], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(gram), pa.string()), pa.array(gram), pa.array(n)], ["lang", "gram", "n"])
+
+
+def _places(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the sorted ``keys`` hold each wanted one, and whether they do."""
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+class Tree:
+    """One language's contexts of every order, with what follows them."""
+
+    def __init__(self, gram: np.ndarray, n: np.ndarray):
+        self.seen, self.n, self.contexts, self.total, self.distinct = [], [], [], [], []
+        #: What a context's symbols count in its parent, the context one byte shorter: ruled out there after an escape.
+        self.ruled = []
+        for k in range(ORDER + 1):
+            seen, index = np.unique(gram & ((1 << 8 * (k + 1)) - 1), return_inverse=True)
+            counts = np.bincount(index, weights=n)
+            contexts, own = np.unique(seen >> 8, return_inverse=True)
+            self.ruled.append(np.bincount(own, weights=self.n[-1][_places(self.seen[-1], seen & ((1 << 8 * k) - 1))[0]]) if k else np.zeros(1))
+            self.seen.append(seen)
+            self.n.append(counts)
+            self.contexts.append(contexts)
+            self.total.append(np.bincount(own, weights=counts))
+            self.distinct.append(np.bincount(own).astype(float))
+
+    def code_lengths(self, gram: np.ndarray) -> np.ndarray:
+        """-log2 P(last byte | bytes before it) of each gram."""
+        bits = np.zeros(len(gram))
+        open_ = np.ones(len(gram), bool)
+        ruled, gone = np.zeros(len(gram)), np.zeros(len(gram))  # of the longer context
+        for k in range(ORDER, -1, -1):
+            live = np.flatnonzero(open_)
+            own = gram[live] & ((1 << 8 * (k + 1)) - 1)
+            context, known = _places(self.contexts[k], own >> 8)
+            live, own, context = live[known], own[known], context[known]
+            distinct = self.distinct[k][context] - gone[live]
+            whole = self.total[k][context] - ruled[live] + distinct
+            symbol, hit = _places(self.seen[k], own)
+            chance = np.where(hit, self.n[k][symbol], distinct) / np.maximum(whole, 1)
+            bits[live[whole > 0]] -= np.log2(chance[whole > 0])
+            open_[live[hit]] = False
+            ruled[live], gone[live] = self.ruled[k][context], self.distinct[k][context]
+        rest = np.flatnonzero(open_)
+        bits[rest] += np.log2(np.maximum(256 - gone[rest], 1))
+        return bits
 
 
 class PPM:
-    """Code lengths of every byte in every context for each language."""
-
-    def __init__(self, langs: np.ndarray, lang: np.ndarray, gram: np.ndarray, n: np.ndarray):
-        self.langs = langs
-        seen = np.unique(gram & 255)
-        self.symbol = np.full(256, len(seen), np.int64)  # the last column: bytes never seen
-        self.symbol[seen] = np.arange(len(seen))
-        width, column = len(seen) + 1, self.symbol[gram & 255]
-        contexts, own = [np.zeros(1, np.int64)], [np.zeros(len(gram), np.int64)]
-        for k in range(1, ORDER + 1):
-            code, index = np.unique((gram >> 8) & ((1 << 8 * k) - 1), return_inverse=True)
-            total = np.bincount(index, weights=n)
-            kept = np.flatnonzero(total >= LEAST_COUNT)
-            if len(kept) > MOST_CONTEXTS:
-                kept = np.sort(kept[np.argsort(-total[kept], kind="stable")[:MOST_CONTEXTS]])
-            kept = kept[np.isin(code[kept] & ((1 << 8 * (k - 1)) - 1), contexts[-1])] if k > 1 else kept
-            contexts.append(code[kept])
-            place = np.full(len(code), -1, np.int64)
-            place[kept] = np.arange(len(kept))
-            own.append(place[index])
-        shorter = [np.zeros(1, np.int64)] + [np.searchsorted(contexts[k - 1], contexts[k] & ((1 << 8 * (k - 1)) - 1)) for k in range(1, ORDER + 1)]
-        first = np.cumsum([0, *map(len, contexts)])
-        bits = np.zeros((first[-1], width, len(langs)), np.float32)
-        for x in range(len(langs)):
-            counts = []
-            for k in range(ORDER + 1):
-                c = np.zeros((len(contexts[k]), width))
-                mine = (lang == x) & (own[k] >= 0)
-                np.add.at(c, (own[k][mine], column[mine]), n[mine])
-                counts.append(c)
-            for k in range(ORDER + 1):
-                bits[first[k] : first[k + 1], :, x] = _code_lengths(counts, shorter, k)
-        self.width, self.bits = width, bits.reshape(-1, len(langs))
-        # From the last bytes to the longest context that is known.
-        one = np.zeros(256, np.int32)
-        one[contexts[1]] = first[1] + np.arange(len(contexts[1]))
-        two = np.repeat(one[None, :], 256, axis=0).reshape(-1)
-        two[contexts[2]] = first[2] + np.arange(len(contexts[2]))
-        pair = np.zeros(1 << 16, np.int32)
-        pair[contexts[2]] = 1 + np.arange(len(contexts[2]))
-        three = np.tile(np.append(0, first[2] + np.arange(len(contexts[2]))).astype(np.int32), 256)
-        three[(contexts[3] >> 16) * (len(contexts[2]) + 1) + pair[contexts[3] & 0xFFFF]] = first[3] + np.arange(len(contexts[3]))
-        self.two, self.pair, self.three = two, pair, three
+    """The trees of all languages, and the code lengths that were asked for so far."""
+
+    def __init__(self, langs: np.ndarray, trees: list[Tree]):
+        self.langs, self.trees = langs, trees
+        self._known, self._bits = np.zeros(0, np.int64), np.zeros((len(trees), 0), np.float32)
+
+    def _lookup(self, gram: np.ndarray) -> np.ndarray:
+        """Code lengths [languages, grams] of distinct grams."""
+        known = _places(self._known, gram)[1] if len(self._known) else np.zeros(len(gram), bool)
+        if not known.all():
+            fresh = gram[~known]
+            if (len(self._known) + len(fresh)) * len(self.trees) > KEPT:
+                self._known, self._bits, fresh = self._known[:0], self._bits[:, :0], gram
+            keys = np.concatenate([self._known, fresh])
+            order = np.argsort(keys, kind="stable")
+            bits = np.stack([t.code_lengths(fresh) for t in self.trees]).astype(np.float32)
+            self._known, self._bits = keys[order], np.concatenate([self._bits, bits], axis=1)[:, order]
+        at = np.searchsorted(self._known, gram)
+        return self._bits[:, at]
 
     def code_lengths(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each text in each language."""
-        past = _history(raw, offsets)
-        code = (past[1].astype(np.int32) << 8) | past[0]
-        pair = self.pair[code]
-        state = np.where(pair > 0, self.three[past[2].astype(np.int32) * (len(self.three) // 256) + pair], self.two[code])
-        each = self.bits[state.astype(np.int64) * self.width + self.symbol[raw]]
-        out = np.zeros((len(offsets) - 1, len(self.langs)))
-        full = np.flatnonzero(np.diff(offsets))
-        if len(full):
-            out[full] = np.add.reduceat(each, offsets[:-1][full], axis=0, dtype=np.float64)
+        out = np.zeros((len(offsets) - 1, len(self.trees)))
+        row = np.flatnonzero(np.diff(offsets))
+        for a in range(0, len(raw), SLICE):
+            b = min(a + SLICE, len(raw))
+            own = row[(offsets[row] < b) & (offsets[row + 1] > a)]
+            gram, index = np.unique(grams(raw, offsets, a, b), return_inverse=True)
+            for k, bits in enumerate(self._lookup(gram)):
+                out[own, k] += np.add.reduceat(bits[index], np.maximum(offsets[own], a) - a, dtype=np.float64)
         return out
 
 
-def _code_lengths(counts: list[np.ndarray], shorter: list[np.ndarray], k: int) -> np.ndarray:
-    """-log2 P(symbol | context) for all contexts of order k, with escapes and exclusion."""
-    n, width = counts[k].shape
-    chance, escape = np.zeros((n, width)), np.ones((n, 1))
-    gone, at = np.zeros((n, width), bool), np.arange(n)
-    for j in range(k, -1, -1):
-        c = np.where(gone, 0, counts[j][at])
-        total, distinct = c.sum(axis=1, keepdims=True), (c > 0).sum(axis=1, keepdims=True)
-        chance += escape * c / np.maximum(total + distinct, 1)
-        escape = np.where(total > 0, escape * distinct / np.maximum(total + distinct, 1), escape)
-        gone |= c > 0
-        at = shorter[j][at]
-    rest = escape / np.maximum(256 - gone.sum(axis=1, keepdims=True), 1)
-    return -np.log2(np.where(gone, chance, rest))
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS) -> PPM | None:
-    """Learn from about ``sample_docs`` texts of each language, drawn by a hash of the id; None without any."""
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PPM | None:
+    """Learn from texts of each language, drawn by a hash of the id; None without any.
+
+    A language's sample has ``sample_docs`` texts and ``sample_bytes`` bytes in the mean at most; the
+    model has one tree for each language, whose size that sample bounds.
+    """
     small_batches(docs.sparkSession)
     learned = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and id is not null and text <> ''")
-    counts = {r["lang"]: r["n"] for r in learned.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return None
-    limits = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(_SHARES, -(-sample_docs * _SHARES // n)))])
-    sample = learned.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.element_at(limits, F.col("lang")))
-    grams = sample.select("lang", "text").mapInArrow(_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    table = grams.toArrow()
+    sizes = learned.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    share = F.least(sample_docs / F.col("n"), sample_bytes / F.col("bytes")) * _SHARES
+    sample = learned.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.ceil(share))
+    table = sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         return None
     langs, lang = np.unique(np.array(table.column("lang").to_pylist()), return_inverse=True)
-    return PPM(langs, lang, table.column("gram").to_numpy(), table.column("n").to_numpy().astype(np.float64))
+    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy().astype(float)
+    return PPM(langs, [Tree(gram[lang == k], n[lang == k]) for k in range(len(langs))])
 
 
 def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
-            for a, b in chunks(offsets, 1 << 20):
-                bits = model.code_lengths(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                best = bits.argmin(axis=1)
-                score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(model.langs[best].tolist(), pa.string()), pa.array(score)], ["id", "letter", "lang_pred", "score"])
+            if not batch.num_rows:
+                continue
+            bits = model.code_lengths(*buffers(batch.column(1)))
+            best = bits.argmin(axis=1)
+            score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.langs[best].tolist(), pa.string()), pa.array(score)], ["id", "letter", "lang_pred", "score"])
 
     return run
 
@@ -164,7 +174,7 @@ def identify(docs: DataFrame, model: PPM | None, id_col: str = "doc_id", text_co
     """(doc_id, lang_pred, score) for every row of ``docs``; the score is the posterior of equal priors.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text without a model.
-    Equal code lengths go to the first language by name.
+    Equal code lengths go to the first language by name.  Long texts are read slice by slice.
     """
     small_batches(docs.sparkSession)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))

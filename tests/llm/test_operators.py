@@ -204,17 +204,59 @@ def test_language(spark, awkward):
     assert language_id.train(awkward.limit(0)) is None
 
 
-def test_code_lengths_are_a_distribution():
+def test_rare_and_non_latin_languages(spark):
+    """A language with few texts beside many of others keeps all of its contexts."""
+    base = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    r = np.random.default_rng(4)
+    vocabulary = {"xx": ["kilo", "malu", "sefo", "rani", "tupe", "wako", "zimu"], "el": ["θάλασσα", "ουρανός", "βιβλίο", "σπίτι", "νερό", "φως"], "hi": ["पानी", "किताब", "घर", "सूरज", "नदी", "पेड़"]}
+    rows = [(1_000_000 + 100 * k + i, " ".join(r.choice(v, 12)), lang) for k, (lang, v) in enumerate(vocabulary.items()) for i in range(12)]
+    docs = base.unionByName(spark.createDataFrame(rows, base.schema))
+    model = language_id.train(docs.where("doc_id % 4 <> 1"))
+    found = language_id.identify(docs.where("doc_id % 4 = 1 and doc_id > 999999"), model).join(docs, "doc_id")
+    assert found.count() == 9 and found.where("lang = lang_pred").count() == 9
+
+
+def _plain_ppm(learned, order):
+    """P(byte | bytes before it) by recursion over dictionaries."""
+    counts = {}
+    for t in learned:
+        padded = bytes(order) + t
+        for i in range(len(t)):
+            for k in range(order + 1):
+                own = counts.setdefault(padded[order + i - k : order + i], {})
+                own[t[i]] = own.get(t[i], 0) + 1
+
+    def chance(context, byte, ruled):
+        own = {s: n for s, n in counts.get(context, {}).items() if s not in ruled}
+        total = sum(own.values()) + len(own)
+        if byte in own:
+            return own[byte] / total
+        out = len(own) / total if total else 1
+        return out * (chance(context[1:], byte, ruled | own.keys()) if context else 1 / (256 - len(ruled | own.keys())))
+
+    return lambda t: -sum(np.log2(chance((bytes(order) + t)[i : order + i], t[i], frozenset())) for i in range(len(t)))
+
+
+@pytest.mark.parametrize("size", [1 << 20, 97])
+def test_code_lengths_equal_a_plain_version(monkeypatch, size):
+    monkeypatch.setattr(language_id, "SLICE", size)
+    monkeypatch.setattr(language_id, "KEPT", 300)
     r = np.random.default_rng(0)
-    raw = r.choice(np.frombuffer(b"abcd e", np.uint8), 3000)
-    past = language_id._history(raw, np.array([0, 3000]))
-    gram = (past[2].astype(np.int64) << 24) | (past[1].astype(np.int64) << 16) | (past[0].astype(np.int64) << 8) | raw
-    gram, n = np.unique(gram, return_counts=True)
-    model = language_id.PPM(np.array(["x"]), np.zeros(len(gram), np.int64), gram, n.astype(float))
-    each = 2.0 ** -model.bits.reshape(-1, model.width)
-    seen = model.width - 1
-    assert np.all(each[:, :seen].sum(axis=1) + (256 - seen) * each[:, seen] <= 1 + 1e-5)
-    assert np.allclose(each[0, :seen].sum() + (256 - seen) * each[0, seen], 1, atol=1e-5)
+    draw = lambda letters, n: [bytes(r.choice(np.frombuffer(letters, np.uint8), r.integers(0, 60))) for _ in range(n)]
+    learned = [draw(b"abcd e", 30), draw(b"xyab ", 10)]
+
+    def packed(texts):
+        return np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
+
+    trees = []
+    for texts in learned:
+        raw, offsets = packed(texts)
+        trees.append(language_id.Tree(*np.unique(language_id.grams(raw, offsets, 0, len(raw)), return_counts=True)))
+    model = language_id.PPM(np.array(["a", "b"]), trees)
+    asked = [b"", *draw(b"abcdexyz q", 20), b"", b"q" * 130]
+    plain = [_plain_ppm(texts, language_id.ORDER) for texts in learned]
+    for _ in range(2):
+        assert np.allclose(model.code_lengths(*packed(asked)), [[p(t) for p in plain] for t in asked], rtol=1e-4)
 
 
 def test_line_quality(awkward):
