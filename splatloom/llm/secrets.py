@@ -1,14 +1,18 @@
 """Secret scans: patterns, and sliding-window entropy of candidate strings; built-in functions only.
 
-Candidate strings are runs of key characters.  A window of ``WINDOW`` characters slides over each;
-its Shannon entropy is kept up to date by the counts of the character that enters and the one that
-leaves.  A string whose entropy reaches the limit of its character class at some window is a
+Candidate strings are runs of key characters.  A window of ``WINDOW`` characters slides over each.
+The counts of its characters are held along the way, and those of the character that enters and of
+the one that leaves keep its Shannon entropy up to date.  A string whose entropy reaches the limit of its character class at some window is a
 secret from the first such window to the last, unless the allow-list knows it as a whole.  The work
-on a row needs no other row, so there is no shuffle.
+on a row needs no other row, so there is no shuffle, and it grows with the length of the text, however
+long a candidate is and however many matches there are.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +41,44 @@ ALLOWED = (
 )
 
 
+#: Characters of candidates.  Their counts in a window are held in whole numbers of 5 bits, _PER_LONG to a long.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+_BITS, _PER_LONG = 5, 12
+#: Items of a fold that are folded together before their results join those of the items before.
+_BLOCK = 512
+
+
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, with the value computed once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _fold(items: Column, first: Column, step: Callable[[Column, Column], tuple[Column, Column]], kind: str) -> Column:
+    """struct<state, out> of a fold over ``items``: ``step`` gives the next state and one more result of type ``kind``.
+
+    An append copies its array, so results are gathered block by block.
+    """
+    none, no_blocks = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
+
+    def add(acc: Column, item: Column) -> Column:
+        state, result = step(acc["state"], item)
+        return F.struct(state.alias("state"), F.array_append(acc["out"], result).alias("out"))
+
+    def gather(acc: Column, block: Column) -> Column:
+        own = F.aggregate(block, F.struct(acc["state"].alias("state"), none.alias("out")), add)
+        return F.struct(own["state"].alias("state"), F.array_append(acc["blocks"], own["out"]).alias("blocks"))
+
+    def folded(items: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(1), F.greatest(F.size(items), F.lit(1)), F.lit(_BLOCK)), lambda a: F.slice(items, a, F.lit(_BLOCK)))
+        zero = F.struct(first.alias("state"), no_blocks.alias("blocks"))
+        return F.aggregate(blocks, zero, gather, lambda acc: F.struct(acc["state"].alias("state"), F.flatten(acc["blocks"]).alias("out")))
+
+    return _named(items, folded)
+
+
+_SPAN = "struct<start: int, kind: int, end: int, value: string>"
+
+
 def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """array<struct<start, kind, end, value>> of a pattern's matches, by code points.
 
@@ -44,61 +86,60 @@ def _spans(text: Column, pattern: str, kind: int, group: int = 0) -> Column:
     """
     gaps = F.split(text, pattern, -1)
     found = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), 0).alias("m"), F.regexp_extract_all(text, F.lit(pattern), group).alias("v"), gaps.alias("g"))
-    empty = F.expr("cast(array() as array<struct<start: int, kind: int, end: int, value: string>>)")
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
+    def step(at: Column, x: Column) -> tuple[Column, Column]:
+        start = at + F.length(x["g"])
         end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], span).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), empty.alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(F.filter(found, lambda x: x["m"].isNotNull()), first, add, lambda acc: acc["out"])).otherwise(empty)
+        return end, F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["v"].alias("value"))
 
-
-def _term(count: Column) -> Column:
-    """c * log2 c, 0 for c = 0."""
-    return F.when(count > 1, count * F.log2(count.cast("double"))).otherwise(F.lit(0.0))
-
-
-def _count(part: Column, char: Column) -> Column:
-    return F.length(part) - F.length(F.replace(part, char, F.lit("")))
+    spans = _fold(F.filter(found, lambda x: x["m"].isNotNull()), F.lit(0), step, _SPAN)["out"]
+    return F.when(text.rlike(pattern), spans).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
 
 
 def _random_part(value: Column, limit: Column) -> Column:
-    """struct<a, b>: from the first to the last window of ``value`` whose entropy reaches ``limit``; a null if none."""
-
-    def slide(acc: Column, j: Column) -> Column:
-        since = F.greatest(j - WINDOW, F.lit(0))
-        leaving, entering = F.substring(value, since + 1, F.lit(1)), F.substring(value, j + 1, F.lit(1))
-        window = F.substring(value, since + 1, j - since)
-        out = _count(window, leaving)
-        middle = F.when(j >= WINDOW, F.substring(value, since + 2, j - since - 1)).otherwise(window)
-        into = _count(middle, entering)
-        total = acc["total"] + F.when(j >= WINDOW, _term(out - 1) - _term(out)).otherwise(F.lit(0.0)) + _term(into + 1) - _term(into)
-        entropy = F.log2(F.lit(float(WINDOW))) - total / WINDOW
-        hit = (j >= WINDOW - 1) & (entropy >= limit - 1e-9)
-        return F.struct(
-            total.alias("total"),
-            F.when(hit & acc["a"].isNull(), j - (WINDOW - 1)).otherwise(acc["a"]).alias("a"),
-            F.when(hit, j + 1).otherwise(acc["b"]).alias("b"),
-        )
+    """struct<a, b>: from the first to the last window of ``value`` whose entropy reaches ``limit``; nulls if none."""
+    longs = -(-len(_ALPHABET) // _PER_LONG)
+    slot_of = F.array(*[F.lit(max(0, _ALPHABET.find(chr(c)))) for c in range(128)])
+    terms = F.array(*[F.lit(float(c * math.log2(c)) if c else 0.0) for c in range(WINDOW + 2)])  # c log2 c
+    shift = lambda s: (s % _PER_LONG) * _BITS
+    owner = lambda s: F.floor(s / _PER_LONG).cast("int")
+    count = lambda counts, s: F.call_function("shiftright", F.get(counts, owner(s)), shift(s)).bitwiseAND(F.lit((1 << _BITS) - 1)).cast("int")
+    one = lambda s: F.call_function("shiftleft", F.lit(1).cast("long"), shift(s))
+
+    def slide(slots: Column, limit: Column):
+        def step(acc: Column, j: Column) -> Column:
+            into, gone, moving = F.get(slots, j), F.get(slots, j - WINDOW), j >= WINDOW
+            out_n = F.when(moving, count(acc["counts"], gone)).otherwise(1)
+            in_n = count(acc["counts"], into) - F.when(moving & (into == gone), 1).otherwise(0)
+            total = acc["total"] + F.get(terms, out_n - 1) - F.get(terms, out_n) + F.get(terms, in_n + 1) - F.get(terms, in_n)
+            counts = F.transform(acc["counts"], lambda v, k: v + F.when(k == owner(into), one(into)).otherwise(0) - F.when(moving & (k == owner(gone)), one(gone)).otherwise(0))
+
+            def judged(total: Column) -> Column:
+                hit = (j >= WINDOW - 1) & (F.lit(math.log2(WINDOW)) - total / WINDOW >= limit - 1e-9)
+                return F.struct(total.alias("total"), counts.alias("counts"), F.when(hit & acc["a"].isNull(), j - (WINDOW - 1)).otherwise(acc["a"]).alias("a"), F.when(hit, j + 1).otherwise(acc["b"]).alias("b"))
+
+            return _named(total, judged)
+
+        return step
 
     none = F.lit(None).cast("int")
-    zero = F.struct(F.lit(0.0).alias("total"), none.alias("a"), none.alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.length(value) - 1), zero, slide, lambda acc: F.struct(acc["a"], acc["b"]))
+    zero = F.struct(F.lit(0.0).alias("total"), F.array_repeat(F.lit(0).cast("long"), longs).alias("counts"), none.alias("a"), none.alias("b"))
+    slots = F.transform(F.split(value, ""), lambda c: F.get(slot_of, F.ascii(c)))
+    found = lambda x: F.aggregate(F.sequence(F.lit(0), F.size(x["slots"]) - 1), zero, slide(x["slots"], x["limit"]), lambda acc: F.struct(acc["a"].alias("a"), acc["b"].alias("b")))
+    return _named(F.struct(slots.alias("slots"), limit.alias("limit")), found)
 
 
-def _without(text: Column, spans: Column) -> Column:
-    """``text`` with the spans, in order of their start, blanked out: all other characters keep their places."""
+def _replaced(text: Column, spans: Column, stand_in: Callable[[Column, Column], Column]) -> Column:
+    """``text`` with the spans, in order of their start, replaced by ``stand_in(at, span)``; ``at`` is the end of what went before."""
 
-    def cut(acc: Column, s: Column) -> Column:
-        start, end = F.greatest(acc["at"], s["start"]), F.greatest(acc["at"], s["end"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), end - start)).alias("out"))
+    def pieces(wide: Column) -> Column:
+        # Four bytes to a character: a piece is found without reading what stands before it.
+        piece = lambda a, n: F.decode(F.substring(wide, 4 * a + 1, 4 * n), "UTF-32")
+        step = lambda at, s: (F.greatest(at, s["end"]), F.concat(piece(at, F.greatest(F.lit(0), s["start"] - at)), stand_in(at, s)))
+        done = lambda f: F.array_join(F.array_append(f["out"], piece(f["state"], F.length(text) - f["state"])), "")
+        return _named(_fold(spans, F.lit(0), step, "string"), done)
 
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) > 0, F.aggregate(spans, first, cut, rest)).otherwise(text)
+    return F.when(F.size(spans) > 0, _named(F.encode(text, "UTF-32"), pieces)).otherwise(text)
 
 
 def _entropy_spans(text: Column) -> Column:
@@ -119,7 +160,8 @@ def _scanned(docs: DataFrame, text_col: str, base_col: str, all_col: str) -> Dat
     base = F.array_sort(F.concat(assign, _spans(text, ACCESS, 1), _spans(text, HEX, 2)))
     rest_col = free_name(docs, "__rest")
     out = docs.withColumn(base_col, base)
-    out = out.withColumn(rest_col, _without(text, F.col(base_col)))
+    blank = lambda at, s: F.repeat(F.lit(" "), F.greatest(F.lit(0), s["end"] - F.greatest(at, s["start"])))
+    out = out.withColumn(rest_col, _replaced(text, F.col(base_col), blank))
     return out.withColumn(all_col, F.array_sort(F.concat(base_col, _entropy_spans(F.col(rest_col))))).drop(rest_col)
 
 
@@ -131,7 +173,9 @@ def _listed(spans: str) -> Column:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) for every row of ``docs``.
 
-    Spans are ``kind:start:end`` in code points, the end exclusive.  Entropy is looked for outside the base spans.  A null text is empty and has no spans; equal rows get equal results.
+    Spans are ``kind:start:end`` in code points, the end exclusive.  Entropy is looked for outside the
+    base spans.  A null text is empty and has no spans; equal rows get equal results.  Texts may be of
+    any length.
     """
     found = _scanned(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", "__base", "__all")
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
@@ -142,15 +186,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def masked(docs: DataFrame, text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with each run of overlapping spans in the text replaced by ``mask``; null texts stay null."""
-    text = F.col(text_col)
-
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))).otherwise(F.lit(""))
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
-
-    first = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
+    fresh = lambda at, s: F.when(s["start"] >= at, F.lit(mask)).otherwise("")
     base_col, all_col = free_name(docs, "__base"), free_name(docs, "__all")
-    clean = F.when(F.size(all_col) > 0, F.aggregate(all_col, first, cut, rest)).otherwise(text)
+    clean = _replaced(F.col(text_col), F.col(all_col), fresh)
     return _scanned(docs, text_col, base_col, all_col).withColumn(text_col, clean).select(*docs.columns)

@@ -457,6 +457,17 @@ def test_secrets_of_every_shape(spark):
     assert "xK9v2Lq8" not in masked[200] and "Yp3Mn6Bx" not in masked[200]
 
 
+def test_long_candidates_and_many_matches(spark):
+    r = np.random.default_rng(1)
+    blob, many = base64.b64encode(r.bytes(90_000)).decode(), "".join(f"é password=abc{i:06d}, " for i in range(3000))
+    docs = spark.createDataFrame([(1, f"x {blob} y"), (2, many)], "doc_id long, text string")
+    spans = {x["doc_id"]: x["spans"] for x in secrets.scan(docs).collect()}
+    assert spans[1] == f"entropy:2:{2 + len(blob)}"
+    assert spans[2] == ",".join(f"assign:{2 + 22 * i}:{20 + 22 * i}" for i in range(3000))
+    masked = {x["doc_id"]: x["text"] for x in secrets.masked(docs).collect()}
+    assert masked == {1: "x [SECRET] y", 2: "é [SECRET], " * 3000}
+
+
 def test_token_ledger(spark, awkward, tmp_path):
     ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
     assert ledger.commit("a", awkward.withColumn("op", F.lit("insert")))
