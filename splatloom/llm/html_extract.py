@@ -7,7 +7,8 @@ output on both of its states labels every block.
 
 Nobody has labelled the pages.  The model learns from a bounded sample of them: blocks inside
 ``article`` or ``main`` but not inside ``nav``, ``aside``, ``header``, ``footer`` or ``form`` are
-main text; and from the same texts laid out anew in pages of other make-up, whose labels are known.
+main text; and from texts of the sample laid out anew in pages of other make-up, whose labels are
+known.  Where no page tells its main text, the new layouts are all that it learns from.
 """
 
 from __future__ import annotations
@@ -26,8 +27,12 @@ from .html_blocks import TAG_SLOTS, Block, blocks
 from .session import small_batches
 from .text import NOT_SPACE, buffers, word_hashes, words
 
-#: Pages in the mean that the model is trained on, and blocks of each at most in training.
-SAMPLE_PAGES, TRAIN_BLOCKS = 240, 60
+#: Pages in the mean that the model is trained on, and the characters of markup that such a page has at most.
+SAMPLE_PAGES, SAMPLE_CHARS = 240, 200_000
+#: Characters from which a block of a page that doesn't tell its main text is laid out as main text.
+PROSE = 60
+#: Blocks, with padding, that are labelled together, unless a single page has more.
+LABEL_BLOCKS = 1 << 14
 LAYOUTS = 3
 _SHARES = 1 << 30
 WORD_SLOTS, TAG_SIZE, WORD_SIZE, MEASURES, HIDDEN = 2048, 16, 8, 6, 16
@@ -44,9 +49,11 @@ class Inputs:
         flat = [b for p in pages for b in p]
         self.row = np.repeat(np.arange(len(pages)), self.lengths)
         self.step = np.concatenate([np.arange(n) for n in self.lengths]) if len(flat) else np.zeros(0, int)
-        self.tag_of = np.repeat(np.arange(len(flat)), [len(b.path) for b in flat])
-        self.tags = np.array([s for b in flat for s in b.path], np.int64)
-        self.n_tags = np.maximum(np.bincount(self.tag_of, minlength=len(flat)), 1)[:, None]
+        places: dict[tuple[int, ...], int] = {}
+        self.path = np.array([places.setdefault(b.path, len(places)) for b in flat], np.int64)  # many blocks share one
+        self.tag_of = np.repeat(np.arange(len(places)), [len(p) for p in places])
+        self.tags = np.array([s for p in places for s in p], np.int64)
+        self.n_tags = np.maximum(np.bincount(self.tag_of, minlength=len(places)), 1)[:, None]
         raw, offsets = buffers(pa.array([b.text for b in flat], pa.string()))
         start, end, first = words(raw, offsets, NOT_SPACE)
         self.word_of = np.repeat(np.arange(len(flat)), np.diff(first))
@@ -75,15 +82,15 @@ class Labeller:
 
     def _vectors(self, x: Inputs) -> np.ndarray:
         n = len(x.row)
-        tags, texts = np.zeros((n, TAG_SIZE)), np.zeros((n, WORD_SIZE))
+        tags, texts = np.zeros((len(x.n_tags), TAG_SIZE)), np.zeros((n, WORD_SIZE))
         np.add.at(tags, x.tag_of, self.p["tags"][x.tags])
         np.add.at(texts, x.word_of, self.p["words"][x.words])
         out = np.zeros((len(x.lengths), x.steps, _INPUT))
-        out[x.row, x.step] = np.concatenate([tags / x.n_tags, texts / x.n_words, x.measures], axis=1)
+        out[x.row, x.step] = np.concatenate([(tags / x.n_tags)[x.path], texts / x.n_words, x.measures], axis=1)
         return out
 
-    def _run(self, x: Inputs, v: np.ndarray, d: str) -> tuple[np.ndarray, list]:
-        """States [pages, steps, HIDDEN]; backward in direction b, where padding keeps the state at 0."""
+    def _run(self, x: Inputs, v: np.ndarray, d: str, keep: bool = False) -> tuple[np.ndarray, list]:
+        """States [pages, steps, HIDDEN], and, to ``keep`` for training, what led to them; backward in direction b, where padding keeps the state at 0."""
         n = len(x.lengths)
         h, c, out, kept = np.zeros((n, HIDDEN)), np.zeros((n, HIDDEN)), np.zeros((n, x.steps, HIDDEN)), []
         pre = v @ self.p[f"x{d}"] + self.p[f"c{d}"]
@@ -95,7 +102,8 @@ class Labeller:
             c2 = f * c + i * new
             squashed = np.tanh(c2)
             h2 = o * squashed
-            kept.append((t, live, h, c, i, f, o, new, squashed))
+            if keep:
+                kept.append((t, live, h, c, i, f, o, new, squashed))
             h, c = np.where(live, h2, h), np.where(live, c2, c)
             out[:, t] = np.where(live, h2, 0)
         return out, kept
@@ -111,7 +119,7 @@ class Labeller:
     def gradients(self, x: Inputs, y: np.ndarray) -> dict[str, np.ndarray]:
         """Of the mean log loss, by backpropagation through time."""
         v = self._vectors(x)
-        runs = {d: self._run(x, v, d) for d in "fb"}
+        runs = {d: self._run(x, v, d, keep=True) for d in "fb"}
         states = np.concatenate([runs[d][0] for d in "fb"], axis=2)
         flat = states[x.row, x.step]
         error = (_sigmoid(flat @ self.p["out"] + self.p["bias"]) - y) / len(y)
@@ -135,7 +143,9 @@ class Labeller:
             to_input += dz_all @ self.p[f"x{d}"].T
         back = to_input[x.row, x.step]
         g["tags"], g["words"] = np.zeros_like(self.p["tags"]), np.zeros_like(self.p["words"])
-        np.add.at(g["tags"], x.tags, (back[:, :TAG_SIZE] / x.n_tags)[x.tag_of])
+        to_path = np.zeros((len(x.n_tags), TAG_SIZE))
+        np.add.at(to_path, x.path, back[:, :TAG_SIZE])
+        np.add.at(g["tags"], x.tags, (to_path / x.n_tags)[x.tag_of])
         np.add.at(g["words"], x.words, (back[:, TAG_SIZE : TAG_SIZE + WORD_SIZE] / x.n_words)[x.word_of])
         return g
 
@@ -147,8 +157,10 @@ def fit(pages: list[list[Block]]) -> Labeller:
     s = {k: np.zeros_like(v) for k, v in model.p.items()}
     step = 0
     for _ in range(EPOCHS):
-        order = r.permutation(len(pages))
-        for a in range(0, len(order), GROUP):
+        # Pages of like length make a group, so that little is padded; groups come in any order.
+        order = np.array(sorted(r.permutation(len(pages)), key=lambda k: len(pages[k])))
+        starts = np.arange(0, len(order), GROUP)
+        for a in r.permutation(starts):
             group = [pages[k] for k in order[a : a + GROUP]]
             y = np.array([float(b.marked) for p in group for b in p])
             step += 1
@@ -220,36 +232,37 @@ def _marked(page: str) -> list[Block]:
     return found if any(b.marked for b in found) else []
 
 
-def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES) -> Labeller | None:
-    """Train on about ``sample_pages`` pages, drawn by a hash of the id, and new layouts of their texts; None if none has main text."""
-    share = F.pmod(F.xxhash64(id_col), F.lit(_SHARES)) < -(-sample_pages * _SHARES // max(1, pages.count()))
-    sample = pages.where(share & F.col(html_col).isNotNull()).select(F.col(html_col).alias("html"))
+def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample_pages: int = SAMPLE_PAGES, sample_chars: int = SAMPLE_CHARS) -> Labeller | None:
+    """Train on about ``sample_pages`` whole pages of at most ``sample_chars`` characters, drawn by a hash of
+    id and markup, and on new layouts of their texts; None if none of them has any text."""
+    fit_for = pages.where(F.length(html_col) <= sample_chars).select(F.col(id_col).alias("id"), F.col(html_col).alias("html"))
+    share = F.pmod(F.xxhash64("id", "html"), F.lit(_SHARES)) < -(-sample_pages * _SHARES // max(1, fit_for.count()))
     r, learned = random.Random(0), []
-    told = [found for html in sorted(row["html"] for row in sample.collect()) if (found := _marked(html))]
-    for found in told:
-        learned.append(_piece(found, r))
-        main, other = [b.text for b in found if b.marked], [b.text for b in found if not b.marked] or _SHORT
-        for _ in range(LAYOUTS):
+    for page in sorted(row["html"] for row in fit_for.where(share).collect()):
+        told = _marked(page)
+        found = told or blocks(page)
+        main = [b.text for b in found if (b.marked if told else len(b.text) >= PROSE)]
+        other = [b.text for b in found if not (b.marked if told else len(b.text) >= PROSE)] or _SHORT
+        learned += [told] if told else []
+        for _ in range(LAYOUTS if main else 0):
             at = r.randrange(len(main))
-            learned.append(_piece([b for b in blocks(_laid_out(main[at : at + r.randint(1, 30)], other, r)) if b.marked is not None], r))
+            learned.append([b for b in blocks(_laid_out(main[at : at + r.randint(1, 30)], other, r)) if b.marked is not None])
     return fit(learned) if learned else None
 
 
-def _piece(found: list[Block], r: random.Random) -> list[Block]:
-    at = r.randrange(max(1, len(found) - TRAIN_BLOCKS + 1))
-    return found[at : at + TRAIN_BLOCKS] if r.random() < 0.5 else found[:TRAIN_BLOCKS]
-
-
 def main_texts(model: Labeller, pages: list[str]) -> list[str]:
     """The main text of each page, its blocks joined by line ends."""
     found = [blocks(p) for p in pages]
     out = [""] * len(pages)
     order = sorted((k for k in range(len(pages)) if found[k]), key=lambda k: len(found[k]))
-    for a in range(0, len(order), 64):
-        group = [found[k] for k in order[a : a + 64]]
-        keep = iter((model.chances(Inputs(group)) > 0.5).tolist())
-        for k, page in zip(order[a : a + 64], group, strict=True):
-            out[k] = "\n".join([b.text for b in page if next(keep)])
+    while order:
+        n = 1
+        while n < len(order) and (n + 1) * len(found[order[n]]) <= LABEL_BLOCKS:
+            n += 1
+        group, order = order[:n], order[n:]
+        keep = iter((model.chances(Inputs([found[k] for k in group])) > 0.5).tolist())
+        for k in group:
+            out[k] = "\n".join([b.text for b in found[k] if next(keep)])
     return out
 
 
@@ -263,7 +276,10 @@ def _extracted(shared):
 
 
 def extract(pages: DataFrame, model: Labeller | None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages``; null pages, and all without a model, have empty text."""
+    """(page_id, url, text, n_chars) for every row of ``pages``; null pages, and all without a model, have empty text.
+
+    Broken markup never fails (see ``html_blocks``), and pages may be of any length.
+    """
     small_batches(pages.sparkSession)
     base = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     if model is None:
