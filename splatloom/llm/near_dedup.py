@@ -9,7 +9,11 @@ filled.  The levels are evaluated for all elements of a batch at once.
 Documents of equal sets form a class, and one of each class goes on.  Classes that share a band of
 the signature meet in a bucket.  Within it, links are confirmed on the full sets and reduced to a
 spanning forest, so a bucket of ``k`` documents emits fewer than ``k`` edges, never all pairs.
-Large buckets are dealt into pairs of blocks of bounded size.
+
+A large bucket is first dealt into groups of bounded size, each with the bucket's centre, one of its
+members: this links a group of near copies in work that grows with its size.  Only what is not in
+one component by then is compared on, in pairs of blocks made up by component; two blocks of the
+same component are not compared.
 """
 
 from __future__ import annotations
@@ -18,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
@@ -27,8 +31,8 @@ from .text import NOT_SPACE, buffers, chunks, mix, ngram_hashes, seeded, word_ha
 
 #: 36 bands of 6 rows: a pair at a similarity of exactly 0.8 shares no band with probability 2e-5.
 BANDS, ROWS = 36, 6
-#: Elements of sets, and documents, in one block of a bucket.
-BLOCK_ELEMENTS, BLOCK_DOCS = 1_000_000, 2_000
+#: Documents, and elements of sets, in one group or block of a large bucket.
+BLOCK_DOCS, BLOCK_ELEMENTS = 256, 500_000
 #: Bits of the filter that spares documents without candidates from being hashed again.
 FILTER_BITS = 1 << 23
 _CHUNK = 1 << 20
@@ -95,46 +99,52 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
 
 
+def _digests(items: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit sums of each set's hashed elements; 0 for an empty set."""
+    out, full = np.zeros((2, len(at) - 1), np.uint64), np.flatnonzero(np.diff(at))
+    for k in range(2 if len(full) else 0):
+        out[k, full] = np.add.reduceat(seeded(items, 1000 + k), at[:-1][full])
+    return out
+
+
 def _described(shingle: int, bands: int, rows: int):
+    """(id, row_hash, n, d1, d2, bands): the set's size, its digests and the hashes of the signature's bands."""
     weights = seeded(np.arange(rows, dtype=np.uint64), 99) | np.uint64(1)
     salt = seeded(np.arange(bands, dtype=np.uint64), 98)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw, offsets = buffers(batch.column(1))
+            raw, offsets = buffers(batch.column(2))
             for a, b in chunks(offsets, _CHUNK):
                 part, own = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 items, at = text_sets(part, own, shingle)
-                sizes = np.diff(at)
-                digest = np.zeros((2, b - a), np.uint64)
-                full = np.flatnonzero(sizes)
-                for k in range(2 if len(full) else 0):
-                    digest[k, full] = np.add.reduceat(seeded(items, 1000 + k), at[:-1][full])
+                digest = _digests(items, at)
                 signature = superminhash(items, at, bands * rows).reshape(b - a, bands, rows)
                 keys = mix((signature.astype(np.uint64) * weights).sum(axis=2) + salt)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands, dtype=np.int32)), pa.array(_signed(keys.reshape(-1))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a), pa.array(sizes.astype(np.int64)), pa.array(_signed(digest[0])), pa.array(_signed(digest[1])), lists],
-                    ["id", "n", "d1", "d2", "bands"],
+                    [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(at).astype(np.int64)), pa.array(_signed(digest[0])), pa.array(_signed(digest[1])), lists],
+                    ["id", "row_hash", "n", "d1", "d2", "bands"],
                 )
 
     return run
 
 
 def _sets_of(shingle: int, bits: np.ndarray):
-    """(rep, elements) of the documents that the filter lets through."""
+    """(d1, d2, elements) of the rows that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
+            bit = batch.column(0).to_numpy(zero_copy_only=False)
             batch = batch.filter(pa.array((bits[bit >> 3] >> (bit & 7)) & 1 == 1))
             if not batch.num_rows:
                 continue
             raw, offsets = buffers(batch.column(1))
             for a, b in chunks(offsets, _CHUNK):
                 items, at = text_sets(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], shingle)
+                digest = _digests(items, at)
                 packed = [items[x:y].tobytes() for x, y in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(packed, pa.binary())], ["rep", "elements"])
+                yield pa.RecordBatch.from_arrays([pa.array(_signed(digest[0])), pa.array(_signed(digest[1])), pa.array(packed, pa.binary())], ["d1", "d2", "elements"])
 
     return run
 
@@ -217,57 +227,105 @@ def _edge_batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
-def _filter_bits(ids: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size with the hash of each id set; a full one only lets more rows through."""
-    hashed = ids.select(F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).alias("bit"))
+def _bit(row_hash: Column) -> Column:
+    return F.pmod(row_hash, F.lit(FILTER_BITS))
+
+
+def _filter_bits(rows: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size with each ``row_hash`` set; a full one only lets more rows through."""
+    hashed = rows.select(_bit(F.col("row_hash")).alias("bit"))
     table = hashed.groupBy(F.expr("bit div 8").alias("byte")).agg(F.expr("bit_or(shiftleft(1, cast(bit % 8 as int)))").alias("v")).toArrow()
     bits = np.zeros(FILTER_BITS // 8, np.uint8)
     bits[table.column(0).to_numpy()] = table.column(1).to_numpy().astype(np.uint8)
     return bits
 
 
+def _linked(dealt: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """Edges (a, b) of each group (key, i, j) of the classes in ``dealt``."""
+    together = dealt.join(sets, "class").select("key", "i", "j", "class", "elements")
+    together = together.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
+    return together.mapInArrow(_verified(share), "a long, b long")
+
+
+def _blocks_left(members: DataFrame, groups: DataFrame) -> DataFrame:
+    """(key, i, j, class): the pairs of blocks that hold all pairs of a large bucket's classes of different components.
+
+    A component of at least half a block has blocks of its own; smaller ones are dealt into mixed blocks.
+    """
+    size = lambda docs, elements: F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(elements) / BLOCK_ELEMENTS), F.lit(1)).cast("int")
+    known = members.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = known.groupBy("key", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
+    parts = parts.withColumn("own", (F.col("docs") >= BLOCK_DOCS / 2) | (F.col("elements") >= BLOCK_ELEMENTS / 2))
+    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(~F.col("own"), F.col("docs"))).alias("m_docs"), F.sum(F.when(~F.col("own"), F.col("elements"))).alias("m_elements"))
+    parts = parts.join(mixed.where("parts > 1"), "key")
+    parts = parts.select("key", "component", F.when(F.col("own"), F.col("component")).alias("whole"), F.when(F.col("own"), size("docs", "elements")).otherwise(size("m_docs", "m_elements")).alias("of"))
+    spread = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("component")).otherwise(F.col("class"))), F.col("of")).cast("int")
+    dealt = written(known.select("key", "class", "component").join(parts, ["key", "component"]).select("key", "class", "whole", F.xxhash64(F.coalesce("whole", F.lit(-1)), spread).alias("block")), "blocks")
+    blocks = dealt.select("key", "whole", "block").distinct()
+    other = blocks.select("key", F.col("whole").alias("whole2"), F.col("block").alias("block2"))
+    pairs = blocks.join(other, "key").where("block <= block2 and (whole is null or whole2 is null or whole <> whole2)")
+    ends = pairs.select("key", F.col("block").alias("i"), F.col("block2").alias("j"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
+    return dealt.select("key", "block", "class").join(ends, ["key", "block"]).select("key", "i", "j", "class")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``; ids are of any type with an order.
 
     Two texts are linked where share[1] * intersection >= share[0] * union of their distinct
     ``shingle``-word sets, with A-Z in lower case; a shorter text's set is its whole word sequence.
-    A null, empty or white-space text has an empty set and no links.  Rows of the same id and text
-    stay together; a row without id is linked with nothing, has no component and is kept.
-    Every text is read whole; other columns of ``docs`` are not looked at.
+    A null, empty or white-space text has an empty set and no links.  Rows are compared by their
+    texts, so rows of one id with different texts have components of their own, and rows of the same
+    id and text stay together; a row without id is linked with nothing, has no component and is kept.
+    Every text is read whole, however long; other columns of ``docs`` are not looked at.
     """
     if bands * rows > 256:
         raise ValueError("a signature has at most 256 slots")
     small_batches(docs.sparkSession)
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signs = written(base.mapInArrow(_described(shingle, bands, rows), "id long, n long, d1 long, d2 long, bands array<long>"), "signatures")
+    base = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("row_hash"), F.col(text_col).alias("text"))
+    kind = base.schema["id"].dataType.simpleString()
+    signs = written(base.mapInArrow(_described(shingle, bands, rows), f"id {kind}, row_hash long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     linkable = signs.where("n > 0 and id is not null")
-    classes = written(linkable.groupBy("d1", "d2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "classes")
+    # One row of each class stands for it; the table is written, so its numbers stay.
+    classes = linkable.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("row_hash").alias("row_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    in_bands = classes.select("rep", "n", F.explode("bands").alias("key"))
-    buckets = in_bands.groupBy("key").agg(F.count("*").alias("k"), F.min("rep").alias("least"), F.bit_xor(F.xxhash64("rep")).alias("who"), F.sum("n").alias("elements")).where("k > 1")
+    in_bands = classes.select("class", "n", F.explode("bands").alias("key"))
+    buckets = in_bands.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("centre"), F.bit_xor(F.xxhash64("class")).alias("who"), F.sum("n").alias("elements")).where("k > 1")
     # Buckets of the same members need one look.
-    buckets = buckets.groupBy("k", "least", "who").agg(F.min("key").alias("key"), F.first("elements").alias("elements"))
-    buckets = buckets.select("key", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("blocks"))
-    members = written(in_bands.select("rep", "key").join(buckets, "key"), "members")
-
-    bits = _filter_bits(members.select("rep"))
-    sets = base.where("id is not null").withColumn("bit", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))).mapInArrow(_sets_of(shingle, bits), "rep long, elements binary")
-    sets = sets.dropDuplicates(["rep"])
-    own = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("g", own).withColumn("h", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("key", F.least("g", "h").alias("i"), F.greatest("g", "h").alias("j"), "rep")
-    together = dealt.join(sets, "rep").select("key", "i", "j", "rep", "elements")
-    together = together.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    edges = together.mapInArrow(_verified(share), "a long, b long")
+    buckets = buckets.groupBy("k", "centre", "who").agg(F.min("key").alias("key"), F.first("elements").alias("elements"))
+    buckets = buckets.select("key", "centre", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("groups"))
+    members = written(in_bands.join(buckets, "key"), "members")
+
+    bits = _filter_bits(members.select("class").distinct().join(classes, "class"))
+    sets = base.where("id is not null").select(_bit(F.col("row_hash")).alias("bit"), "text").mapInArrow(_sets_of(shingle, bits), "d1 long, d2 long, elements binary")
+    sets = sets.join(classes.select("d1", "d2", "class"), ["d1", "d2"]).dropDuplicates(["class"]).select("class", "elements")
+    large = members.where("groups > 1")
+    hot = bool(large.take(1))
+    sets = written(sets, "sets") if hot else sets
+
+    own = F.pmod(F.xxhash64("class", F.lit(5)), F.col("groups")).cast("long")
+    whole = lambda i: [F.col("key"), i.alias("i"), F.lit(0).cast("long").alias("j")]
+    dealt = members.where("class <> centre").select(*whole(own), "class")
+    centres = members.where("class = centre").select(*whole(F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))), "class")
+    edges = _linked(dealt.unionByName(centres), sets, share)
+    if hot:
+        edges = written(edges, "edges")
+        edges = edges.unionByName(_linked(_blocks_left(large.select("key", "class", "n"), connected_components(edges)), sets, share))
 
     groups = connected_components(edges)
-    labelled = classes.select("d1", "d2", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("d1", "d2", F.coalesce("component", "rep").alias("component_id"))
-    out = signs.select("id", "n", "d1", "d2").join(labelled, ["d1", "d2"], "left")
+    labelled = classes.select("d1", "d2", "least", "class").join(groups, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
+    labelled = written(labelled.select("d1", "d2", "least", "component"), "labelled")
+    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
+    out = signs.select("id", "n", "d1", "d2").join(labelled.join(names, "component").select("d1", "d2", "component_id"), ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns."""
-    key = free_name(docs, "__dropped")
-    dropped = near_duplicates(docs, id_col, text_col, **options).where("not kept").select(F.col("doc_id").alias(key))
-    return docs.join(dropped.distinct(), F.col(id_col) == F.col(key), "left_anti")
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with their columns; rows of one id are judged one by one."""
+    row = free_name(docs, "__row")
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text")).alias(row), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
+    found = near_duplicates(texts.where(F.col("id").isNotNull()), row, "text", **options)
+    dropped = found.where("not kept").select(F.col("doc_id").alias(row)).distinct()
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text"))
+    return docs.join(dropped, key == F.col(row), "left_anti")

@@ -1,6 +1,7 @@
 """Each operator against a brute-force version, on awkward tables and on empty ones."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import re
@@ -73,6 +74,57 @@ def test_near_duplicates_in_blocks(awkward, monkeypatch):
     assert sorted(near_dedup.near_duplicates(awkward, shingle=2).collect(), key=str) == whole
 
 
+@pytest.mark.parametrize("block", [2, 5])
+def test_large_buckets_lose_no_link(spark, monkeypatch, block):
+    """Texts that drift away from each other: the bucket's centre doesn't reach all of them."""
+    r = np.random.default_rng(6)
+    text, texts = [f"w{k}" for k in range(60)], []
+    for k in range(60):
+        if k % 4:
+            text = [*text]
+            text[r.integers(60)] = f"n{k}"
+        texts.append(" ".join(text))
+    sets = [_set(t, 1) for t in texts]
+    label = list(range(60))
+    for _ in range(60):
+        for a, b in itertools.combinations(range(60), 2):
+            if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                label[a] = label[b] = min(label[a], label[b])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    monkeypatch.setattr(near_dedup, "BLOCK_DOCS", block)
+    got = near_dedup.near_duplicates(docs, shingle=1).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == dict(enumerate(label))
+
+
+def test_rows_of_one_id_and_ids_of_any_type(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(40)) for x in "ab")
+    rows = [("5", a), ("5", b), ("6", a + " more"), ("7", b + " more"), ("8", None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(map(tuple, near_dedup.near_duplicates(docs, shingle=2).select("doc_id", "component_id", "kept").collect()), key=str)
+    assert got == sorted([("5", "5", True), ("5", "5", True), ("6", "5", False), ("7", "5", False), ("8", "8", True), (None, None, True)], key=str)
+    kept = near_dedup.deduplicated(docs.withColumn("__row", F.lit(1)), shingle=2)
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted([("5", a, 1), ("5", b, 1), ("8", None, 1), (None, a, 1)], key=str)
+
+
+def test_near_duplicates_of_all_documents(spark):
+    """Every link of the table, against all pairs that share a shingle."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets, holders = {r["doc_id"]: _set(r["text"], 2) for r in rows}, {}
+    for i, own in sets.items():
+        for x in own:
+            holders.setdefault(x, []).append(i)
+    label = {i: i for i in sets}
+    links = []
+    for i, own in sets.items():
+        common = collections.Counter(j for x in own for j in holders[x] if j > i)
+        links += [(i, j) for j, n in common.items() if 100 * n >= 80 * (len(own) + len(sets[j]) - n)]
+    for _ in range(20):
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows), shingle=2).collect()
+    assert len(links) > 100 and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == {i: (len(sets[i]), c) for i, c in label.items()}
+
+
 def test_superminhash_estimates_and_early_stopping():
     r = np.random.default_rng(0)
     a = r.integers(0, 1 << 63, 1000).astype(np.uint64)
@@ -270,7 +322,7 @@ def test_line_quality(awkward):
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
         grams = [tuple(w[k : k + 3]) for k in range(len(w) - 2)]
-        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 5000 else {g for g, c in __import__("collections").Counter(grams).items() if c > 1}
+        twice = {g for g in grams if grams.count(g) > 1} if len(grams) < 5000 else {g for g, c in collections.Counter(grams).items() if c > 1}
         repeated = len({k + j for k, g in enumerate(grams) if g in twice for j in range(3)})
         failed = len(w) < 50 or 100 * repeated > 50 * len(w)
         return (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), repeated, failed)
