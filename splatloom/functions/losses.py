@@ -57,6 +57,12 @@ def disparity(p: Column, t: Column) -> Column:
     return F.abs(inverse(p) - inverse(t))
 
 
+def disparity_pairs(p: Column, t: Column, eps: float = 1e-7) -> tuple[Column, Column]:
+    """(L1 of inverse depths, whether the pair counts): both depths must be further from 0 than ``eps``."""
+    valid = (F.abs(p) > eps) & (F.abs(t) > eps)
+    return F.when(valid, F.abs(1 / p - 1 / t)).otherwise(F.lit(0.0)), valid
+
+
 REGISTRY: dict[str, Loss] = {f.__name__: f for f in (l1, mse, huber, smooth_l1, bce, bce_clipped, bce_with_logits, log_l1, inverse_depth, disparity)}
 
 
@@ -75,6 +81,36 @@ def masked_mean(value: Column, mask: Column) -> Column:
     return F.sum(value * m) / F.greatest(F.sum(m), F.lit(1.0))
 
 
+def pearson(p: Column, t: Column, mask: Column | None = None) -> Column:
+    """An aggregate: 1 - correlation over the rows of the mask; 0 for fewer than two, 1 where either side is constant."""
+    if mask is not None:
+        p, t = F.when(mask, p), F.when(mask, t)
+    n = F.count(F.when(p.isNotNull() & t.isNotNull(), 1))
+    spread = F.sqrt(F.greatest(F.var_pop(p) * F.var_pop(t) * n * n, F.lit(1e-12)))
+    return F.when(n < 2, F.lit(0.0)).otherwise(1 - F.covar_pop(p, t) * n / spread)
+
+
+def valid_mean(loss: str | Loss, p: Column, t: Column, valid: Column) -> Column:
+    """An aggregate: the mean loss over valid rows, 0 if there are none; for lidar distance, intensity, drops and background."""
+    return F.coalesce(F.avg(F.when(valid, resolve(loss)(p, t))), F.lit(0.0))
+
+
+def relu_sum(value: Column, eps: float) -> Column:
+    """An aggregate: what values exceed ``eps`` by."""
+    return F.sum(F.greatest(value - eps, F.lit(0.0)))
+
+
+def weights_reg(*weights: Column) -> Column:
+    """An aggregate: the mean squared length of the weights of a row."""
+    return F.avg(sum((w * w for w in weights[1:]), weights[0] * weights[0]))
+
+
+def identity_distance(*entries: Column, rows: int = 3, cols: int = 4) -> Column:
+    """Frobenius distance of a ``rows`` x ``cols`` matrix, given row by row, from the identity."""
+    gaps = [e - (1.0 if k // cols == k % cols else 0.0) for k, e in enumerate(entries[: rows * cols])]
+    return F.sqrt(sum((g * g for g in gaps[1:]), gaps[0] * gaps[0]))
+
+
 def psnr(p: Column, t: Column) -> Column:
     """An aggregate: -10 log10 of the mean squared error, infinite where that is 0."""
     error = F.avg(mse(p, t))

@@ -77,18 +77,33 @@ def pairs(projected: DataFrame, requests: DataFrame | None = None, mask: DataFra
     ``requests`` (camera_id, x, y) keeps only the pixels asked for; ``mask`` (camera_id, tile_x,
     tile_y) drops all pixels of the tiles that it lists.
     """
-    rows = _spread(projected, 1, F.col("width"), F.col("height"), "x", "y")
     dx, dy = F.col("mean2d_x") - (F.col("x") + 0.5), F.col("mean2d_y") - (F.col("y") + 0.5)
+    rows = _cells(projected, requests, mask, tile)
     rows = rows.withColumn("power", 0.5 * (F.col("conic_a") * dx * dx + F.col("conic_c") * dy * dy) + F.col("conic_b") * dx * dy)
     rows = computed(rows, *rows.columns, F.least(F.lit(ALPHA_MOST), F.col("opacity") * F.exp(-F.col("power"))).alias("alpha"))
-    rows = rows.where((F.col("power") >= 0) & (F.col("alpha") >= ALPHA_LEAST)).drop("power")
-    if requests is not None:
-        rows = rows.join(requests.select(*PIXEL).distinct(), PIXEL, "left_semi")
+    return rows.where((F.col("power") >= 0) & (F.col("alpha") >= ALPHA_LEAST)).drop("power")
+
+
+def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | None, tile: int) -> DataFrame:
+    """A row for each primitive and pixel of its box; with requests or a mask, tiles are joined before pixels are made."""
+    if requests is None and mask is None:
+        return _spread(projected, 1, F.col("width"), F.col("height"), "x", "y")
+    rows = tiles(projected, tile)
     if mask is not None:
-        cell = [F.col("camera_id"), F.floor(F.col("x") / tile).cast("int"), F.floor(F.col("y") / tile).cast("int")]
-        listed = mask.select(F.col("camera_id").alias("_c"), F.col("tile_x").alias("_x"), F.col("tile_y").alias("_y"))
-        rows = rows.join(listed, (cell[0] == F.col("_c")) & (cell[1] == F.col("_x")) & (cell[2] == F.col("_y")), "left_anti")
-    return rows
+        rows = rows.join(mask.select("camera_id", "tile_x", "tile_y"), ["camera_id", "tile_x", "tile_y"], "left_anti")
+    edge = lambda m, r, sign: F.floor(F.col(m) - F.col(r)) if sign < 0 else F.ceil(F.col(m) + F.col(r))
+    if requests is not None:
+        cell = lambda c: F.floor(F.col(c) / tile).cast("int")
+        asked = requests.select(*PIXEL).distinct().withColumns({"tile_x": cell("x"), "tile_y": cell("y")})
+        rows = rows.join(asked, ["camera_id", "tile_x", "tile_y"])
+        for at in "xy":
+            rows = rows.where((F.col(at) >= edge(f"mean2d_{at}", f"radius_{at}", -1)) & (F.col(at) < edge(f"mean2d_{at}", f"radius_{at}", 1)))
+        return rows.select(*projected.columns, "x", "y")
+    for at, size in (("y", "height"), ("x", "width")):
+        low = F.greatest(edge(f"mean2d_{at}", f"radius_{at}", -1), F.col(f"tile_{at}") * tile)
+        high = F.least(edge(f"mean2d_{at}", f"radius_{at}", 1), (F.col(f"tile_{at}") + 1) * tile, F.col(size)) - 1
+        rows = rows.where(low <= high).withColumn(at, F.explode(F.sequence(low.cast("int"), high.cast("int"))))
+    return rows.select(*projected.columns, "x", "y")
 
 
 def contributions(rows: DataFrame) -> DataFrame:

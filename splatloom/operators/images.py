@@ -66,8 +66,27 @@ def normals(points: DataFrame) -> DataFrame:
 
 
 def affine_correction(image: DataFrame, channel: str, reference: str) -> DataFrame:
-    """(camera_id, slope, shift, error): the affine map of ``channel`` onto ``reference`` by least squares, and what is left."""
-    fit = image.groupBy("camera_id").agg(F.regr_slope(reference, channel).alias("slope"), F.regr_intercept(reference, channel).alias("shift"))
+    """``image`` with ``corrected``: the affine map of ``reference`` onto ``channel`` by least squares, undone and clipped to [0, 1].
+
+    A constant reference has a variance of 1e-8, and a slope next to 0 counts as 1.
+    """
+    c, r = F.col(channel), F.col(reference)
+    fit = image.groupBy("camera_id").agg(F.avg(c).alias("_c"), F.avg(r).alias("_r"), F.avg(c * r).alias("_cr"), F.avg(r * r).alias("_rr"))
+    slope = (F.col("_cr") - F.col("_r") * F.col("_c")) / F.greatest(F.col("_rr") - F.col("_r") * F.col("_r"), F.lit(1e-8))
+    fit = fit.select("camera_id", slope.alias("_a"), (F.col("_c") - slope * F.col("_r")).alias("_b"))
     rows = image.join(fit, "camera_id")
-    gap = F.col("slope") * F.col(channel) + F.col("shift") - F.col(reference)
-    return rows.groupBy("camera_id", "slope", "shift").agg(F.avg(gap * gap).alias("error"))
+    a = F.when(F.abs("_a") < 1e-8, F.lit(1.0)).otherwise(F.col("_a"))
+    return rows.withColumn("corrected", F.greatest(F.lit(0.0), F.least(F.lit(1.0), (c - F.col("_b")) / a))).drop("_a", "_b")
+
+
+def temporal_variation(frames: DataFrame, channel: str, frame: str = "frame", mask: str | None = None) -> DataFrame:
+    """(frame, tv): mean squared difference of each frame from the one before it, times the frame's ``mask``; one row fewer than frames."""
+    before = F.lag(channel).over(Window.partitionBy("x", "y").orderBy(frame))
+    rows = frames.select(F.col(frame).alias("frame"), (F.col(channel) - before).alias("d"), *([F.col(mask).alias("mask")] if mask else [F.lit(1.0).alias("mask")]))
+    return rows.where("d is not null").groupBy("frame").agg((F.avg(F.col("d") * F.col("d")) * F.first("mask")).alias("tv"))
+
+
+def masked_ssim(image: DataFrame, a: str, b: str, mask: Column, size: int = 11, sigma: float = 1.5) -> DataFrame:
+    """``ssim_map`` of the two channels after both are set to 0 outside the mask."""
+    rows = image.select("camera_id", "x", "y", *[(F.col(c) * mask.cast("double")).alias(c) for c in (a, b)])
+    return ssim_map(rows, a, b, size, sigma)

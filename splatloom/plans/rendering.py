@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from splatloom.operators import composite as C
 from splatloom.operators.project import project
+from splatloom.operators.render import rasterize
 from splatloom.operators.surfels import composite_surfels, project_surfels
 from splatloom.sources import views as V
 
@@ -93,6 +94,19 @@ def composite_depth(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*C.PIXEL, r4("depth").alias("depth"), r4(F.col("depth") / F.greatest("alpha", F.lit(1e-10))).alias("expected_depth"))
 
 
+def render_rgbd(spark: SparkSession, folder: str) -> DataFrame:
+    """The rendering entry with colours before a background, and expected depth."""
+    out = rasterize(V.gaussians(spark, folder), V.cameras(spark, folder), "RGB+ED", background=BACK)
+    return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2", "depth")])
+
+
+def render_rgb_sh(spark: SparkSession, folder: str) -> DataFrame:
+    """The rendering entry with harmonics of degree 1 and expected distance, where pixels are asked for."""
+    coefficients = [[f"e{4 * k + i}" for i in range(1, 5)] for k in range(3)]
+    out = rasterize(V.gaussians(spark, folder), V.cameras(spark, folder), "RGB-Ed", coefficients=coefficients, degree=1, requests=V.pixel_requests(spark, folder))
+    return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2", "depth")])
+
+
 def composite_masked(spark: SparkSession, folder: str) -> DataFrame:
     out = C.composite(weighted_pairs(spark, folder, mask=_mask(spark, folder)), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
     return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
@@ -163,7 +177,7 @@ def blend_backward(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_ellipse, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth,
+        project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_ellipse, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth, render_rgbd, render_rgb_sh,
         composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last, project_2dgs, composite_2dgs, blend_backward,
     )
 }
@@ -237,6 +251,10 @@ def image(grid: str, columns: str) -> str:
 
 _BACKED = ", ".join(f"round(c{k} + (1 - alpha) * {b}::double, 4) + 0 as c{k}" for k, b in enumerate(BACK))
 PLAIN = _projection()
+_LOBE = lambda k: f"greatest(0, 0.2820947917738781::double*e{4 * k + 1} + 0.48860251190292::double*(-my*e{4 * k + 2} + mz*e{4 * k + 3} - mx*e{4 * k + 4})/sqrt(mx*mx + my*my + mz*mz) + 0.5::double)"
+#: The cameras stand at the origin, so directions and distances are those of the centres.
+_HARMONIC = PLAIN.replace("gaussians as (", "plain as (", 1).replace(V.CAMERAS, f"gaussians as (select * replace ({', '.join(f'{_LOBE(k)} as c{k}' for k in range(3))}) from plain), {V.CAMERAS}", 1)
+_DISTANT = blend("(camera_id, x, y) in (select (camera_id, x, y) from wanted)").replace("weighted as (select *,", "weighted as (select o.* replace (sqrt(mx*mx + my*my + mz*mz) as depth),").replace("from ordered where", "from ordered o join (select gaussian_id, mx, my, mz from plain) using (gaussian_id) where")
 _ASKED = "(camera_id, x, y) in (select (camera_id, x, y) from wanted)"
 _TOP = "select camera_id, x, y, (row_number() over (partition by camera_id, x, y order by place))::int as rank, gaussian_id, round(weight, 4) + 0 as weight from (select *, row_number() over (partition by camera_id, x, y order by weight desc, place) as h from weighted) where h <= 3"
 _LIST = "select camera_id, x, y, string_agg(gaussian_id::varchar, ',' order by place) as ids, round(sum(weight), 4) + 0 as total from weighted group by all"
@@ -282,6 +300,8 @@ select camera_id, tile_y::int as tile_y, tile_x::int as tile_x, sum(n)::bigint a
     "composite_rgb": f"with {PLAIN}{blend()}{GRID} {image('grid', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
     "composite_background": f"with {PLAIN}{blend()}{GRID} {image('grid', _rounded('alpha') + ', ' + _BACKED)}",
     "composite_depth": f"with {PLAIN}{blend()}{GRID} {image('grid', 'round(depth, 4) + 0 as depth, round(depth / greatest(alpha, 1e-10), 4) + 0 as expected_depth')}",
+    "render_rgbd": f"with {PLAIN}{blend()}{GRID} {image('grid', 'n, ' + _rounded('alpha') + ', ' + _BACKED + ', round(depth / greatest(alpha, 1e-10), 4) + 0 as depth')}",
+    "render_rgb_sh": f"with {_WANTED}, {_HARMONIC}{_DISTANT} {image('wanted', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2') + ', round(depth / greatest(alpha, 1e-10), 4) + 0 as depth')}",
     "composite_masked": f"with {PLAIN}{blend('not (x // 16 = y // 16 and x // 16 < 3)')}{GRID} {image('grid', 'n, ' + _rounded('alpha') + ', ' + _BACKED)}",
     "composite_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)} {image('wanted', 'n, ' + _rounded('alpha', 'c0', 'c1', 'c2'))}",
     "contrib_count": f"with {PLAIN}{blend()}{GRID} {image('grid', 'n, ' + _rounded('alpha'))}",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from splatloom.operators import mutate, spatial, tracks
+from splatloom.operators import mutate, ranks, spatial, tracks
 from splatloom.operators.project import project
 from splatloom.sources import views as V
 
@@ -86,7 +86,7 @@ def crop_by_opacity(spark: SparkSession, folder: str) -> DataFrame:
     """The largest square number of primitives, without the faintest ones."""
     rows = V.gaussians(spark, folder)
     n = rows.count()
-    return rows.orderBy(F.desc("opacity"), "gaussian_id").limit(int(n**0.5) ** 2).select("gaussian_id", r4("opacity").alias("opacity"))
+    return ranks.smallest(rows, -F.col("opacity"), int(n**0.5) ** 2, "gaussian_id").select("gaussian_id", r4("opacity").alias("opacity"))
 
 
 def opacity_quantiles(spark: SparkSession, folder: str) -> DataFrame:
@@ -165,7 +165,7 @@ s as (select *, 0 as child from c where not large union all select *, 1 from c w
 select gaussian_id, origin, child, round(mx + child*0.5::double*((1 - 2*(qy*qy + qz*qz))*sx + 2*(qx*qy - qw*qz)*sy + 2*(qx*qz + qw*qy)*sz), 4) + 0 as mx, round(my + child*0.5::double*(2*(qx*qy + qw*qz)*sx + (1 - 2*(qx*qx + qz*qz))*sy + 2*(qy*qz - qw*qx)*sz), 4) + 0 as my,
   round(mz + child*0.5::double*(2*(qx*qz - qw*qy)*sx + 2*(qy*qz + qw*qx)*sy + (1 - 2*(qx*qx + qy*qy))*sz), 4) + 0 as mz, {', '.join(f'round(case when large then s{a}/1.6::double else s{a} end, 4) + 0 as s{a}' for a in 'xyz')}, round(opacity, 4) + 0 as opacity from s where opacity >= 0.2::double""",
     "reset_opacity": f"with {V.GAUSSIANS} select gaussian_id, round(least(ln(opacity/(1 - opacity)), ln(0.4::double/(1 - 0.4::double))), 4) + 0 as logit from gaussians",
-    "relocate": f"with {V.GAUSSIANS}, r as (select *, 1 - pow(1 - opacity, 1/n::double) as o from (select gaussian_id, opacity, 1 + gaussian_id % 5 as n from gaussians)) select gaussian_id, n, round(o, 4) + 0 as new_opacity, round(opacity/({_COMB}), 4) + 0 as factor from r",
+    "relocate": f"with {V.GAUSSIANS}, r as (select *, least(greatest(1 - pow(1 - opacity, 1/n::double), 0.005::double), 1 - pow(2::double, -23)) as o from (select gaussian_id, opacity, 1 + gaussian_id % 5 as n from gaussians)) select gaussian_id, n, round(o, 4) + 0 as new_opacity, round(opacity/({_COMB}), 4) + 0 as factor from r",
     "adam_step": f"""with {V.GAUSSIANS}, m as (select *, opacity > 0.5::double as seen, 0.9::double*e16 + (1 - 0.9::double)*e15 as m, 0.999::double*(e14*e14) + (1 - 0.999::double)*e15*e15 as v from gaussians)
 select gaussian_id, round(case when seen then mx - 0.01::double*m/(sqrt(v) + 1e-15) else mx end, 4) + 0 as value, round(case when seen then m else e16 end, 4) + 0 as first, round(case when seen then v else e14*e14 end, 4) + 0 as second from m""",
     "step_schedules": "select o_orderkey as step, case when o_orderkey < 1000 then 'coarse' else 'fine' end as stage, (case when o_orderkey < 1000 then 0 else (o_orderkey - 1000) % 48 end)::int as frame, round(least(1, greatest(0, (o_orderkey // 50 * 50 - 500)/4000::double)), 4) + 0 as weight from orders",
