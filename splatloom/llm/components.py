@@ -8,13 +8,18 @@ from pyspark.sql import functions as F
 from .session import written
 
 
+#: Tasks over which the edges of one node are dealt when they meet its smallest neighbour.
+SALTS = 8
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One round: each node points its larger (or its smaller) neighbours at its smallest neighbour."""
     both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
     if large:
         both = both.union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = both.join(least, "u")
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    linked = both.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
     else:

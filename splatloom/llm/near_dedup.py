@@ -10,10 +10,11 @@ Documents of equal sets form a class, and one of each class goes on.  Classes th
 the signature meet in a bucket.  Within it, links are confirmed on the full sets and reduced to a
 spanning forest, so a bucket of ``k`` documents emits fewer than ``k`` edges, never all pairs.
 
-A large bucket is first dealt into groups of bounded size, each with the bucket's centre, one of its
-members: this links a group of near copies in work that grows with its size.  Only what is not in
-one component by then is compared on, in pairs of blocks made up by component; two blocks of the
-same component are not compared.
+The first bands go first.  A large bucket of theirs is dealt into groups of bounded size, each with
+the bucket's centre, one of its members: this links a group of near copies in work that grows with
+its size.  Of the buckets of all bands, only those are then looked at whose members are not yet in
+one component; large ones go in pairs of blocks made up by component, and two blocks of the same
+component are not compared.
 """
 
 from __future__ import annotations
@@ -25,12 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import SALTS, connected_components
 from .session import free_name, small_batches, written
 from .text import NOT_SPACE, buffers, chunks, mix, ngram_hashes, seeded, word_hashes, words
 
 #: 36 bands of 6 rows: a pair at a similarity of exactly 0.8 shares no band with probability 2e-5.
 BANDS, ROWS = 36, 6
+#: Bands that are looked at first.
+FIRST_BANDS = 4
 #: Documents, and elements of sets, in one group or block of a large bucket.
 BLOCK_DOCS, BLOCK_ELEMENTS = 256, 500_000
 #: Bits of the filter that spares documents without candidates from being hashed again.
@@ -209,11 +212,11 @@ def _verified(share: tuple[int, int]):
         group, last = [], None
         for batch in batches:
             found = []
-            for key, i, j, rep, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, i, j, node, elements in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, i, j) != last:
                     found += edges(group)
                     group, last = [], (key, i, j)
-                group.append((rep, elements))
+                group.append((node, elements))
             if found:
                 yield _edge_batch(found)
         if found := edges(group):
@@ -241,31 +244,48 @@ def _filter_bits(rows: DataFrame) -> np.ndarray:
 
 
 def _linked(dealt: DataFrame, sets: DataFrame, share: tuple[int, int]) -> DataFrame:
-    """Edges (a, b) of each group (key, i, j) of the classes in ``dealt``."""
-    together = dealt.join(sets, "class").select("key", "i", "j", "class", "elements")
-    together = together.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "class")
+    """Edges (a, b) of each group (key, i, j) of the nodes in ``dealt``."""
+    together = dealt.join(sets, "node").select("key", "i", "j", "node", "elements")
+    together = together.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node")
     return together.mapInArrow(_verified(share), "a long, b long")
 
 
-def _blocks_left(members: DataFrame, groups: DataFrame) -> DataFrame:
-    """(key, i, j, class): the pairs of blocks that hold all pairs of a large bucket's classes of different components.
+def _members(in_bands: DataFrame, name: str) -> DataFrame:
+    """``in_bands`` with centre and groups, for the buckets with nodes of different components; of those with the same members, one."""
+    open_ = in_bands.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("key")
+    members = written(in_bands.join(open_, "key"), name)
+    buckets = members.groupBy("key").agg(F.count("*").alias("k"), F.min("node").alias("centre"), F.bit_xor(F.xxhash64("node")).alias("who"), F.sum("n").alias("elements"))
+    buckets = buckets.groupBy("k", "centre", "who").agg(F.min("key").alias("key"), F.first("elements").alias("elements"))
+    groups = F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("long")
+    return members.join(buckets.select("key", "centre", groups.alias("groups")), "key")
+
+
+def _in_groups(members: DataFrame) -> DataFrame:
+    """(key, i, j, node): each bucket in groups, its centre in each of them."""
+    zero, own = F.lit(0).cast("long"), F.pmod(F.xxhash64("node", F.lit(5)), F.col("groups"))
+    dealt = lambda i: [F.col("key"), i.alias("i"), zero.alias("j"), F.col("node")]
+    return members.where("node <> centre").select(*dealt(own)).unionByName(members.where("node = centre").select(*dealt(F.explode(F.sequence(zero, F.col("groups") - 1)))))
+
+
+def _in_block_pairs(members: DataFrame) -> DataFrame:
+    """(key, i, j, node): pairs of blocks that hold all pairs of a bucket's nodes of different components.
 
     A component of at least half a block has blocks of its own; smaller ones are dealt into mixed blocks.
     """
     size = lambda docs, elements: F.greatest(F.ceil(F.col(docs) / BLOCK_DOCS), F.ceil(F.col(elements) / BLOCK_ELEMENTS), F.lit(1)).cast("int")
-    known = members.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
-    parts = known.groupBy("key", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
+    parts = members.groupBy("key", "component").agg(F.count("*").alias("docs"), F.sum("n").alias("elements"))
     parts = parts.withColumn("own", (F.col("docs") >= BLOCK_DOCS / 2) | (F.col("elements") >= BLOCK_ELEMENTS / 2))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum(F.when(~F.col("own"), F.col("docs"))).alias("m_docs"), F.sum(F.when(~F.col("own"), F.col("elements"))).alias("m_elements"))
-    parts = parts.join(mixed.where("parts > 1"), "key")
+    mixed = parts.where("not own").groupBy("key").agg(F.sum("docs").alias("m_docs"), F.sum("elements").alias("m_elements"))
+    parts = parts.join(mixed, "key", "left")
     parts = parts.select("key", "component", F.when(F.col("own"), F.col("component")).alias("whole"), F.when(F.col("own"), size("docs", "elements")).otherwise(size("m_docs", "m_elements")).alias("of"))
-    spread = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("component")).otherwise(F.col("class"))), F.col("of")).cast("int")
-    dealt = written(known.select("key", "class", "component").join(parts, ["key", "component"]).select("key", "class", "whole", F.xxhash64(F.coalesce("whole", F.lit(-1)), spread).alias("block")), "blocks")
+    spread = F.pmod(F.when(F.col("whole").isNull(), F.xxhash64("component")).otherwise(F.xxhash64("node")), F.col("of"))
+    block = F.xxhash64("whole", spread)
+    dealt = written(members.select("key", "node", "component").join(parts, ["key", "component"]).select("key", "node", "whole", block.alias("block")), "blocks")
     blocks = dealt.select("key", "whole", "block").distinct()
     other = blocks.select("key", F.col("whole").alias("whole2"), F.col("block").alias("block2"))
     pairs = blocks.join(other, "key").where("block <= block2 and (whole is null or whole2 is null or whole <> whole2)")
-    ends = pairs.select("key", F.col("block").alias("i"), F.col("block2").alias("j"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block"))
-    return dealt.select("key", "block", "class").join(ends, ["key", "block"]).select("key", "i", "j", "class")
+    ends = pairs.select("key", F.col("block").alias("i"), F.col("block2").alias("j"), F.explode(F.array_distinct(F.array("block", "block2"))).alias("block")).distinct()
+    return dealt.select("key", "block", "node").join(ends, ["key", "block"]).select("key", "i", "j", "node")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, share: tuple[int, int] = (80, 100), bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -285,38 +305,34 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kind = base.schema["id"].dataType.simpleString()
     signs = written(base.mapInArrow(_described(shingle, bands, rows), f"id {kind}, row_hash long, n long, d1 long, d2 long, bands array<long>"), "signatures")
     linkable = signs.where("n > 0 and id is not null")
-    # One row of each class stands for it; the table is written, so its numbers stay.
+    # One row of each class stands for it; the table is written, so the numbers of the classes, the nodes, stay.
     classes = linkable.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.min("row_hash").alias("row_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    in_bands = classes.select("class", "n", F.explode("bands").alias("key"))
-    buckets = in_bands.groupBy("key").agg(F.count("*").alias("k"), F.min("class").alias("centre"), F.bit_xor(F.xxhash64("class")).alias("who"), F.sum("n").alias("elements")).where("k > 1")
-    # Buckets of the same members need one look.
-    buckets = buckets.groupBy("k", "centre", "who").agg(F.min("key").alias("key"), F.first("elements").alias("elements"))
-    buckets = buckets.select("key", "centre", F.greatest(F.ceil(F.col("k") / BLOCK_DOCS), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int").alias("groups"))
-    members = written(in_bands.join(buckets, "key"), "members")
-
-    bits = _filter_bits(members.select("class").distinct().join(classes, "class"))
-    sets = base.where("id is not null").select(_bit(F.col("row_hash")).alias("bit"), "text").mapInArrow(_sets_of(shingle, bits), "d1 long, d2 long, elements binary")
-    sets = sets.join(classes.select("d1", "d2", "class"), ["d1", "d2"]).dropDuplicates(["class"]).select("class", "elements")
-    large = members.where("groups > 1")
-    hot = bool(large.take(1))
-    sets = written(sets, "sets") if hot else sets
-
-    own = F.pmod(F.xxhash64("class", F.lit(5)), F.col("groups")).cast("long")
-    whole = lambda i: [F.col("key"), i.alias("i"), F.lit(0).cast("long").alias("j")]
-    dealt = members.where("class <> centre").select(*whole(own), "class")
-    centres = members.where("class = centre").select(*whole(F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))), "class")
-    edges = _linked(dealt.unionByName(centres), sets, share)
-    if hot:
-        edges = written(edges, "edges")
-        edges = edges.unionByName(_linked(_blocks_left(large.select("key", "class", "n"), connected_components(edges)), sets, share))
+    def sets_of(members: DataFrame) -> DataFrame:
+        bits = _filter_bits(members.select("node").distinct().join(classes, "node"))
+        rows_let = base.where("id is not null").select(_bit(F.col("row_hash")).alias("bit"), "text")
+        found = rows_let.mapInArrow(_sets_of(shingle, bits), "d1 long, d2 long, elements binary")
+        return found.join(classes.select("d1", "d2", "node"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "elements")
+
+    def in_bands(classes: DataFrame, first: int) -> DataFrame:
+        return classes.select("node", "n", "component", F.explode(F.slice("bands", 1, first)).alias("key"))
+
+    members = _members(in_bands(classes.withColumn("component", F.col("node")), min(FIRST_BANDS, bands)), "members")
+    edges = written(_linked(_in_groups(members), sets_of(members), share), "edges")
 
     groups = connected_components(edges)
-    labelled = classes.select("d1", "d2", "least", "class").join(groups, F.col("class") == F.col("node"), "left").withColumn("component", F.coalesce("component", "class"))
-    labelled = written(labelled.select("d1", "d2", "least", "component"), "labelled")
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    out = signs.select("id", "n", "d1", "d2").join(labelled.join(names, "component").select("d1", "d2", "component_id"), ["d1", "d2"], "left")
+    members = written(_members(in_bands(classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node")), bands), "members"), "open")
+    small = members.where("groups = 1").select("key", F.lit(0).cast("long").alias("i"), F.lit(0).cast("long").alias("j"), "node")
+    edges = edges.unionByName(_linked(small.unionByName(_in_block_pairs(members.where("groups > 1"))), sets_of(members), share))
+
+    # A component takes the least id of its classes.  A large one is dealt over several tasks on its way back to them.
+    groups = written(connected_components(edges), "groups")
+    named = groups.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
+    named = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = groups.withColumn("salt", F.pmod("node", F.lit(SALTS)).cast("int")).join(named, ["component", "salt"]).select("node", "component_id")
+    labelled = classes.select("d1", "d2", "node", "least").join(named, "node", "left").select("d1", "d2", F.coalesce("component_id", "least").alias("component_id"))
+    out = signs.select("id", "n", "d1", "d2").join(labelled, ["d1", "d2"], "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
