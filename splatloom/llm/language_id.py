@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .session import small_batches
+from .session import small_batches, written
 from .text import buffers
 
 ORDER = 3
@@ -26,6 +26,8 @@ ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 8 << 20
 #: Bytes of text looked at together, and code lengths that a worker keeps for later texts.
 SLICE, KEPT = 1 << 20, 1 << 22
+#: Languages that a model may have: each has a tree that every worker holds.
+MOST_LANGUAGES = 1_000
 _SHARES = 1 << 20
 
 
@@ -141,13 +143,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """Learn from texts of each language, drawn by a hash of the id; None without any.
 
     A language's sample has ``sample_docs`` texts and ``sample_bytes`` bytes in the mean at most; the
-    model has one tree for each language, whose size that sample bounds.
+    model has one tree for each language, whose size that sample bounds; more than ``MOST_LANGUAGES``
+    are an error.
     """
     small_batches(docs.sparkSession)
     learned = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and id is not null and text <> ''")
     sizes = learned.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    sizes = written(sizes, "languages")
+    if sizes.count() > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col!r}")
     share = F.least(sample_docs / F.col("n"), sample_bytes / F.col("bytes")) * _SHARES
-    sample = learned.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.ceil(share))
+    sample = learned.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.ceil(share))
     table = sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     if not table.num_rows:
         return None
