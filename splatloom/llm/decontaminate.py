@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .session import small_batches, written
+from .session import free_name, small_batches, written
 from .text import ALNUM, buffers, chunks, word_hashes, words
 
 WIDTH = 10
@@ -208,11 +208,11 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _SPANS = T.ArrayType(T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())]))
-_ADDED = [T.StructField("__n_words", T.LongType()), T.StructField("__spans", _SPANS), T.StructField("__items", T.ArrayType(T.StringType()))]
+_KINDS = [T.LongType(), _SPANS, T.ArrayType(T.StringType())]
 _ARROW = [pa.int64(), pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())])), pa.list_(pa.string())]
 
 
-def _searched(shared, text: int, earlier: bool, cut: bool):
+def _searched(shared, text: int, earlier: bool, cut: bool, added_names: list[str]):
     """Adds word counts, spans and items to the rows, or (cut) removes the spans from their texts."""
 
     def close(shard: list, phrases: Phrases) -> Iterator[pa.RecordBatch]:
@@ -235,7 +235,7 @@ def _searched(shared, text: int, earlier: bool, cut: bool):
                 yield pa.RecordBatch.from_arrays(columns, batch.schema.names[: len(columns)])
             else:
                 added = [pa.array(own, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in m] for m in marks], _ARROW[1]), pa.array([sorted(m) for m in names], _ARROW[2])]
-                yield pa.RecordBatch.from_arrays([*columns, *added], [*batch.schema.names[: len(columns)], *(f.name for f in _ADDED)])
+                yield pa.RecordBatch.from_arrays([*columns, *added], [*batch.schema.names[: len(columns)], *added_names])
             at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,13 +283,15 @@ def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str,
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-size // PASS_BYTES))
     out, plain = docs, len(docs.columns)
+    names = [free_name(docs, n) for n in ("__n_words", "__spans", "__items")]
+    added = [T.StructField(n, kind) for n, kind in zip(names, _KINDS, strict=True)]
     text = docs.columns.index(text_col)
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k) if blocks > 1 else items
         shared = spark.sparkContext.broadcast(([tuple(x) for x in part.collect()], width))  # PASS_BYTES in the mean
         last = k == blocks - 1
-        schema = docs.schema if cut and last else T.StructType([*docs.schema.fields, *_ADDED])
-        out = out.mapInArrow(_searched(shared, text, len(out.columns) > plain, cut and last), schema)
+        schema = docs.schema if cut and last else T.StructType([*docs.schema.fields, *added])
+        out = out.mapInArrow(_searched(shared, text, len(out.columns) > plain, cut and last, names), schema)
         if not last:
             out = written(out, "searched")
     return out

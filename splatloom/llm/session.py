@@ -7,15 +7,21 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in one Arrow batch.  Texts can be long, so a batch is kept small; memory in a Python
+#: Rows and bytes in one Arrow batch.  Texts can be long, so a batch is kept small; memory in a Python
 #: worker is a few times the bytes of one batch.
-ARROW_ROWS = 500
+ARROW_ROWS, ARROW_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a temporary one where it is unset."""
+    """The cluster's shared folder (``spark.checkpoint.dir``).
+
+    Where that is unset, a temporary folder does for a local session; on a cluster it is an error,
+    since executors would write to disks of their own.
+    """
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("splatloom.shared.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="splatloom-")
         spark.conf.set("splatloom.shared.dir", folder)
     return folder
@@ -31,8 +37,9 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for this session."""
+    """Bound the rows and the bytes of an Arrow batch for this session."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def free_name(df: DataFrame, name: str) -> str:

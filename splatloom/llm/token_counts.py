@@ -83,6 +83,8 @@ class Ledger:
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Apply a batch once; False if it was applied before.  The folder's _SUCCESS file makes it count."""
+        if not batch or set(batch) & set("/=:%"):
+            raise ValueError(f"a batch id can't be {batch!r}: it names a folder")
         path = f"{self.folder}/batches/batch={batch}"
         if self._exists(f"{path}/_SUCCESS"):
             return False
@@ -109,6 +111,9 @@ class Ledger:
         return True
 
     def totals(self) -> DataFrame:
-        """(source, lang, version, n_docs, n_tokens, n_chars) of what the ledger holds, without empty groups."""
-        sums = self.rows().groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+        """(source, lang, version, n_docs, n_tokens, n_chars) of what the ledger holds, without empty groups; none before the first commit."""
+        rows = self.rows()
+        if rows is None:
+            return self.spark.createDataFrame([], "source string, lang string, version string, n_docs long, n_tokens long, n_chars long")
+        sums = rows.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")

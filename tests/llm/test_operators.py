@@ -484,6 +484,22 @@ def test_contamination(spark, awkward, monkeypatch, passes):
     assert decontaminate.contamination(clean, benchmark).where("n_hit > 9").count() == 0
 
 
+def test_decontaminated_with_clashing_names_and_passes(spark, monkeypatch):
+    items = spark.createDataFrame([("a", " ".join(f"q{k}" for k in range(12))), ("b", " ".join(f"z{k}" for k in range(12)))], "item_id string, text string")
+    rows = [(1, "keep " + " ".join(f"q{k}" for k in range(12)) + " this", 7, "x"), (2, None, 8, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __n_words long, __spans string")
+    monkeypatch.setattr(decontaminate, "PASS_BYTES", 20)
+    got = sorted(map(tuple, decontaminate.decontaminated(docs, items).collect()))
+    assert got == [(1, "keep  this", 7, "x"), (2, None, 8, "y")]
+
+
+def test_ledger_before_its_first_batch(spark, tmp_path):
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.totals().count() == 0
+    with pytest.raises(ValueError):
+        ledger.commit("a/b", spark.createDataFrame([], "op string, doc_id long, source string, lang string, text string"))
+
+
 def test_fm_index_counts_and_locates():
     r = np.random.default_rng(3)
     body = r.integers(2, 6, 400)
