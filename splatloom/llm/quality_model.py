@@ -140,13 +140,16 @@ def fit(row: np.ndarray, slot: np.ndarray, value: np.ndarray, grade: np.ndarray,
 def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col: str = "text", grade_col: str = "grade", sample_rows: int = SAMPLE_ROWS) -> OrdinalModel | None:
     """Fit on about ``sample_rows`` rated documents, drawn by a hash of the id; None if fewer than two grades are rated.
 
-    Grades are whole numbers from 0; a document rated more than once has its lowest grade.
+    Grades are whole numbers from 0; a document rated more than once has its lowest grade, and so have
+    documents of the same text.  The fit doesn't depend on the order or the partitions of the tables.
     """
     small_batches(docs.sparkSession)
     rated = ratings.select(F.col(id_col).alias("__rated"), F.col(grade_col).cast("int").alias("__grade")).dropna().groupBy("__rated").agg(F.min("__grade").alias("__grade"))
     share = -(-sample_rows * _SHARES // max(1, ratings.count()))
     sample = rated.where(F.pmod(F.xxhash64("__rated"), F.lit(_SHARES)) < share)
-    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__id") == F.col("__rated")).select("__grade", "text").dropDuplicates(["text"])
+    texts = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("text")).join(F.broadcast(sample), F.col("__id") == F.col("__rated"))
+    # Copies count once, with their lowest grade; in the order of the texts, so that reruns fit the same model.
+    texts = texts.groupBy("text").agg(F.min("__grade").alias("__grade")).select("__grade", "text").orderBy("text")
     table = texts.mapInArrow(_features_of, "grade int, slots array<int>, values array<float>").toArrow()
     grade = table.column("grade").to_numpy()
     if len(np.unique(grade)) < 2:

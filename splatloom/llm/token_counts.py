@@ -2,8 +2,9 @@
 
 Every batch of changes is a table of its own in the ledger folder, written once under the batch's
 id: a commit of an id that is already there does nothing.  A change inserts, deletes or revises a
-document; it becomes signed rows (+1 for a count that comes, -1 for one that goes), and the totals
-by source, language and tokenizer version are sums of signed rows over the batches.
+document; it becomes signed rows (+1 for a count that comes, -1 for one that goes).  A batch's rows
+are summed once into its part of the rollup, by source, language and tokenizer version; the totals
+add these parts and never go back to the rows.  A batch counts once its part of the rollup is whole.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ VERSION = "byte_bpe_50k"
 #: Fixed value: the public pre-tokenisation pattern of the byte-level vocabularies.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEYS = ("source", "lang", "version")
+_ROLLUP = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
 _COUNTED = ("doc_id", "source", "lang", "n_tokens", "n_chars")
 #: The place of changes without one in the order of a batch.
 _FIRST = -(1 << 63)
@@ -75,18 +77,33 @@ class Ledger:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
 
+    def committed(self) -> list[str]:
+        """The ids of the batches whose part of the rollup is whole."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/rollup/batch=*/_SUCCESS")
+        found = at.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(at)
+        return [f.getPath().getParent().getName().removeprefix("batch=") for f in found or []]
+
+    def _read(self, part: str, columns: str) -> DataFrame | None:
+        """A part of the ledger, of committed batches only; None before the first."""
+        batches = self.committed()
+        if not batches:
+            return None
+        return self.spark.read.schema(f"{columns}, batch string").parquet(f"{self.folder}/{part}").where(F.col("batch").isin(batches))
+
     def rows(self) -> DataFrame | None:
         """All signed rows of committed batches; None before the first."""
-        if not self._exists(f"{self.folder}/batches"):
-            return None
-        return self.spark.read.schema("doc_id long, source string, lang string, version string, sign long, n_tokens long, n_chars long, batch string").parquet(f"{self.folder}/batches")
+        return self._read("batches", "doc_id long, source string, lang string, version string, sign long, n_tokens long, n_chars long")
+
+    def rollup(self) -> DataFrame | None:
+        """What each committed batch adds to the totals: one row for a group that it touches; None before the first."""
+        return self._read("rollup", _ROLLUP)
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Apply a batch once; False if it was applied before.  The folder's _SUCCESS file makes it count."""
+        """Apply a batch once; False if it was applied before.  The _SUCCESS file of its rollup makes it count."""
         if not batch or set(batch) & set("/=:%"):
             raise ValueError(f"a batch id can't be {batch!r}: it names a folder")
         path = f"{self.folder}/batches/batch={batch}"
-        if self._exists(f"{path}/_SUCCESS"):
+        if self._exists(f"{self.folder}/rollup/batch={batch}/_SUCCESS"):
             return False
         small_batches(self.spark)
         seq = F.coalesce(F.col("seq").cast("long"), F.lit(_FIRST)) if "seq" in changes.columns else F.lit(_FIRST)
@@ -108,12 +125,15 @@ class Ledger:
             state = held.groupBy("doc_id", *KEYS).agg(*[F.sum(c).alias(c) for c in ("sign", "n_tokens", "n_chars")]).where("sign <> 0")
             signed = signed.unionByName(state.select("doc_id", *KEYS, *[(-F.col(c)).alias(c) for c in ("sign", "n_tokens", "n_chars")]))
         signed.write.mode("overwrite").parquet(path)
+        stored = self.spark.read.schema(signed.schema).parquet(path)
+        delta = stored.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+        delta.write.mode("overwrite").parquet(f"{self.folder}/rollup/batch={batch}")
         return True
 
     def totals(self) -> DataFrame:
         """(source, lang, version, n_docs, n_tokens, n_chars) of what the ledger holds, without empty groups; none before the first commit."""
-        rows = self.rows()
-        if rows is None:
-            return self.spark.createDataFrame([], "source string, lang string, version string, n_docs long, n_tokens long, n_chars long")
-        sums = rows.groupBy(*KEYS).agg(F.sum("sign").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
+        parts = self.rollup()
+        if parts is None:
+            return self.spark.createDataFrame([], _ROLLUP)
+        sums = parts.groupBy(*KEYS).agg(*[F.sum(c).alias(c) for c in ("n_docs", "n_tokens", "n_chars")])
         return sums.where("n_docs <> 0 or n_tokens <> 0")
