@@ -44,3 +44,33 @@ def bivariate(u: Column, v: Column, coefficients: Sequence[float]) -> Column:
 
 def direction(elevation: Column, azimuth: Column) -> tuple[Column, Column, Column]:
     return F.cos(elevation) * F.cos(azimuth), F.cos(elevation) * F.sin(azimuth), F.sin(elevation)
+
+
+def opencv_distortion(u: Column, v: Column, c: dict[str, float]) -> tuple[Column, Column, Column]:
+    """(radial factor, shift of u, shift of v) at undistorted slopes; ``c`` has any of k1..k6, p1, p2, s1..s4."""
+    k = lambda n: float(c.get(n, 0.0))
+    rr = u * u + v * v
+    radial = polynomial(rr, [1.0, k("k1"), k("k2"), k("k3")]) / polynomial(rr, [1.0, k("k4"), k("k5"), k("k6")])
+    du = 2 * u * v * k("p1") + k("p2") * (rr + 2 * u * u) + rr * (k("s1") + rr * k("s2"))
+    dv = k("p1") * (rr + 2 * v * v) + 2 * u * v * k("p2") + rr * (k("s3") + rr * k("s4"))
+    return radial, du, dv
+
+
+def opencv_undistorted(u: Column, v: Column, c: dict[str, float], rounds: int = 10) -> Column:
+    """A struct (u, v) of undistorted slopes, by a fixed number of rounds of (distorted - shift) / radial factor."""
+
+    def step(at: Column, _: Column) -> Column:
+        radial, du, dv = opencv_distortion(at["u"], at["v"], c)
+        return F.struct(((u - du) / radial).alias("u"), ((v - dv) / radial).alias("v"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(u.alias("u"), v.alias("v")), step)
+
+
+def shutter_share(x: Column, y: Column, width: Column, height: Column, direction: Column) -> Column:
+    """The share of the exposure at which an image point is read, by direction: down, right, up, left; 0 for any other.
+
+    An image of one row (column) is read at 0.5.
+    """
+    along = lambda passed, size: F.when(size > 1, passed / (size - 1)).otherwise(0.5)
+    share = F.when(direction == "down", along(F.floor(y), height)).when(direction == "right", along(F.floor(x), width))
+    return share.when(direction == "up", along(height - F.ceil(y), height)).when(direction == "left", along(width - F.ceil(x), width)).otherwise(0.0)

@@ -17,6 +17,7 @@ ALPHA_LEAST = 1.0 / 255.0
 EXTENT = 3.33
 ALPHA_MOST = 0.99
 TRANSMITTANCE_LEAST = 1e-4
+COMPENSATION_LEAST = 0.005
 #: The upper triangle of a symmetric 3x3 matrix.
 TRIANGLE = ((0, 0), (0, 1), (0, 2), (1, 1), (1, 2), (2, 2))
 
@@ -92,7 +93,7 @@ def project(gaussians: DataFrame, cameras: DataFrame, model: str = "pinhole", ne
     seen = seen.select(*base, R.dot(half[0], rows[0]).alias("a"), R.dot(half[0], rows[1]).alias("b"), R.dot(half[1], rows[1]).alias("c"))
     seen = seen.select(*base, (F.col("a") + blur).alias("a"), "b", (F.col("c") + blur).alias("c"), (F.col("a") * F.col("c") - F.col("b") * F.col("b")).alias("sharp"))
     seen = seen.withColumn("det", F.col("a") * F.col("c") - F.col("b") * F.col("b"))
-    seen = computed(seen, *base, "a", "b", "c", "det", F.sqrt(F.greatest(F.col("sharp") / F.col("det"), F.lit(0.0))).alias("compensation"))
+    seen = computed(seen, *base, "a", "b", "c", "det", F.sqrt(F.greatest(F.col("sharp") / F.col("det"), F.lit(COMPENSATION_LEAST**2))).alias("compensation"))
     strength = F.col("opacity") * F.col("compensation") if antialiased else F.col("opacity")
     extent = F.least(F.lit(EXTENT), F.sqrt(2 * F.ln(strength / ALPHA_LEAST)))
     valid = (F.col("depth") >= near) & (F.col("depth") <= far) & (F.col("det") > 0) & (strength >= ALPHA_LEAST)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from splatloom.functions import harmonics, packing
+from splatloom.functions import harmonics, lenses, packing
 from splatloom.functions import rotation as R
 from splatloom.operators.shutter import project_shutter
 from splatloom.sources import views as V
@@ -77,20 +77,16 @@ LENS = {"k1": 0.1, "k2": -0.05, "k3": 0.01, "k4": 0.02, "k5": 0.0, "k6": 0.0, "p
 
 def opencv_distort(spark: SparkSession, folder: str) -> DataFrame:
     """Image points of primitives through a distorted pinhole lens, with a validity flag."""
-    k = {n: F.lit(v) for n, v in LENS.items()}
     rows = V.gaussians(spark, folder).where("mz > 0").select("gaussian_id", (F.col("mx") / F.col("mz")).alias("u"), (F.col("my") / F.col("mz")).alias("v"))
-    rows = rows.withColumn("rr", F.col("u") * F.col("u") + F.col("v") * F.col("v"))
-    u, v, rr = R.columns("u", "v", "rr")
-    radial = (1 + rr * (k["k1"] + rr * (k["k2"] + rr * k["k3"]))) / (1 + rr * (k["k4"] + rr * (k["k5"] + rr * k["k6"])))
+    u, v = R.columns("u", "v")
+    radial, dx, dy = lenses.opencv_distortion(u, v, LENS)
     rows = rows.withColumn("radial", radial)
-    dx = 2 * u * v * k["p1"] + k["p2"] * (rr + 2 * u * u) + rr * (k["s1"] + rr * k["s2"])
-    dy = k["p1"] * (rr + 2 * v * v) + 2 * u * v * k["p2"] + rr * (k["s3"] + rr * k["s4"])
     x, y = 60 * (F.col("radial") * u + dx) + 32, 60 * (F.col("radial") * v + dy) + 24
     rows = rows.select("gaussian_id", x.alias("x"), y.alias("y"), "radial")
     return rows.select("gaussian_id", *_rounded(x=F.col("x"), y=F.col("y")), ((F.col("radial") > 0.8) & (F.col("x") >= 0) & (F.col("x") < 64) & (F.col("y") >= 0) & (F.col("y") < 48)).alias("valid"))
 
 
-def _grid(spark: SparkSession, folder: str) -> DataFrame:
+def grid(spark: SparkSession, folder: str) -> DataFrame:
     from splatloom.operators.composite import pixels
 
     cameras = V.cameras(spark, folder)
@@ -99,7 +95,7 @@ def _grid(spark: SparkSession, folder: str) -> DataFrame:
 
 def pixel_rays(spark: SparkSession, folder: str) -> DataFrame:
     """World ray through every pixel centre of every camera, and its time share for the four rolling directions."""
-    rows = _grid(spark, folder)
+    rows = grid(spark, folder)
     d = R.normalised(((F.col("x") + 0.5 - F.col("cx")) / F.col("fx"), (F.col("y") + 0.5 - F.col("cy")) / F.col("fy"), F.lit(1.0)))
     view = tuple(R.columns(f"r{i}0", f"r{i}1", f"r{i}2") for i in range(3))
     world = R.apply(R.transposed(view), d)
@@ -107,14 +103,19 @@ def pixel_rays(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("camera_id", "x", "y", *_rounded(**_named("ray", world), down=down, up=1 - down, right=right, left=1 - right))
 
 
-def rolling_shutter(spark: SparkSession, folder: str) -> DataFrame:
-    """Primitives' centres in cameras that turn by 0.05 and move by 0.1 while their rows are read."""
+def moving_cameras(spark: SparkSession, folder: str) -> DataFrame:
+    """Cameras with lens, size and the poses between which they turn by 0.05 and move by 0.1."""
     yaw = F.col("n_nationkey") * F.lit(0.02) - 0.24
     lens = V.cameras(spark, folder).select("camera_id", "fx", "fy", "cx", "cy", "width", "height")
     turn = lambda k, a: [F.cos(a / 2).alias(f"{k}w"), F.lit(0.0).alias(f"{k}x"), F.sin(a / 2).alias(f"{k}y"), F.lit(0.0).alias(f"{k}z")]
     poses = V.table(spark, folder, "nation").select(F.col("n_nationkey").cast("int").alias("camera_id"), *turn("a", yaw), *turn("b", yaw + 0.05), *[F.lit(x).alias(n) for n, x in zip(("at0", "at1", "at2", "bt0", "bt1", "bt2"), (0.0, 0.0, 0.0, 0.1, 0.0, 0.0), strict=True)])
+    return lens.join(poses, "camera_id")
+
+
+def rolling_shutter(spark: SparkSession, folder: str) -> DataFrame:
+    """Primitives' centres in cameras that turn by 0.05 and move by 0.1 while their rows are read."""
     points = V.gaussians(spark, folder).select(F.col("gaussian_id").alias("point_id"), F.col("mx").alias("px"), F.col("my").alias("py"), F.col("mz").alias("pz"))
-    rows = project_shutter(points, lens.join(poses, "camera_id"))
+    rows = project_shutter(points, moving_cameras(spark, folder))
     return rows.select("camera_id", F.col("point_id").alias("gaussian_id"), *[r4(c).alias(c) for c in ("x", "y", "time")], "valid")
 
 

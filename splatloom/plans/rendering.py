@@ -211,7 +211,7 @@ flat as (select *, j00*j00*w00 + j01*j01*w11 + j02*j02*w22 + 2*(j00*j01*w01 + j0
   j00*j10*w00 + j01*j11*w11 + j02*j12*w22 + (j00*j11 + j01*j10)*w01 + (j00*j12 + j02*j10)*w02 + (j01*j12 + j02*j11)*w12 as b,
   j10*j10*w00 + j11*j11*w11 + j12*j12*w22 + 2*(j10*j11*w01 + j10*j12*w02 + j11*j12*w12) as d0 from lensed),
 blurred as (select *, a0 + 0.3::double as a, d0 + 0.3::double as d, (a0 + 0.3::double) * (d0 + 0.3::double) - b * b as det from flat),
-strong as (select *, sqrt(greatest((a0 * d0 - b * b) / det, 0::double)) as compensation from blurred),
+strong as (select *, sqrt(greatest((a0 * d0 - b * b) / det, 0.000025::double)) as compensation from blurred),
 ext as (select *, case when {strength} >= 1e0/255 and det > 0 and depth >= 0.01::double and depth <= 1e10 then least(3.33::double, sqrt(2 * ln({strength} * 255))) end as k from strong),
 boxed as (select *, ceil(k * sqrt(a))::int as rx, ceil(k * sqrt(d))::int as ry from ext),
 shown as (select *, coalesce(k is not null and (rx > {clip} or ry > {clip}) and mean2d_x + rx > 0 and mean2d_x - rx < width and mean2d_y + ry > 0 and mean2d_y - ry < height, false) as ok from boxed),
