@@ -39,3 +39,17 @@ def evaluate(degree: int, direction: tuple[Column, Column, Column], coefficients
     for b, c in zip(basis(degree, *direction), coefficients, strict=False):
         out = out + b * c
     return out
+
+
+def slopes(degree: int, direction: tuple[Column, Column, Column], coefficients: list[Column]) -> tuple[list[Column], tuple[Column, Column, Column]]:
+    """Derivatives of ``evaluate`` by each coefficient, and by the three parts of an unnormalised direction; up to degree 2."""
+    if degree > 2:
+        raise ValueError("slopes by the direction are known up to degree 2")
+    size = F.sqrt(sum((d * d for d in direction[1:]), direction[0] * direction[0]))
+    x, y, z = (d / size for d in direction)
+    k = [*coefficients[: (degree + 1) ** 2], *[F.lit(0.0)] * (9 - (degree + 1) ** 2)]
+    by_x = -C1 * k[3] + C2[1] * 2 * y * k[4] - C2[0] * z * k[7] + C2[1] * 2 * x * k[8]
+    by_y = -C1 * k[1] + C2[1] * 2 * x * k[4] - C2[0] * z * k[5] - C2[1] * 2 * y * k[8]
+    by_z = C1 * k[2] - C2[0] * y * k[5] + 2 * C2[2] * z * k[6] - C2[0] * x * k[7]
+    along = x * by_x + y * by_y + z * by_z
+    return basis(degree, x, y, z), tuple((g - along * d) / size for g, d in ((by_x, x), (by_y, y), (by_z, z)))

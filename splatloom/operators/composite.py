@@ -132,6 +132,39 @@ def gradients(weighted: DataFrame, channel: str) -> DataFrame:
     return rows.groupBy("gaussian_id").agg(F.sum("weight").alias("color"), F.sum("v").alias("opacity"))
 
 
+def shape_gradients(weighted: DataFrame, channels: list[str]) -> DataFrame:
+    """(camera_id, gaussian_id, v_...): derivatives of the sum of ``channels`` over all pixels by opacity, 2-D mean and conic.
+
+    ``v_abs_x`` and ``v_abs_y`` sum the absolute values of what each pixel gives to the mean.  The
+    suffix sum behind a pair is that of ``gradients``; a clamped alpha passes nothing on.
+    """
+    later = Window.partitionBy(*PIXEL).orderBy("place").rowsBetween(1, Window.unboundedFollowing)
+    shown = sum((F.col(c) for c in channels[1:]), F.col(channels[0]))
+    rows = weighted.select("camera_id", "gaussian_id", *PIXEL[1:], "place", "alpha", "after", "weight", "opacity", "conic_a", "conic_b", "conic_c", (F.col("mean2d_x") - F.col("x") - 0.5).alias("dx"), (F.col("mean2d_y") - F.col("y") - 0.5).alias("dy"), shown.alias("shown"))
+    behind = F.coalesce(F.sum(F.col("weight") * F.col("shown")).over(later), F.lit(0.0))
+    by_alpha = F.when(F.col("alpha") < ALPHA_MOST, (F.col("shown") * F.col("after") - behind) / (1 - F.col("alpha"))).otherwise(0.0)
+    rows = rows.withColumn("v", by_alpha * F.col("alpha"))
+    v, dx, dy, a, b, c = (F.col(n) for n in ("v", "dx", "dy", "conic_a", "conic_b", "conic_c"))
+    to_mean = {"x": -v * (a * dx + b * dy), "y": -v * (b * dx + c * dy)}
+    sums = {"v_opacity": v / F.col("opacity"), "v_conic_a": -0.5 * v * dx * dx, "v_conic_b": -v * dx * dy, "v_conic_c": -0.5 * v * dy * dy}
+    sums |= {f"v_mean_{n}": g for n, g in to_mean.items()} | {f"v_abs_{n}": F.abs(g) for n, g in to_mean.items()}
+    return rows.groupBy("camera_id", "gaussian_id").agg(*[F.sum(g).alias(n) for n, g in sums.items()])
+
+
+def screen_gradients(slopes: DataFrame, projected: DataFrame, cameras: int, absolute: bool = False) -> DataFrame:
+    """(gaussian_id, grad2d, n, radius) for densification: summed length of the slopes of 2-D means in
+    screens from -1 to 1 and for ``cameras`` cameras, how often a primitive shows, its largest radius as a share of the image.
+
+    ``slopes`` is what ``shape_gradients`` gives; a primitive that shows without any pixel adds 0.
+    """
+    kind = "v_abs" if absolute else "v_mean"
+    rows = projected.join(slopes, ["camera_id", "gaussian_id"], "left")
+    x, y = F.col(f"{kind}_x") * F.col("width") / 2 * cameras, F.col(f"{kind}_y") * F.col("height") / 2 * cameras
+    long = F.coalesce(F.sqrt(x * x + y * y), F.lit(0.0))
+    size = F.greatest("radius_x", "radius_y") / F.greatest("width", "height")
+    return rows.groupBy("gaussian_id").agg(F.sum(long).alias("grad2d"), F.count("*").alias("n"), F.max(size).alias("radius"))
+
+
 def pixels(cameras: DataFrame) -> DataFrame:
     rows = cameras.select("camera_id", "width", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("y"))
     return rows.select("camera_id", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("x"), "y")

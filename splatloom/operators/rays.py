@@ -42,7 +42,7 @@ def with_precision(gaussians: DataFrame) -> DataFrame:
     """``gaussians`` with what ``ray_pairs`` needs kept through a projection: centre g0..2, scales gs0..2, inverse shape g00..g22."""
     turn = R.rotation(R.normalised(R.columns("qw", "qx", "qy", "qz")))
     scales = R.columns("sx", "sy", "sz")
-    return gaussians.select("*", *[F.col(f"m{n}").alias(f"g{k}") for k, n in enumerate("xyz")], *[c.alias(f"gs{k}") for k, c in enumerate(scales)], *[(turn[j][i] / scales[i]).alias(f"g{i}{j}") for i in range(3) for j in range(3)])
+    return gaussians.select("*", *[F.col(f"m{n}").alias(f"g{k}") for k, n in enumerate("xyz")], *[c.alias(f"gs{k}") for k, c in enumerate(scales)], *[F.try_divide(turn[j][i], scales[i]).alias(f"g{i}{j}") for i in range(3) for j in range(3)])
 
 
 def ray_pairs(projected: DataFrame, cameras: DataFrame, tile: int = 16) -> DataFrame:

@@ -28,7 +28,7 @@ def _image_point(p: R.Vector, model: str, distortion: dict[str, float] | None) -
         return fx * p[0] + cx, fy * p[1] + cy, p[2] > 0
     if model != "pinhole":
         raise ValueError(f"unknown model {model!r}; known: ortho, pinhole")
-    u, v = p[0] / p[2], p[1] / p[2]
+    u, v = F.try_divide(p[0], p[2]), F.try_divide(p[1], p[2])
     if distortion:
         radial, du, dv = lenses.opencv_distortion(u, v, distortion)
         return fx * (radial * u + du) + cx, fy * (radial * v + dv) + cy, (p[2] > 0) & (radial > RADIAL_LEAST)

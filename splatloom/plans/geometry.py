@@ -72,6 +72,17 @@ def sh_basis(spark: SparkSession, folder: str) -> DataFrame:
 
 
 #: The lens of the distortion queries (radial k1..k6, tangential p1 p2, thin prism s1..s4).
+def sh_backward(spark: SparkSession, folder: str) -> DataFrame:
+    """Derivatives of a degree-2 colour by its coefficients and by its direction, none where the colour is clamped at 0."""
+    coefficients, direction = [F.col(f"e{i}") for i in range(1, 10)], R.columns(*M)
+    rows = V.gaussians(spark, folder)
+    unit = R.normalised(direction)
+    shown = (harmonics.evaluate(2, unit, coefficients) + 0.5 > 0).cast("double")
+    by_coefficient, by_direction = harmonics.slopes(2, direction, coefficients)
+    rows = rows.select("gaussian_id", shown.alias("shown"), *[c.alias(f"k{i}") for i, c in enumerate(by_coefficient)], *[c.alias(f"d{i}") for i, c in enumerate(by_direction)])
+    return rows.select("gaussian_id", *[r4(F.col("shown") * F.col(c)).alias(c) for c in (*(f"k{i}" for i in range(9)), "d0", "d1", "d2")])
+
+
 LENS = {"k1": 0.1, "k2": -0.05, "k3": 0.01, "k4": 0.02, "k5": 0.0, "k6": 0.0, "p1": 0.001, "p2": -0.002, "s1": 0.0005, "s2": 0.0, "s3": -0.0005, "s4": 0.0}
 
 
@@ -158,7 +169,7 @@ def quantize(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("gaussian_id", "b8", F.expr("b16 div 256").alias("high"), (F.col("b16") % 256).alias("low"), r4(F.col("b16") / 65535 * (F.col("hi") - F.col("lo")) + F.col("lo")).alias("back"))
 
 
-QUERIES = {f.__name__: f for f in (quat_covariance, quat_algebra, se3_poses, sh_color, sh_basis, opencv_distort, pixel_rays, rolling_shutter, morton_order, pack_bits, chunk_bounds, quantize)}
+QUERIES = {f.__name__: f for f in (quat_covariance, quat_algebra, se3_poses, sh_color, sh_basis, sh_backward, opencv_distort, pixel_rays, rolling_shutter, morton_order, pack_bits, chunk_bounds, quantize)}
 
 _ROT = """rot as (select *, 1 - 2*(qy*qy + qz*qz) as r00, 2*(qx*qy - qw*qz) as r01, 2*(qx*qz + qw*qy) as r02, 2*(qx*qy + qw*qz) as r10, 1 - 2*(qx*qx + qz*qz) as r11, 2*(qy*qz - qw*qx) as r12,
   2*(qx*qz - qw*qy) as r20, 2*(qy*qz + qw*qx) as r21, 1 - 2*(qx*qx + qy*qy) as r22 from gaussians)"""
@@ -226,6 +237,10 @@ select gaussian_id, {_r(prod0='aw*qw - ax*qx - ay*qy - az*qz', prod1='aw*qx + ax
         **{f"twice{i}": f"{x} + e{8 + i}" for i, x in enumerate(_times(_FORWARD, ["e8", "e9", "e10"]))}) + " from rot",
     "sh_color": f"with {V.GAUSSIANS}, {_BASIS} select gaussian_id, {_r(**{f'deg{k}': v for k, v in _DEG.items()}, rest=_DEG[3] + ' - b0*e1', color=f'greatest({_DEG[3]} + 0.5::double, 0)')} from basis",
     "sh_basis": f"with {V.GAUSSIANS}, {_BASIS} select gaussian_id, {_r(**{f'b{k}': f'b{k}' for k in range(25)})} from basis",
+    # The slope by a direction is (g - (g . u) u) / length for the slope g by the unit vector u.
+    "sh_backward": f"""with {V.GAUSSIANS}, {_BASIS}, g as (select *, sqrt(mx*mx + my*my + mz*mz) as l, 0.48860251190292::double as p, 1.0925484305920792::double as q, 0.94617469575756::double as r, 0.5462742152960395::double as s, case when {_DEG[2]} + 0.5::double > 0 then 1 else 0 end as shown from basis),
+h as (select *, -p*e4 + 2*s*y*e5 - q*z*e8 + 2*s*x*e9 as g0, -p*e2 + 2*s*x*e5 - q*z*e6 - 2*s*y*e9 as g1, p*e3 - q*y*e6 + 2*r*z*e7 - q*x*e8 as g2 from g), f as (select *, x*g0 + y*g1 + z*g2 as a from h)
+select gaussian_id, {_r(**{f'k{i}': f'shown*b{i}' for i in range(9)}, **{f'd{i}': f'shown*(g{i} - a*{c})/l' for i, c in enumerate('xyz')})} from f""",
     "opencv_distort": f"""with {V.GAUSSIANS}, p as (select *, u*u + v*v as rr from (select gaussian_id, mx/mz as u, my/mz as v from gaussians where mz > 0)),
 l as (select *, (1 + rr*(0.1::double + rr*(-0.05::double + rr*0.01::double))) / (1 + rr*0.02::double) as radial from p),
 i as (select *, 60*(radial*u + 2*u*v*0.001::double - 0.002::double*(rr + 2*u*u) + rr*0.0005::double) + 32 as x, 60*(radial*v + 0.001::double*(rr + 2*v*v) - 2*u*v*0.002::double - rr*0.0005::double) + 24 as y from l)

@@ -174,11 +174,33 @@ def blend_backward(spark: SparkSession, folder: str) -> DataFrame:
     return C.gradients(weighted_pairs(spark, folder), "c0").select("gaussian_id", r4("color").alias("color"), r4("opacity").alias("opacity"))
 
 
+_SLOPES = ("v_opacity", "v_mean_x", "v_mean_y", "v_abs_x", "v_abs_y", "v_conic_a", "v_conic_b", "v_conic_c")
+
+
+def blend_backward_shape(spark: SparkSession, folder: str) -> DataFrame:
+    """Derivatives of all summed channels by opacity, 2-D mean and conic of each primitive in each camera."""
+    found = C.shape_gradients(weighted_pairs(spark, folder), ["c0", "c1", "c2"])
+    return found.select("camera_id", "gaussian_id", *[r4(c).alias(c) for c in _SLOPES])
+
+
+def blend_backward_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """The same where only the requested pixels count."""
+    found = C.shape_gradients(weighted_pairs(spark, folder, V.pixel_requests(spark, folder)), ["c0", "c1", "c2"])
+    return found.select("camera_id", "gaussian_id", *[r4(c).alias(c) for c in _SLOPES])
+
+
+def screen_gradients(spark: SparkSession, folder: str) -> DataFrame:
+    """What densification goes by: lengths of the slopes of 2-D means, counts and radii."""
+    seen = _seen(spark, folder)
+    found = C.screen_gradients(C.shape_gradients(C.contributions(C.pairs(seen)), ["c0", "c1", "c2"]), seen, cameras=25)
+    return found.select("gaussian_id", r4("grad2d").alias("grad2d"), "n", r4("radius").alias("radius"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         project_dense, project_packed, project_antialiased, project_ortho, project_fisheye, isect_tiles, isect_ellipse, isect_offsets, isect_sparse, sparse_tile_layout, composite_rgb, composite_background, composite_depth, render_rgbd, render_rgb_sh,
-        composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last, project_2dgs, composite_2dgs, blend_backward,
+        composite_masked, composite_sparse, contrib_count, contrib_count_sparse, contrib_list, contrib_list_sparse, contrib_topk, contrib_topk_sparse, contrib_last, project_2dgs, composite_2dgs, blend_backward, blend_backward_shape, blend_backward_sparse, screen_gradients,
     )
 }
 
@@ -278,7 +300,16 @@ ordered as (select *, exp(sum(ln(1 - alpha)) over (partition by camera_id, x, y
 weighted as (select *, alpha*after_/(1 - alpha) as weight from ordered where after_ > 1e-4),
 prefixed as (select *, coalesce(sum(weight) over p, 0) as pw, coalesce(sum(weight*depth) over p, 0) as pd from weighted window p as (partition by camera_id, x, y order by place rows between unbounded preceding and 1 preceding))"""
 
+_BACK_SHAPE = """, b as (select *, c0 + c1 + c2 as shown, coalesce(sum(weight*(c0 + c1 + c2)) over (partition by camera_id, x, y order by place rows between 1 following and unbounded following), 0) as behind from weighted),
+v as (select *, case when alpha < 0.99::double then alpha*(shown*after_ - behind)/(1 - alpha) else 0 end as v from b),
+g as (select camera_id, gaussian_id, sum(v/opacity) as v_opacity, sum(-v*(conic_a*dx + conic_b*dy)) as v_mean_x, sum(-v*(conic_b*dx + conic_c*dy)) as v_mean_y, sum(abs(v*(conic_a*dx + conic_b*dy))) as v_abs_x, sum(abs(v*(conic_b*dx + conic_c*dy))) as v_abs_y,
+  sum(-v*dx*dx/2) as v_conic_a, sum(-v*dx*dy) as v_conic_b, sum(-v*dy*dy/2) as v_conic_c from v group by all)"""
+_BACK_ALL = f"select camera_id, gaussian_id, {_rounded(*_SLOPES)} from g"
 SQL = {
+    "blend_backward_shape": f"with {PLAIN}{blend()}{_BACK_SHAPE} {_BACK_ALL}",
+    "blend_backward_sparse": f"with {_WANTED}, {PLAIN}{blend(_ASKED)}{_BACK_SHAPE} {_BACK_ALL}",
+    "screen_gradients": f"""with {PLAIN}{blend()}{_BACK_SHAPE} select s.gaussian_id, round(sum(coalesce(sqrt(pow(v_mean_x*32*25, 2) + pow(v_mean_y*24*25, 2)), 0)), 4) + 0 as grad2d, count(*) as n, round(max(greatest(radius_x, radius_y)/64::double), 4) + 0 as radius
+  from seen s left join g on g.camera_id = s.camera_id and g.gaussian_id = s.gaussian_id group by 1""",
     "project_dense": f"with {_projection(dense=True)} {_GEOMETRY}",
     "project_packed": f"with {PLAIN} {_GEOMETRY}",
     "project_antialiased": f"with {_projection(antialiased=True, clip=2)} {_GEOMETRY}",
