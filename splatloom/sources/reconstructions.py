@@ -181,7 +181,8 @@ def npz_rows(spark: SparkSession, path: str, arrays: dict[str, str], schema: str
                     parts = {}
                     for column, where in arrays.items():
                         name, _, index = where.partition(":")
-                        parts[column] = held[name].reshape(len(held[name]), -1)[:, int(index or 0)]
+                        array = held[name]
+                        parts[column] = array.reshape(len(array), int(np.prod(array.shape[1:])))[:, int(index or 0)]
                 if len({len(p) for p in parts.values()}) > 1:
                     raise ValueError(f"arrays of several sizes: {({n: len(p) for n, p in parts.items()})}")
                 for a in range(0, len(next(iter(parts.values()))), 50_000):
