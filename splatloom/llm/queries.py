@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, secrets, token_counts
+from . import clusters, decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, secrets, token_counts
 from .session import shared_dir
 
 
@@ -76,6 +76,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_near_dedup": op1_near_dedup,
     "op2_licences": op2_licences,
@@ -87,9 +91,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
+    "op13_centroid_clusters": op13_centroid_clusters,
 }
 SQL: dict[str, str] = {
     "op2_licences": licences.SQL,
     "op4_line_quality": line_quality.SQL,
     "op8_mixing": mixing.SQL,
+    "op13_centroid_clusters": clusters.sql(),
 }
