@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, clusters, decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, quality_model, secrets, token_counts
+from . import alignment, clusters, decontaminate, html_extract, language_id, licences, line_quality, mixing, near_dedup, pii, quality_model, secrets, token_counts
 from .session import shared_dir
 
 
@@ -76,6 +76,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.totals()
 
 
+def op11_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return pii.scan(docs, pii.train(docs))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(_read(spark, sf_dir, "documents"))
 
@@ -95,6 +100,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_token_counts": op10_token_counts,
+    "op11_pii": op11_pii,
     "op12_token_alignment": op12_token_alignment,
     "op13_centroid_clusters": op13_centroid_clusters,
 }
