@@ -54,38 +54,37 @@ def lidar_tiles(primitives: DataFrame, tilings: DataFrame, steps_azimuth: int, s
 
     ``primitives`` has sensor_id, gaussian_id, azimuth and elevation from the start of the field of view
     (azimuth in [0, 2 pi)), and the half sizes extent_a and extent_e, in radians.  ``tilings`` has
-    sensor_id, span_a, span_e and the arrays of ``sensors``.  A box that leaves the circle on one side
-    comes back on the other; parts without any ray are left out.  With a full circle the tile columns
-    are taken modulo their number, each once; a box that goes past the end and has rays only beyond it
-    takes all columns.  Without a full circle, two parts that overlap cover the whole row.
+    sensor_id, span_a, span_e and the arrays of ``sensors``.
+
+    Azimuths are an interval modulo the circle, once around at most.  The view cuts it into parts: what
+    the interval, moved by no, one or minus one turn, shares with [0, span_a].  A part counts if it takes all
+    fine columns, or if a ray is in its fine cells; a box that covers the view is one part.  The columns are
+    those of the parts that count, each once.  Two rules widen them to the whole row: in an open view, parts
+    that share a column; in a full circle, a part from one turn back without the part before the end.
     """
-    circle, keep = F.lit(2 * math.pi), ["sensor_id", "gaussian_id"]
-    held = [*keep, "span_a", "span_e", "row_of", "counts"]
+    circle, keep = 2 * math.pi, ["sensor_id", "gaussian_id"]
     rows = primitives.join(tilings, "sensor_id").where("extent_a > 0 and extent_e > 0")
-    low, high = F.col("azimuth") - F.col("extent_a"), F.col("azimuth") + F.col("extent_a")
-    clamp = lambda c, span: F.greatest(F.lit(0.0), F.least(F.col(span), c))
-    rows = computed(rows, *held, low.alias("low"), ((low <= 0) & (high >= F.col("span_a"))).alias("whole"), F.least(high, low + circle).alias("high"), clamp(F.col("elevation") - F.col("extent_e"), "span_e").alias("bottom"), clamp(F.col("elevation") + F.col("extent_e"), "span_e").alias("top"))
-    over, under = ~F.col("whole") & (F.col("high") > circle), ~F.col("whole") & (F.col("low") < 0)
-    first = F.when(F.col("whole") | (F.col("low") < 0), 0.0).otherwise(F.col("low")), F.when(F.col("whole"), F.col("span_a")).when(F.col("high") > circle, circle).otherwise(F.col("high"))
-    second = F.when(under, F.col("low") + circle).otherwise(0.0), F.when(over, F.col("high") - circle).when(under, circle).otherwise(0.0)
-    rows = computed(rows, *held, over.alias("over"), under.alias("under"), "bottom", "top", *[clamp(c, "span_a").alias(n) for n, c in zip(("a0", "a1", "b0", "b1"), (*first, *second), strict=True)])
-    fine = lambda c, span, steps, up: (F.ceil if up else F.floor)(F.col(c) / F.col(span) * steps).cast("int")
-    rows = computed(rows, *held, "over", "under", fine("bottom", "span_e", steps_elevation, False).alias("e0"), fine("top", "span_e", steps_elevation, True).alias("e1"), *[fine(c, "span_a", steps_azimuth, c[1] == "1").alias(f"f{c}") for c in ("a0", "a1", "b0", "b1")], *[fine(c, "span_a", bins_azimuth, c[1] == "1").alias(c) for c in ("a0", "a1", "b0", "b1")])
-    at = lambda row, col: F.element_at("counts", F.col(row) * (steps_azimuth + 1) + F.col(col) + 1)
-    inside = lambda p: (at("e1", f"f{p}1") - at("e0", f"f{p}1") - at("e1", f"f{p}0") + at("e0", f"f{p}0") > 0) | ((F.col(f"f{p}0") <= 0) & (F.col(f"f{p}1") >= steps_azimuth))
-    below = lambda step: F.element_at("row_of", step + 1)
-    last = F.when(F.col("e1") >= 1, F.least(below(F.greatest(F.col("e1") - 1, F.lit(0))) + 1, F.lit(bins_elevation))).otherwise(below(F.col("e1")))
-    rows = computed(rows, *keep, "span_a", "over", "under", inside("a").alias("in_a"), inside("b").alias("in_b"), below(F.col("e0")).alias("r0"), last.alias("r1"), "a0", "a1", "b0", "b1").where("in_a or in_b")
-    rows = computed(rows, *keep, "span_a", "over", "under", "in_a", "in_b", "r0", "r1", *[F.when(F.col(f"in_{c[0]}"), F.col(c)).otherwise(0).alias(c) for c in ("a0", "a1", "b0", "b1")])
-    # A full circle: one range that may start below 0 or end beyond the last column, at most once around.
-    start = F.when(F.col("in_b") & F.col("under"), F.col("b0") - bins_azimuth).otherwise(F.col("a0"))
-    end = F.when(F.col("in_b") & F.col("over"), F.col("b1") + bins_azimuth).otherwise(F.col("a1"))
-    start = F.greatest(start, end - bins_azimuth)
-    end = F.least(end, start + bins_azimuth)
-    meet = F.col("in_a") & F.col("in_b") & (F.col("b0") < F.col("a1")) & (F.col("a0") < F.col("b1"))
-    span = lambda a, b: F.when(b > a, F.sequence(a, b - 1)).otherwise(F.array().cast("array<int>"))
-    around = F.transform(span(start, end), lambda c: F.pmod(c, F.lit(bins_azimuth)))
-    apart = F.when(meet, span(F.lit(0), F.lit(bins_azimuth))).otherwise(F.concat(span(F.col("a0"), F.col("a1")), span(F.col("b0"), F.col("b1"))))
-    columns = F.when(F.col("span_a") >= circle, around).otherwise(apart)
-    rows = computed(rows, *keep, span(F.col("r0"), F.col("r1")).alias("rows"), columns.alias("columns"))
-    return rows.select(*keep, "columns", F.explode("rows").alias("tile_row")).select("sensor_id", "tile_row", F.explode("columns").alias("tile_col"), "gaussian_id")
+    span, low, far = F.col("span_a"), F.col("azimuth") - F.col("extent_a"), F.col("azimuth") + F.col("extent_a")
+    step = lambda c: F.greatest(F.lit(0.0), F.least(F.col("span_e"), c)) / F.col("span_e") * steps_elevation
+    e0, e1 = F.floor(step(F.col("elevation") - F.col("extent_e"))), F.ceil(step(F.col("elevation") + F.col("extent_e")))
+    rows = computed(rows, *keep, "span_a", "row_of", "counts", e0.cast("int").alias("e0"), e1.cast("int").alias("e1"), low.alias("low"), F.least(far, low + circle).alias("high"), ((low <= 0) & (far >= span)).alias("covers"))
+    part = lambda turn, a, b: F.struct(F.lit(turn).alias("turn"), (a / span).alias("a"), (b / span).alias("b"))
+    moved = [part(turn, F.greatest(F.lit(0.0), F.col("low") + turn * circle), F.least(span, F.col("high") + turn * circle)) for turn in (0, 1, -1)]
+    parts = F.when(F.col("covers"), F.array(part(0, F.lit(0.0), span))).otherwise(F.filter(F.array(*moved), lambda p: p["b"] > p["a"]))
+    cells = lambda p, n: (F.floor(p["a"] * n).cast("int"), F.ceil(p["b"] * n).cast("int"))
+    before = lambda row, col: F.element_at("counts", F.col(row) * (steps_azimuth + 1) + col + 1)
+
+    def counts(p: Column) -> Column:
+        first, end = cells(p, steps_azimuth)
+        rays = (before("e1", end) - before("e1", first)) - (before("e0", end) - before("e0", first))
+        return (end - first >= steps_azimuth) | (rays > 0)
+
+    rows = rows.where("e1 >= 1").withColumn("parts", F.filter(parts, counts)).where(F.size("parts") > 0)
+    tile_row = lambda e: F.element_at("row_of", e + 1)
+    bins = F.flatten(F.transform("parts", lambda p: F.sequence(cells(p, bins_azimuth)[0], cells(p, bins_azimuth)[1] - 1)))
+    rows = computed(rows, *keep, "span_a", F.transform("parts", lambda p: p["turn"]).alias("turns"), bins.alias("bins"), tile_row(F.col("e0")).alias("r0"), tile_row(F.col("e1") - 1).alias("r1")).where("r0 <= r1")
+    back_only = F.array_contains("turns", -1) & ~F.array_contains("turns", 0)
+    widened = F.when(F.col("span_a") >= circle, back_only).otherwise(F.size(F.array_distinct("bins")) < F.size("bins"))
+    columns = F.when(widened, F.sequence(F.lit(0), F.lit(bins_azimuth - 1))).otherwise(F.array_distinct("bins"))
+    rows = computed(rows, *keep, "r0", "r1", columns.alias("columns"))
+    return rows.select(*keep, "columns", F.explode(F.sequence("r0", "r1")).alias("tile_row")).select("sensor_id", "tile_row", F.explode("columns").alias("tile_col"), "gaussian_id")
