@@ -4,7 +4,7 @@ Compositing is an ordered monoid: a run of pairs is known by the transmittance t
 sums, and two runs combine to (T1 T2, S1 + T1 S2).  Primitives are numbered by depth once for each camera, by a
 range sort, and SIZE of them share a segment.  So a group of (pixel, segment) has at most SIZE pairs, however many
 pairs a pixel has; a pixel's second level has one row for each of its segments.  Only the segment in which a pixel
-saturates is looked at pair by pair again, from the same shuffle.  The state after a range of segments holds
+saturates is looked at pair by pair again.  The state after a range of segments holds
 what a later range needs to go on: tiles that are saturated everywhere are then dropped before their pixels are made.
 """
 
@@ -72,10 +72,13 @@ def _placed(parts: DataFrame, state: DataFrame) -> DataFrame:
     return rows.where(F.col("start") > _LEAST).drop("_left")
 
 
+def _tile(tile: int) -> list[Column]:
+    return [F.floor(F.col(c) / tile).cast("int").alias(f"tile_{c}") for c in "xy"]
+
+
 def _closed(state: DataFrame, tile: int) -> DataFrame:
     """The tiles whose pixels are all done."""
-    cell = [F.floor(F.col(c) / tile).cast("int").alias(f"tile_{c}") for c in "xy"]
-    return state.groupBy("camera_id", *cell).agg(F.min("done").alias("all")).where("all").drop("all")
+    return state.groupBy("camera_id", *_tile(tile)).agg(F.min("done").alias("all")).where("all").drop("all")
 
 
 def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spread = by_box, tile: int = 16, fresh: bool = False) -> DataFrame:
@@ -84,17 +87,20 @@ def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spre
     A pixel is done at the first pair that would take its transmittance to 1e-4 or less; neither that pair nor any
     behind it adds to it, in later ranges either.  ``fresh`` says that no pixel is done yet.
     """
-    local = _local(spread(rows, None if fresh else _closed(state, tile)), channels)
-    placed = _placed(_sums(local, [*PIXEL, "segment"], channels, F.lit(0.0)), state)
+    parts = _sums(_local(spread(rows, None if fresh else _closed(state, tile)), channels), [*PIXEL, "segment"], channels, F.lit(0.0))
+    placed = written(_placed(parts, state), "placed")
     through = F.col("start") + F.col("upto")
     scale = F.exp("start")
-    whole = placed.where(through > _LEAST).select(*PIXEL, "n", "upto", *[(scale * F.col(c)).alias(c) for c in ("alpha", *channels)], F.lit(False).alias("done"))
+    added = placed.where(through > _LEAST).select(*PIXEL, "n", "upto", *[(scale * F.col(c)).alias(c) for c in ("alpha", *channels)], F.lit(False).alias("done"))
     broken = placed.where(through <= _LEAST).select(*PIXEL, "segment", "start")
-    cut = local.join(broken, [*PIXEL, "segment"]).where(F.col("start") + F.col("upto") > _LEAST)
-    cut = _sums(cut, PIXEL, channels, F.col("start")).withColumn("done", F.lit(True))
+    if not broken.isEmpty():
+        # Pixels that saturate need one of their segments pair by pair: only its rows, in tiles with such pixels.
+        some = rows.join(broken.select("camera_id", "segment").distinct(), ["camera_id", "segment"], "left_semi")
+        unbroken = state.select("camera_id", *_tile(tile)).distinct().join(broken.select("camera_id", *_tile(tile)).distinct(), ["camera_id", "tile_x", "tile_y"], "left_anti")
+        cut = _local(spread(some, unbroken), channels).join(broken, [*PIXEL, "segment"]).where(through > _LEAST)
+        added = added.unionByName(_sums(cut, PIXEL, channels, F.col("start")).withColumn("done", F.lit(True)))
     ends = broken.select(*PIXEL, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("upto", "alpha", *channels)], F.lit(True).alias("done"))
-    added = whole.unionByName(cut).unionByName(ends).groupBy(*PIXEL)
-    added = added.agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "alpha", *channels)], F.sum("upto").alias("_left"), F.max("done").alias("_done"))
+    added = added.unionByName(ends).groupBy(*PIXEL).agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "alpha", *channels)], F.sum("upto").alias("_left"), F.max("done").alias("_done"))
     more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
     joined = state.join(added, PIXEL, "left")
     return joined.select(*PIXEL, more("n"), *[more(c) for c in ("alpha", *channels, "left")], (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"))
