@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from splatloom.operators import composite, images, mutate, spatial, tracks
 from splatloom.operators.project import project
-from splatloom.plans import geometry, lidars, measures, mutations, poses, rays, rendering, scene, segments, sensors
+from splatloom.plans import backward, geometry, lidars, measures, mutations, poses, rays, rendering, scene, segments, sensors
 from splatloom.sources import views as V
 
 SF = "/root/testdata/sf0.001"
-TOPICS = (rendering, segments, rays, lidars, geometry, poses, mutations, scene, measures, sensors)
+TOPICS = (rendering, segments, backward, rays, lidars, geometry, poses, mutations, scene, measures, sensors)
 QUERIES = {n: f for t in TOPICS for n, f in t.QUERIES.items()}
 SQL = {n: s for t in TOPICS for n, s in t.SQL.items()}
 
