@@ -5,22 +5,27 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below ``spark.checkpoint.dir`` and read it again.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share, ``spark.checkpoint.dir``.
 
     Where that is unset, a temporary folder does for a local session; on a cluster it is an error,
     since executors would write to disks of their own.
     """
-    spark = df.sparkSession
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("splatloom.scene.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="splatloom-")
         spark.conf.set("splatloom.scene.dir", folder)
-    path, schema = f"{folder}/{name}-{uuid.uuid4().hex}", df.schema
+    return folder
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again."""
+    spark = df.sparkSession
+    path, schema = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
