@@ -12,10 +12,11 @@ is the one with the shortest code.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import small_batches, written
@@ -26,8 +27,8 @@ ORDER = 3
 SAMPLE_DOCS, SAMPLE_BYTES = 2_000, 8 << 20
 #: Bytes of text looked at together, and code lengths that a worker keeps for later texts.
 SLICE, KEPT = 1 << 20, 1 << 22
-#: Languages that a model may have: each has a tree that every worker holds.
-MOST_LANGUAGES = 1_000
+#: Languages, and rows of their trees, that are scored together (or one language); a model may have any number of such blocks.
+BLOCK_LANGUAGES, BLOCK_GRAMS = 64, 4 << 20
 _SHARES = 1 << 20
 
 
@@ -139,54 +140,90 @@ class PPM:
         return out
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> PPM | None:
+@dataclass
+class Model:
+    """A written table of (block, lang, gram, n) and the number of its blocks; only one block's trees are held at a time."""
+
+    table: DataFrame
+    blocks: int
+
+    def block(self, k: int) -> PPM:
+        rows = self.table.where(F.col("block") == k).select("lang", "gram", "n").toArrow()
+        langs, lang = np.unique(np.array(rows.column("lang").to_pylist()), return_inverse=True)
+        gram, n = rows.column("gram").to_numpy(), rows.column("n").to_numpy().astype(float)
+        return PPM(langs, [Tree(gram[lang == k], n[lang == k]) for k in range(len(langs))])
+
+
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model | None:
     """Learn from texts of each language, drawn by a hash of the id; None without any.
 
-    A language's sample has ``sample_docs`` texts and ``sample_bytes`` bytes in the mean at most; the
-    model has one tree for each language, whose size that sample bounds; more than ``MOST_LANGUAGES``
-    are an error.
+    A language's sample has ``sample_docs`` texts and ``sample_bytes`` bytes in the mean at most, which bounds
+    its tree.  Languages, in order of their name, fall into blocks of BLOCK_LANGUAGES and BLOCK_GRAMS rows at most (or one
+    language), so there may be any number of them.
     """
     small_batches(docs.sparkSession)
     learned = docs.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).where("lang is not null and id is not null and text <> ''")
     sizes = learned.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
     sizes = written(sizes, "languages")
-    if sizes.count() > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} values of {lang_col!r}")
     share = F.least(sample_docs / F.col("n"), sample_bytes / F.col("bytes")) * _SHARES
-    sample = learned.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.ceil(share))
-    table = sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    if not table.num_rows:
+    # A few bytes for each language; beyond a few million of them, Spark joins them in another way.
+    sizes = F.broadcast(sizes) if sizes.count() <= 1 << 20 else sizes
+    sample = learned.join(sizes, "lang").where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(_SHARES)) < F.ceil(share))
+    table = written(sample.select("lang", "text").mapInArrow(_counted, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    # One row for each language.
+    order = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.greatest(F.floor(F.count("*").over(order) / BLOCK_LANGUAGES), F.floor(F.coalesce(F.sum("rows").over(order), F.lit(0)) / BLOCK_GRAMS))
+    langs = table.groupBy("lang").agg(F.count("*").alias("rows")).select("lang", place.alias("block"))
+    blocks = written(langs.withColumn("block", F.dense_rank().over(Window.orderBy("block")) - 1), "blocks")
+    n = blocks.agg(F.max("block")).first()[0]
+    if n is None:
         return None
-    langs, lang = np.unique(np.array(table.column("lang").to_pylist()), return_inverse=True)
-    gram, n = table.column("gram").to_numpy(), table.column("n").to_numpy().astype(float)
-    return PPM(langs, [Tree(gram[lang == k], n[lang == k]) for k in range(len(langs))])
+    return Model(table.join(blocks, "lang"), n + 1)
+
 
+def _scored(shared):
+    """The best language of a block for each text, its bits, and the sum of all its languages' chances against it."""
 
-def _predicted(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bits = model.code_lengths(*buffers(batch.column(1)))
-            best = bits.argmin(axis=1)
-            score = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(model.langs[best].tolist(), pa.string()), pa.array(score)], ["id", "letter", "lang_pred", "score"])
+            bits = model.code_lengths(*buffers(batch.column(batch.num_columns - 1)))
+            best, least = bits.argmin(axis=1), bits.min(axis=1)
+            mass = np.exp2(least[:, None] - bits).sum(axis=1)
+            columns = [pa.array(model.langs[best].tolist(), pa.string()), pa.array(least), pa.array(mass)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], [*batch.schema.names[:-1], "lang_pred", "bits", "mass"])
 
     return run
 
 
-def identify(docs: DataFrame, model: PPM | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs``; the score is the posterior of equal priors.
 
     A text that is null or has no letter is ``und`` with score 0, as is every text without a model.
-    Equal code lengths go to the first language by name.  Long texts are read slice by slice.
+    Equal code lengths go to the first language by name.  Long texts are read slice by slice.  With several blocks of
+    languages the texts are written once and read once for each block; a row's best blocks then meet in one sum.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), letter.alias("letter"))
+    base = docs.select(F.col(id_col).alias("id"), letter.alias("letter"), F.col(text_col).alias("text"))
     if model is None:
         return base.select(F.col("id").alias("doc_id"), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    kind = base.schema["id"].dataType.simpleString()
-    out = base.mapInArrow(_predicted(docs.sparkSession.sparkContext.broadcast(model)), f"id {kind}, letter boolean, lang_pred string, score double")
-    return out.select(F.col("id").alias("doc_id"), F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), F.col("score")).otherwise(0.0).alias("score"))
+    if model.blocks > 1:
+        base = written(base.select(F.monotonically_increasing_id().alias("row"), "*"), "texts")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in base.schema.fields[:-1])
+    parts = []
+    for k in range(model.blocks):
+        part = base.mapInArrow(_scored(spark.sparkContext.broadcast(model.block(k))), f"{kinds}, lang_pred string, bits double, mass double")
+        parts.append(written(part, "scores") if model.blocks > 1 else part)
+    out = parts[0]
+    if model.blocks > 1:
+        for part in parts[1:]:
+            out = out.unionByName(part)
+        best = F.min(F.struct("bits", "lang_pred"))
+        found = out.groupBy("row").agg(F.first("id").alias("id"), F.first("letter").alias("letter"), best.alias("b"), F.collect_list(F.struct("bits", "mass")).alias("all"))
+        mass = F.aggregate("all", F.lit(0.0), lambda m, x: m + x["mass"] * F.pow(F.lit(2.0), F.col("b.bits") - x["bits"]))
+        out = found.select("id", "letter", F.col("b.lang_pred").alias("lang_pred"), mass.alias("mass"))
+    return out.select(F.col("id").alias("doc_id"), F.when(F.col("letter"), F.col("lang_pred")).otherwise("und").alias("lang_pred"), F.when(F.col("letter"), 1 / F.col("mass")).otherwise(0.0).alias("score"))
