@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splatloom.operators import composite as C
 from splatloom.operators.project import project
 from splatloom.operators.render import rasterize
+from splatloom.operators.segments import composite as two_level
 from splatloom.operators.surfels import composite_surfels, project_surfels
 from splatloom.sources import views as V
 
@@ -79,18 +80,18 @@ def sparse_tile_layout(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def composite_rgb(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"])
+    out = two_level(_seen(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"])
     return out.select(*C.PIXEL, "n", *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def composite_background(spark: SparkSession, folder: str) -> DataFrame:
-    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
+    out = two_level(_seen(spark, folder), C.pixels(V.cameras(spark, folder)), ["c0", "c1", "c2"], BACK)
     return out.select(*C.PIXEL, *[r4(c).alias(c) for c in ("alpha", "c0", "c1", "c2")])
 
 
 def composite_depth(spark: SparkSession, folder: str) -> DataFrame:
     """Accumulated and expected depth."""
-    out = C.composite(weighted_pairs(spark, folder), C.pixels(V.cameras(spark, folder)), ["depth"])
+    out = two_level(_seen(spark, folder), C.pixels(V.cameras(spark, folder)), ["depth"])
     return out.select(*C.PIXEL, r4("depth").alias("depth"), r4(F.col("depth") / F.greatest("alpha", F.lit(1e-10))).alias("expected_depth"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from splatloom.operators import mutate, ranks, spatial, tracks
+from splatloom.operators.quantiles import exact_quantiles
 from splatloom.operators.project import project
 from splatloom.sources import views as V
 
@@ -92,7 +93,11 @@ def crop_by_opacity(spark: SparkSession, folder: str) -> DataFrame:
 def opacity_quantiles(spark: SparkSession, folder: str) -> DataFrame:
     """Median, quartiles and means of each component's opacity, and rows that are not finite."""
     rows = V.gaussians(spark, folder)
-    return rows.groupBy("component_id").agg(F.count("*").alias("n"), *[r4(F.percentile("opacity", q)).alias(f"q{int(100 * q)}") for q in (0.25, 0.5, 0.75)], r4(F.avg("opacity")).alias("mean"), F.sum(F.isnan("mx").cast("long")).alias("not_finite"))
+    out = rows.groupBy("component_id").agg(F.count("*").alias("n"), r4(F.avg("opacity")).alias("mean"), F.sum(F.isnan("mx").cast("long")).alias("not_finite"))
+    for q in (0.25, 0.5, 0.75):
+        found = exact_quantiles(rows, ["component_id"], ["opacity"], q)
+        out = out.join(found.select("component_id", r4("opacity").alias(f"q{int(100 * q)}")), "component_id", "left")
+    return out
 
 
 def _angles(spark: SparkSession, folder: str) -> DataFrame:
