@@ -200,8 +200,7 @@ def top_contributors(weighted: DataFrame, k: int) -> DataFrame:
 
 
 def active_tiles(requests: DataFrame, tile: int = 16) -> DataFrame:
-    """(camera_id, tile_y, tile_x, n, words, start): tiles with requested pixels, a bit for each of
-    their pixels in words of 64, and the number of requested pixels in tiles before."""
+    """(camera_id, tile_y, tile_x, n, words): tiles with requested pixels, their number, and a bit for each in words of 64."""
     cell = requests.select("camera_id", F.floor(F.col("y") / tile).cast("int").alias("tile_y"), F.floor(F.col("x") / tile).cast("int").alias("tile_x"), (F.pmod("y", F.lit(tile)) * tile + F.pmod("x", F.lit(tile))).cast("int").alias("bit"))
     word = cell.groupBy("camera_id", "tile_y", "tile_x", F.expr("bit div 64").cast("int").alias("w")).agg(F.count("*").alias("n"), F.expr("bit_or(shiftleft(1L, bit % 64))").alias("bits"))
     tile_rows = word.groupBy("camera_id", "tile_y", "tile_x").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("w", "bits"))).alias("l"))
