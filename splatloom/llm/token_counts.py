@@ -66,8 +66,9 @@ class Ledger:
     their tokenizer version, and with those of earlier changes of its batch; of a document that
     isn't held, a delete changes nothing and a revision inserts.  Inserting a document again adds it
     again; without doc_id, revisions insert and deletes change nothing.  Null texts count 0 tokens;
-    null sources and languages are groups of their own; changes without op are ignored.  One batch
-    is committed at a time.
+    null sources and languages are groups of their own; changes without op are ignored.  Ids of any
+    type are told apart by their text.  Texts may be of any length; Arrow batches are bounded in
+    bytes.  One batch is committed at a time.
     """
 
     def __init__(self, spark: SparkSession, folder: str, tokenizer: str = TOKENIZER, version: str = VERSION):
@@ -91,8 +92,8 @@ class Ledger:
         return self.spark.read.schema(f"{columns}, batch string").parquet(f"{self.folder}/{part}").where(F.col("batch").isin(batches))
 
     def rows(self) -> DataFrame | None:
-        """All signed rows of committed batches; None before the first."""
-        return self._read("batches", "doc_id long, source string, lang string, version string, sign long, n_tokens long, n_chars long")
+        """All signed rows of committed batches; None before the first.  Ids are text."""
+        return self._read("batches", "doc_id string, source string, lang string, version string, sign long, n_tokens long, n_chars long")
 
     def rollup(self) -> DataFrame | None:
         """What each committed batch adds to the totals: one row for a group that it touches; None before the first."""
@@ -109,9 +110,9 @@ class Ledger:
         seq = F.coalesce(F.col("seq").cast("long"), F.lit(_FIRST)) if "seq" in changes.columns else F.lit(_FIRST)
         rank = F.expr("case op when 'insert' then 0 when 'revise' then 1 when 'delete' then 2 end")
         text = F.when(F.col("op") != "delete", F.col("text"))
-        changes = changes.select(F.col("doc_id").cast("long").alias("doc_id"), seq.alias("seq"), rank.alias("rank"), F.xxhash64("text").alias("hash"), "source", "lang", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), text.alias("text"))
+        changes = changes.select(F.col("doc_id").cast("string").alias("doc_id"), seq.alias("seq"), rank.alias("rank"), F.xxhash64("text").alias("hash"), "source", "lang", F.coalesce(F.length(text), F.lit(0)).cast("long").alias("n_chars"), text.alias("text"))
         changes = changes.where("rank < 2 or rank = 2 and doc_id is not null")
-        changes = written(changes.mapInArrow(_counter(self.tokenizer, 7), "doc_id long, seq long, rank int, hash long, source string, lang string, n_chars long, n_tokens long"), "changes")
+        changes = written(changes.mapInArrow(_counter(self.tokenizer, 7), "doc_id string, seq long, rank int, hash long, source string, lang string, n_chars long, n_tokens long"), "changes")
         # The last change of a document that clears it, and the inserts after that.
         last = changes.where("rank > 0 and doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("seq", "rank", "hash", "source", "lang", "n_chars", "n_tokens")).alias("last"))
         added = changes.where("rank = 0 or doc_id is null").withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("hash", "source", "lang", "n_chars")).otherwise(F.lit(0)))
