@@ -53,12 +53,19 @@ def source_targets(sized: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(doc_id, size, source_size, target, taken) for every row of ``docs``.
 
-    A text's size is its number of words; null and empty texts have size 0 and are never taken.
-    Null is a source of its own, the last one.  Rows of one id in one source share a place in the
-    shuffle and are each taken for themselves; the same input always gives the same rows.
+    A text's size is its number of words, however long it is; null and empty texts have size 0 and
+    are never taken.  Null is a source of its own, the last one.  Rows of one id in one source share
+    a place in the shuffle and are each taken for themselves; the same input always gives the same
+    rows.  An empty table gives none.
     """
-    size = F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "sized")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
+    return _mix(rows).drop("row")
+
+
+def _mix(docs: DataFrame) -> DataFrame:
+    """``mix`` of (row, doc_id, source, text), with ``row``."""
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    sized = written(docs.select("row", "doc_id", "source", size.alias("size")), "sized")
     targets = written(source_targets(sized), "targets")
     rows, total = sized.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     budget = total * BUDGET_HALVES // 2
@@ -87,20 +94,22 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     taken = taken.union(edge.select("row", F.greatest(F.lit(0).cast("long"), F.least("size", left)).alias("taken")))
     taken = taken.groupBy("row").agg(F.sum("taken").alias("taken"))
     out = placed.join(taken, "row", "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
+    return out.select("row", "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0).cast("long")).alias("taken"))
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs`` that the mix takes, with ``mix``'s columns as ``mix_*`` (earlier ones of these names go).
+    """The rows of ``docs`` that the mix takes, with ``mix``'s columns as ``mix_*``.
 
-    Ids are expected to be unique: of rows with one id, one result stands for all.
+    Each row has its own result, whatever its id: rows are numbered and written once, and meet
+    their results by number.  A column of ``docs`` that is named ``mix_*`` already stays, and the
+    added one gets an underscore more.  Nulls, empty texts and empty tables are as in ``mix``.
     """
-    found = mix(docs, id_col, text_col, source_col).where("taken > 0").dropDuplicates(["doc_id"])
-    added = {f"mix_{c}": F.col(c) for c in ("size", "source_size", "target", "taken")}
-    key = free_name(docs, "__mixed")
-    found = found.select(F.col("doc_id").alias(key), *[c.alias(n) for n, c in added.items()])
-    docs = docs.drop(*added)
-    return docs.join(found, docs[id_col].eqNullSafe(found[key])).drop(key)
+    row = free_name(docs, "__row")
+    numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    found = _mix(numbered.select(F.col(row).alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")))
+    added = {free_name(docs, f"mix_{c}"): F.col(c) for c in ("size", "source_size", "target", "taken")}
+    found = found.where("taken > 0").select(F.col("row").alias(row), *[c.alias(n) for n, c in added.items()])
+    return numbered.join(found, row).drop(row)
 
 
 SQL = r"""

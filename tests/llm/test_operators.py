@@ -640,3 +640,19 @@ def test_words_and_hashes():
     h = text.word_hashes(raw, start, end)
     assert first.tolist() == [0, 3, 3, 3, 4, 6] and h[0] == h[2] == h[3] == h[5] and len(set(h.tolist())) == 3
     assert zlib.crc32(b"0") % 4 in range(4)
+
+
+def test_rows_of_one_id_are_mixed_for_themselves(spark):
+    rows = spark.createDataFrame([(1, "a b c d e f", "s", 7), (1, "word", "s", 8), (None, "x y", "s", 9), (None, "x y", "t", 10), (1, "", "s", 11)], "doc_id long, text string, source string, mix_size long")
+    got = mixing.mixed(rows).collect()
+    assert all(r["mix_size_"] == len(r["text"].split()) and 0 < r["mix_taken"] <= 2 * r["mix_size_"] and r["mix_size"] in (7, 8, 9, 10) for r in got)
+    assert len({r["mix_size"] for r in got}) == len(got)
+    assert sum(r["mix_taken"] for r in got) == 11 * 3 // 2
+
+
+def test_token_ledger_with_ids_that_are_no_numbers(spark, tmp_path):
+    schema = "op string, doc_id string, source string, lang string, text string"
+    ledger = token_counts.Ledger(spark, f"file://{tmp_path}/ledger")
+    assert ledger.commit("a", spark.createDataFrame([("insert", "a/1", "s", "l", "one two"), ("insert", "b", "s", "l", "three")], schema))
+    assert ledger.commit("b", spark.createDataFrame([("delete", "a/1", None, None, None), ("revise", "c", "s", "l", "four")], schema))
+    assert [(r["n_docs"], r["n_chars"]) for r in ledger.totals().collect()] == [(2, 9)]
