@@ -10,6 +10,7 @@ from splatloom.functions import rotation as R
 
 from . import composite as C
 from .project import computed, project
+from .unscented import project_unscented
 
 #: What each mode shows.  D is depth, d the distance to the camera; E divides by the alpha.
 MODES = ("RGB", "D", "ED", "d", "Ed", "RGB+D", "RGB+ED", "RGB-d", "RGB-Ed")
@@ -40,13 +41,15 @@ def rasterize(
     background: list[float] | None = None,
     requests: DataFrame | None = None,
     mask: DataFrame | None = None,
+    unscented: bool = False,
     **options,
 ) -> DataFrame:
     """(camera_id, x, y, n, alpha, channels..., depth) for every pixel, or for the requested ones.
 
     ``mode`` is one of ``MODES``.  With ``coefficients`` (a list of column names for each channel)
     colours are harmonics of ``degree`` in the direction of view; else the channels are columns of
-    the primitives.  The background is for the colours alone.  ``options`` go to ``project``.
+    the primitives.  The background is for the colours alone.  ``options`` go to ``project`` or, with
+    ``unscented``, to ``project_unscented``, which knows distorted, fisheye and F-Theta lenses.
     """
     if mode not in MODES:
         raise ValueError(f"unknown mode {mode!r}; known: {MODES}")
@@ -56,7 +59,7 @@ def rasterize(
     away = bool(coefficients and coloured) or deep.endswith("d")
     wanted = [k for own in coefficients for k in own] if coefficients and coloured else channels if coloured else []
     scene = gaussians.select("gaussian_id", "mx", "my", "mz", "qw", "qx", "qy", "qz", "sx", "sy", "sz", "opacity", *dict.fromkeys(wanted), *([F.col(m).alias(w) for m, w in zip(("mx", "my", "mz"), world, strict=True)] if away else []))
-    seen = project(scene, cameras, **options)
+    seen = (project_unscented if unscented else project)(scene, cameras, **options)
     if away:
         seen = seen.join(camera_centres(cameras).select("camera_id", "ox", "oy", "oz"), "camera_id")
         gap = tuple(F.col(w) - F.col(o) for w, o in zip(world, ("ox", "oy", "oz"), strict=True))

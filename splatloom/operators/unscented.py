@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,13 +23,32 @@ def weights(alpha: float, beta: float, kappa: float) -> tuple[float, float, floa
     return scaled**0.5, centre, centre + 1 - alpha * alpha + beta, 1 / (2 * scaled)
 
 
-def _image_point(p: R.Vector, model: str, distortion: dict[str, float] | None) -> tuple[Column, Column, Column]:
+#: Stands for the distance from the axis of a point on it.
+_ON_AXIS = 2.0**-52
+
+#: ``model`` and what ``distortion`` has: pinhole any of ``lenses.opencv_distortion``; fisheye ``radial`` (see
+#: ``lenses.odd_polynomial``) and ``most``, the angle up to which it sees; ftheta ``polynomial`` (pixels by angle),
+#: ``affine`` (c, d, e: x = c u + d v, y = e u + v) and ``most``; ortho nothing.
+MODELS = ("fisheye", "ftheta", "ortho", "pinhole")
+
+
+def _image_point(p: R.Vector, model: str, distortion: Mapping[str, float | Sequence[float]] | None) -> tuple[Column, Column, Column]:
     """(x, y, whether it can be seen) of a point in camera space."""
     fx, fy, cx, cy = R.columns("fx", "fy", "cx", "cy")
     if model == "ortho":
         return fx * p[0] + cx, fy * p[1] + cy, p[2] > 0
-    if model != "pinhole":
-        raise ValueError(f"unknown model {model!r}; known: ortho, pinhole")
+    if model not in MODELS:
+        raise ValueError(f"unknown model {model!r}; known: {', '.join(MODELS)}")
+    if model in ("fisheye", "ftheta"):
+        flat = F.greatest(F.sqrt(p[0] * p[0] + p[1] * p[1]), F.lit(_ON_AXIS))
+        angle, most = F.atan2(flat, p[2]), float(distortion["most"])
+        bent = F.least(angle, F.lit(most))  # points outside stand at the rim
+        if model == "fisheye":
+            share = lenses.odd_polynomial(bent, distortion["radial"]) / flat
+            return fx * share * p[0] + cx, fy * share * p[1] + cy, (p[2] > 0) & (share > 0) & (angle < most)
+        share, (c, d, e) = lenses.polynomial(bent, distortion["polynomial"]) / flat, distortion["affine"]
+        u, v = share * p[0], share * p[1]
+        return c * u + d * v + cx, e * u + v + cy, angle < most
     u, v = F.try_divide(p[0], p[2]), F.try_divide(p[1], p[2])
     if distortion:
         radial, du, dv = lenses.opencv_distortion(u, v, distortion)
@@ -40,7 +61,7 @@ def project_unscented(
     gaussians: DataFrame,
     cameras: DataFrame,
     model: str = "pinhole",
-    distortion: dict[str, float] | None = None,
+    distortion: Mapping[str, float | Sequence[float]] | None = None,
     near: float = 0.01,
     far: float = 1e10,
     blur: float = 0.3,
@@ -53,7 +74,7 @@ def project_unscented(
 ) -> DataFrame:
     """One row for each camera and primitive that shows in it, with the columns of ``project``.
 
-    Mean and covariance in the image are weighted sums over the primitive's centre and two points on
+    ``model`` is one of ``MODELS``; F-Theta lenses take no focal length from the cameras.  Mean and covariance in the image are weighted sums over the primitive's centre and two points on
     each of its axes.  A primitive shows if its centre lies within [near, far], if any of the points
     (``all_seen``: each) falls into the image widened by ``margin`` of its size, if the covariance is
     positive, and by the tests of ``project`` on opacity (times the compensation), radius and box.

@@ -75,13 +75,18 @@ _TURN = """rot as (select *, 1 - 2*(qy*qy + qz*qz) as m00, 2*(qx*qy - qw*qz) as
   2*(qy*qz - qw*qx) as m12, 2*(qx*qz - qw*qy) as m20, 2*(qy*qz + qw*qx) as m21, 1 - 2*(qx*qx + qy*qy) as m22 from gaussians)"""
 
 
-def _unscented(lens: bool) -> str:
-    """CTEs up to ``seen``; the cameras turn about y only and stand at the origin."""
+def _unscented(lens: bool, slopes: str = "", placed: str = "") -> str:
+    """CTEs up to ``seen``; the cameras turn about y only and stand at the origin.
+
+    ``slopes`` and ``placed`` are another lens in terms of {k}, the number of the point.
+    """
     arms = ", ".join(f"{_D(_SPREAD)}*(r00*m0{j} + r02*m2{j})*s{a} as b0{j}, {_D(_SPREAD)}*m1{j}*s{a} as b1{j}, {_D(_SPREAD)}*(r20*m0{j} + r22*m2{j})*s{a} as b2{j}" for j, a in enumerate("xyz"))
     signs = [("", 0), *((s, j) for s in "+-" for j in range(3))]
     points = ", ".join(f"p{i}{f' {s} b{i}{j}' if s else ''} as k{k}{i}" for k, (s, j) in enumerate(signs) for i in range(3))
-    slopes = ", ".join(f"k{k}0/k{k}2 as u{k}, k{k}1/k{k}2 as v{k}" for k in range(7))
-    if lens:
+    slopes = ", ".join(slopes.format(k=k) for k in range(7)) if slopes else ", ".join(f"k{k}0/k{k}2 as u{k}, k{k}1/k{k}2 as v{k}" for k in range(7))
+    if placed:
+        placed = ", ".join(placed.format(k=k) for k in range(7))
+    elif lens:
         placed = ", ".join(f"fx*({_RADIAL(f'u{k}', f'v{k}')}*u{k} + {_DU(f'u{k}', f'v{k}')}) + cx as x{k}, fy*({_RADIAL(f'u{k}', f'v{k}')}*v{k} + {_DV(f'u{k}', f'v{k}')}) + cy as y{k}, k{k}2 > 0 and {_RADIAL(f'u{k}', f'v{k}')} > 0.8::double as o{k}" for k in range(7))
     else:
         placed = ", ".join(f"case when k{k}2 > 0 then fx*u{k} + cx else 0 end as x{k}, case when k{k}2 > 0 then fy*v{k} + cy else 0 end as y{k}, k{k}2 > 0 as o{k}" for k in range(7))

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from splatloom.operators import composite, images, mutate, spatial, tracks
 from splatloom.operators.project import project
-from splatloom.plans import backward, boxes, codebooks, fields, fitting, geometry, lidars, measures, mutations, normalise, poses, rays, rendering, scene, segments, sensors, spinning, strategies
+from splatloom.plans import backward, boxes, codebooks, fields, fitting, geometry, lidars, measures, mutations, normalise, poses, rays, rendering, scene, segments, sensors, spinning, strategies, wide_lenses
 from splatloom.sources import views as V
 
 SF = "/root/testdata/sf0.001"
-TOPICS = (rendering, segments, backward, strategies, spinning, fitting, normalise, boxes, codebooks, fields, rays, lidars, geometry, poses, mutations, scene, measures, sensors)
+TOPICS = (rendering, segments, backward, strategies, spinning, fitting, normalise, boxes, codebooks, fields, rays, lidars, geometry, poses, mutations, scene, measures, sensors, wide_lenses)
 QUERIES = {n: f for t in TOPICS for n, f in t.QUERIES.items()}
 SQL = {n: s for t in TOPICS for n, s in t.SQL.items()}
 
