@@ -35,11 +35,14 @@ def upright(cameras: DataFrame, key: str = "scene_id", focus: bool = True, stric
     long = R.norm(R.columns("u0", "u1", "u2"))
     mean = mean.select(key, *[(F.col(f"u{i}") / long).alias(f"u{i}") for i in range(3)])
     # The turn of (u0, u1, u2) to (0, -1, 0): 1 + K + K K / (1 + c) with the cross product k and the cosine c.
+    # Next to -1 the sum 1 + c has no digits left; there it is k k / (1 - c).
     c, k = -F.col("u1"), (F.col("u2"), F.lit(0.0), -F.col("u0"))
     skew = [[F.lit(0.0), -k[2], k[1]], [k[2], F.lit(0.0), -k[0]], [-k[1], k[0], F.lit(0.0)]]
+    kk = F.col("u0") * F.col("u0") + F.col("u2") * F.col("u2")
+    share = F.when(c < 0, (1 - c) / kk).otherwise(1 / (1 + c))
     square = [[R.dot(tuple(skew[i]), tuple(skew[m][j] for m in range(3))) for j in range(3)] for i in range(3)]
     flipped = [[-1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, 1.0]]
-    turn = [[F.when(c > -1 + 1e-12, F.lit(float(i == j)) + skew[i][j] + square[i][j] / (1 + c)).otherwise(flipped[i][j]).alias(f"q{i}{j}") for j in range(3)] for i in range(3)]
+    turn = [[F.when((c > 0) | (kk > 0), F.lit(float(i == j)) + skew[i][j] + square[i][j] * share).otherwise(flipped[i][j]).alias(f"q{i}{j}") for j in range(3)] for i in range(3)]
     turns = mean.select(key, *[x for row in turn for x in row])
     rows = cameras.select(key, *[f"r{i}2" for i in range(3)], "t0", "t1", "t2").join(turns, key)
     q = [R.columns(f"q{i}0", f"q{i}1", f"q{i}2") for i in range(3)]

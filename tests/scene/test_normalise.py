@@ -57,3 +57,18 @@ def test_upright_scenes(spark, focus, strict):
         far = np.linalg.norm(at - np.median(near, axis=0), axis=1)
         assert np.isclose(x["scale"], 1 / (far.max() if strict else np.median(far)))
     assert N.upright(table.where(F.lit(False))).count() == 0
+
+
+def test_a_camera_turned_by_almost_half_a_turn_keeps_its_digits(spark):
+    import math
+
+    from splatloom.operators import normalise as N
+
+    for gap in (7.3e-6, 3e-7):
+        a = math.pi - gap
+        c, s = math.cos(a), math.sin(a)
+        row = {"scene_id": 1, "r00": c, "r01": -s, "r02": 0.0, "r10": s, "r11": c, "r12": 0.0, "r20": 0.0, "r21": 0.0, "r22": 1.0, "t0": 15.708, "t1": 6.854, "t2": 0.5}
+        got = N.upright(spark.createDataFrame([row])).first()
+        # The pose turns about z only, so the turn to -y is the inverse of its own.
+        for name, want in {"a00": 2 * c, "a01": 2 * s, "a10": -2 * s, "a11": 2 * c, "a03": -2 * (c * 15.708 + s * 6.854), "a13": -2 * (-s * 15.708 + c * 6.854)}.items():
+            assert abs(got[name] - want) < 1e-8, (gap, name, got[name], want)
