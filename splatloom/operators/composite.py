@@ -71,26 +71,37 @@ def tile_offsets(met: DataFrame, cameras: DataFrame, tile: int = 16) -> DataFram
     return dense.join(before.select("camera_id", "base"), "camera_id").select("camera_id", "tile_y", "tile_x", "n", (F.col("base") + F.coalesce(F.sum("n").over(own), F.lit(0))).alias("start"))
 
 
-def pairs(projected: DataFrame, requests: DataFrame | None = None, mask: DataFrame | None = None, tile: int = 16) -> DataFrame:
+def near_tiles(rows: DataFrame, limits: DataFrame | None) -> DataFrame:
+    """Rows with a tile and a ``stretch`` of depth, without those whose tile does not look as deep; see ``segments.limits``."""
+    return rows if limits is None else rows.join(limits, ["camera_id", "tile_x", "tile_y"]).where("stretch <= far")
+
+
+def near_pixels(rows: DataFrame, limits: DataFrame | None, tile: int = 16) -> DataFrame:
+    """Rows of ``near_tiles`` after their pixels are made, without those whose pixel does not look as deep."""
+    return rows if limits is None else rows.where(F.col("stretch") <= F.element_at("ends", (F.col("y") - F.col("tile_y") * tile) * tile + F.col("x") - F.col("tile_x") * tile + 1))
+
+
+def pairs(projected: DataFrame, requests: DataFrame | None = None, mask: DataFrame | None = None, tile: int = 16, limits: DataFrame | None = None) -> DataFrame:
     """A row for each pixel and primitive whose alpha there is at least 1/255.
 
     ``requests`` (camera_id, x, y) keeps only the pixels asked for; ``mask`` (camera_id, tile_x,
-    tile_y) drops all pixels of the tiles that it lists.
+    tile_y) drops all pixels of the tiles that it lists; ``limits`` says how deep each pixel looks.
     """
     dx, dy = F.col("mean2d_x") - (F.col("x") + 0.5), F.col("mean2d_y") - (F.col("y") + 0.5)
-    rows = _cells(projected, requests, mask, tile)
+    rows = _cells(projected, requests, mask, tile, limits)
     rows = rows.withColumn("power", 0.5 * (F.col("conic_a") * dx * dx + F.col("conic_c") * dy * dy) + F.col("conic_b") * dx * dy)
     rows = computed(rows, *rows.columns, F.least(F.lit(ALPHA_MOST), F.col("opacity") * F.exp(-F.col("power"))).alias("alpha"))
     return rows.where((F.col("power") >= 0) & (F.col("alpha") >= ALPHA_LEAST)).drop("power")
 
 
-def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | None, tile: int) -> DataFrame:
-    """A row for each primitive and pixel of its box; with requests or a mask, tiles are joined before pixels are made."""
-    if requests is None and mask is None:
+def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | None, tile: int, limits: DataFrame | None = None) -> DataFrame:
+    """A row for each primitive and pixel of its box; with requests, a mask or limits, tiles are joined before pixels are made."""
+    if requests is None and mask is None and limits is None:
         return _spread(projected, 1, F.col("width"), F.col("height"), "x", "y")
     rows = tiles(projected, tile)
     if mask is not None:
         rows = rows.join(mask.select("camera_id", "tile_x", "tile_y"), ["camera_id", "tile_x", "tile_y"], "left_anti")
+    rows = near_tiles(rows, limits)
     edge = lambda m, r, sign: F.floor(F.col(m) - F.col(r)) if sign < 0 else F.ceil(F.col(m) + F.col(r))
     if requests is not None:
         cell = lambda c: F.floor(F.col(c) / tile).cast("int")
@@ -98,12 +109,12 @@ def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | N
         rows = rows.join(asked, ["camera_id", "tile_x", "tile_y"])
         for at in "xy":
             rows = rows.where((F.col(at) >= edge(f"mean2d_{at}", f"radius_{at}", -1)) & (F.col(at) < edge(f"mean2d_{at}", f"radius_{at}", 1)))
-        return rows.select(*projected.columns, "x", "y")
+        return near_pixels(rows, limits, tile).select(*projected.columns, "x", "y")
     for at, size in (("y", "height"), ("x", "width")):
         low = F.greatest(edge(f"mean2d_{at}", f"radius_{at}", -1), F.col(f"tile_{at}") * tile)
         high = F.least(edge(f"mean2d_{at}", f"radius_{at}", 1), (F.col(f"tile_{at}") + 1) * tile, F.col(size)) - 1
         rows = rows.where(low <= high).withColumn(at, F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    return rows.select(*projected.columns, "x", "y")
+    return near_pixels(rows, limits, tile).select(*projected.columns, "x", "y")
 
 
 def contributions(rows: DataFrame) -> DataFrame:
@@ -173,7 +184,7 @@ def pixels(cameras: DataFrame) -> DataFrame:
 def composite(weighted: DataFrame, grid: DataFrame, channels: list[str], background: list[float] | None = None) -> DataFrame:
     """(camera_id, x, y, n, alpha, channels...) for every pixel of ``grid``, empty ones too."""
     sums = weighted.groupBy(*PIXEL).agg(F.count("*").alias("n"), F.sum("weight").alias("alpha"), *[F.sum(F.col("weight") * F.col(c)).alias(c) for c in channels])
-    out = grid.join(sums, PIXEL, "left")
+    out = grid.join(sums.hint("merge"), PIXEL, "left")  # as many rows as pixels: nothing to broadcast
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     back = background or [0.0] * len(channels)
     return out.select(*PIXEL, F.coalesce("n", F.lit(0)).cast("long").alias("n"), zero("alpha").alias("alpha"), *[(zero(c) + (1 - zero("alpha")) * b).alias(c) for c, b in zip(channels, back, strict=True)])

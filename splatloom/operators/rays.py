@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splatloom.functions import lenses
 from splatloom.functions import rotation as R
 
-from .composite import tiles
+from .composite import near_pixels, near_tiles, tiles
 from .project import ALPHA_LEAST, ALPHA_MOST, computed
 
 
@@ -45,14 +45,15 @@ def with_precision(gaussians: DataFrame) -> DataFrame:
     return gaussians.select("*", *[F.col(f"m{n}").alias(f"g{k}") for k, n in enumerate("xyz")], *[c.alias(f"gs{k}") for k, c in enumerate(scales)], *[F.try_divide(turn[j][i], scales[i]).alias(f"g{i}{j}") for i in range(3) for j in range(3)])
 
 
-def ray_pairs(projected: DataFrame, cameras: DataFrame, tile: int = 16, mask: DataFrame | None = None) -> DataFrame:
+def ray_pairs(projected: DataFrame, cameras: DataFrame, tile: int = 16, mask: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
     """A row for each pixel and primitive whose alpha along the pixel's ray is at least 1/255.
 
     ``projected`` are rows of ``with_precision`` after a projection.  The alpha is the opacity times
     the primitive's density where the ray comes nearest to its centre, 0 if that lies behind.
     ``hit`` is the distance to that point, nx..nz the primitive's third axis turned against the ray.
     All pixels of the tiles that a primitive's box meets are looked at; only pairs that count go on
-    to ``composite.contributions``.  ``mask`` (camera_id, tile_x, tile_y) lists tiles that are left out.
+    to ``composite.contributions``.  ``mask`` (camera_id, tile_x, tile_y) lists tiles that are left out; ``limits``
+    says how deep each pixel looks.
     """
     shape = [*(f"g{k}" for k in range(3)), *(f"gs{k}" for k in range(3)), *(f"g{i}{j}" for i in range(3) for j in range(3))]
     rest = [c for c in projected.columns if c not in shape]
@@ -68,10 +69,11 @@ def ray_pairs(projected: DataFrame, cameras: DataFrame, tile: int = 16, mask: Da
     facing = [R.dot(view[k], R.columns("nx", "ny", "nz")).alias(f"c{k}_") for k in range(3)]
     held = ["gs0", "gs1", "gs2", "o0", "o1", "o2", *(f"h{i}{k}" for i in range(3) for k in range(3)), "nx", "ny", "nz"]
     rows = tiles(computed(rows, *rest, *lens, *held, *facing), tile)
-    rows = rows if mask is None else rows.join(mask, ["camera_id", "tile_x", "tile_y"], "left_anti")
+    rows = near_tiles(rows if mask is None else rows.join(mask, ["camera_id", "tile_x", "tile_y"], "left_anti"), limits)
     for at, size in (("y", "height"), ("x", "width")):
         last = F.least((F.col(f"tile_{at}") + 1) * tile, F.col(size)) - 1
         rows = rows.withColumn(at, F.explode(F.sequence(F.col(f"tile_{at}") * tile, last)))
+    rows = near_pixels(rows, limits, tile)
     rest = [*rest, "x", "y"]
     ray = (F.col("x") + 0.5 - F.col("cx")) / F.col("fx"), (F.col("y") + 0.5 - F.col("cy")) / F.col("fy"), F.lit(1.0)
     against = F.when(R.dot(ray, R.columns("c0_", "c1_", "c2_")) > 0, -1.0).otherwise(1.0)

@@ -10,6 +10,7 @@ from splatloom.functions import rotation as R
 
 from . import composite as C
 from .project import computed, project
+from .segments import near_pairs
 from .unscented import project_unscented
 
 #: What each mode shows.  D is depth, d the distance to the camera; E divides by the alpha.
@@ -72,10 +73,10 @@ def rasterize(
     seen = seen.drop("ux", "uy", "uz")
     shown = channels if coloured else []
     measure = {"D": "depth", "ED": "depth", "d": "distance", "Ed": "distance"}.get(deep)
-    weighted = C.contributions(C.pairs(seen, requests, mask))
+    grid = requests.select(*C.PIXEL).distinct() if requests is not None else C.pixels(cameras)
+    weighted = C.contributions(near_pairs(seen, grid, mask=mask))
     if measure:
         weighted = weighted.withColumn("shown_depth", F.col(measure))
-    grid = requests.select(*C.PIXEL).distinct() if requests is not None else C.pixels(cameras)
     back = [*(background or [0.0] * len(shown)), 0.0] if measure else background
     out = C.composite(weighted, grid, [*shown, *(["shown_depth"] if measure else [])], back if shown else None)
     if not measure:

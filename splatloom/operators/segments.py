@@ -6,6 +6,10 @@ range sort, and SIZE of them share a segment.  So a group of (pixel, segment) ha
 pairs a pixel has; a pixel's second level has one row for each of its segments.  Only the segment in which a pixel
 saturates is looked at pair by pair again.  The state after a range of segments holds
 what a later range needs to go on: tiles that are saturated everywhere are then dropped before their pixels are made.
+
+Before any pair is shuffled, ``looks`` finds how deep each pixel has to look.  It goes through the depths of each camera
+in stretches, each GROWTH times as long as all before it, and sums the logarithms of each pixel's transmittance, which
+Spark adds up before its shuffle; where the sum says that a pixel is saturated, later stretches make no pair for it.
 """
 
 from __future__ import annotations
@@ -24,8 +28,12 @@ from .project import TRANSMITTANCE_LEAST
 #: Primitives of a camera in a segment; a power of two.
 SIZE = 256
 _LEAST = math.log(TRANSMITTANCE_LEAST)
-#: Makes pairs from rows with a ``segment``, without those in the masked tiles (camera_id, tile_x, tile_y).
-Spread = Callable[[DataFrame, DataFrame | None], DataFrame]
+#: Primitives of a camera in the first stretch of depth, and how the stretches grow.
+FIRST, GROWTH = 1024, 4
+#: The last stretch of a pixel that is never saturated.
+_OPEN = 99
+#: Makes pairs from rows with a ``segment``, without those in the masked tiles (camera_id, tile_x, tile_y) or beyond the limits.
+Spread = Callable[..., DataFrame]
 
 
 def segmented(projected: DataFrame, size: int = SIZE) -> DataFrame:
@@ -41,9 +49,63 @@ def segmented(projected: DataFrame, size: int = SIZE) -> DataFrame:
     return written(numbered.drop("_near"), "segments")
 
 
-def by_box(rows: DataFrame, mask: DataFrame | None) -> DataFrame:
+def by_box(rows: DataFrame, mask: DataFrame | None, limits: DataFrame | None = None) -> DataFrame:
     """The pairs of ``composite.pairs``."""
-    return pairs(rows, mask=mask)
+    return pairs(rows, mask=mask, limits=limits)
+
+
+def _made(spread: Spread, rows: DataFrame, mask: DataFrame | None, near: DataFrame | None) -> DataFrame:
+    return spread(rows, mask) if near is None else spread(rows, mask, near)
+
+
+def stretched(rows: DataFrame, size: int = SIZE, first: int = FIRST) -> tuple[DataFrame, int]:
+    """Segmented ``rows`` with ``stretch``, which grows with the segment from 0 on, and the largest one."""
+    place = F.row_number().over(Window.partitionBy("camera_id").orderBy("segment")) - 1
+    number = sum((place * size >= first * GROWTH**k).cast("int") for k in range(16))
+    numbers = rows.select("camera_id", "segment").distinct().select("camera_id", "segment", number.alias("number"))
+    starts = numbers.groupBy("camera_id", "number").agg(F.min("segment").alias("start")).groupBy("camera_id").agg(F.sort_array(F.collect_list("start")).alias("_starts"))
+    starts = written(starts, "stretches")
+    most = starts.agg(F.max(F.size("_starts"))).first()[0]
+    stretch = F.size(F.filter("_starts", lambda s: s <= F.col("segment"))) - 1
+    return rows.join(starts, "camera_id").withColumn("stretch", stretch).drop("_starts"), (most or 1) - 1
+
+
+def limits(grid: DataFrame, ends: DataFrame | None, tile: int) -> DataFrame:
+    """(camera_id, tile_x, tile_y, ends, far): the last stretch that each pixel of a tile needs, -1 outside the ``grid``, and the tile's last one.
+
+    ``ends`` (camera_id, x, y, last) has the pixels that are saturated.
+    """
+    rows = grid.select(*PIXEL).distinct()
+    rows = rows.withColumn("last", F.lit(_OPEN)) if ends is None else rows.join(ends.where("last is not null").select(*PIXEL, "last").hint("merge"), PIXEL, "left")
+    place = (F.pmod("y", F.lit(tile)) * tile + F.pmod("x", F.lit(tile))).cast("int")
+    key = ["camera_id", "tile_x", "tile_y"]
+    rows = rows.select("camera_id", *_tile(tile), place.alias("k"), F.coalesce("last", F.lit(_OPEN)).cast("tinyint").alias("v"))
+    # Every place of a tile has a row of -1, so that the sorted rows are the array.
+    every = rows.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(tile * tile - 1))).alias("k"), F.lit(-1).cast("tinyint").alias("v"))
+    whole = rows.unionByName(every).groupBy(*key, "k").agg(F.max("v").alias("v")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("e"), F.max("v").alias("far"))
+    return written(whole.select(*key, F.col("e.v").alias("ends"), "far"), "limits")
+
+
+def looks(rows: DataFrame, grid: DataFrame, size: int = SIZE, spread: Spread = by_box, mask: DataFrame | None = None, tile: int = 16, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
+    """Segmented ``rows`` with ``stretch``, and the ``limits`` of the pixels of ``grid``: no pair beyond them adds to its pixel.
+
+    A pixel's last stretch is the one that takes its transmittance below 1e-4, by a margin for the order of sums.
+    """
+    rows, most = stretched(rows, size, first)
+    ends, near = None, limits(grid, None, tile)
+    for k in range(most):
+        sums = spread(rows.where(F.col("stretch") == k), mask, near).groupBy(*PIXEL).agg(F.sum(F.log1p(-F.col("alpha"))).alias("left")).withColumn("last", F.lit(None).cast("int"))
+        both = (sums if ends is None else ends.unionByName(sums)).groupBy(*PIXEL).agg(F.sum("left").alias("left"), F.min("last").alias("last"))
+        ends = written(both.withColumn("last", F.coalesce("last", F.when(F.col("left") < _LEAST - 1e-6, k))), "ends")
+        near = limits(grid, ends, tile)
+    return rows, near
+
+
+def near_pairs(projected: DataFrame, grid: DataFrame, spread: Spread = by_box, mask: DataFrame | None = None, first: int = FIRST) -> DataFrame:
+    """The pairs on pixels of ``grid`` that ``composite.contributions`` may need: those behind a saturated pixel are not made."""
+    size = min(SIZE, first)
+    rows, near = looks(segmented(projected, size), grid, size, spread, mask, first=first)
+    return spread(rows, mask, near).drop("segment", "stretch")
 
 
 def blank(grid: DataFrame, channels: list[str]) -> DataFrame:
@@ -68,7 +130,7 @@ def _placed(parts: DataFrame, state: DataFrame) -> DataFrame:
     """Segments of pixels that are not done, with ``start``, the logarithm of the transmittance before them."""
     going = state.where("not done").select(*PIXEL, F.col("left").alias("_left"))
     before = Window.partitionBy(*PIXEL).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
-    rows = parts.join(going, PIXEL).withColumn("start", F.col("_left") + F.coalesce(F.sum("upto").over(before), F.lit(0.0)))
+    rows = parts.join(going.hint("merge"), PIXEL).withColumn("start", F.col("_left") + F.coalesce(F.sum("upto").over(before), F.lit(0.0)))
     return rows.where(F.col("start") > _LEAST).drop("_left")
 
 
@@ -81,13 +143,14 @@ def _closed(state: DataFrame, tile: int) -> DataFrame:
     return state.groupBy("camera_id", *_tile(tile)).agg(F.min("done").alias("all")).where("all").drop("all")
 
 
-def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spread = by_box, tile: int = 16, fresh: bool = False) -> DataFrame:
+def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spread = by_box, tile: int = 16, fresh: bool = False, near: DataFrame | None = None) -> DataFrame:
     """``state`` after the segments of ``rows``, which all stand behind those that it has seen.
 
     A pixel is done at the first pair that would take its transmittance to 1e-4 or less; neither that pair nor any
-    behind it adds to it, in later ranges either.  ``fresh`` says that no pixel is done yet.
+    behind it adds to it, in later ranges either.  ``fresh`` says that no pixel is done yet;
+    ``near`` are the limits of ``looks``.  As tables of pixels grow with the images, none is broadcast.
     """
-    parts = _sums(_local(spread(rows, None if fresh else _closed(state, tile)), channels), [*PIXEL, "segment"], channels, F.lit(0.0))
+    parts = _sums(_local(_made(spread, rows, None if fresh else _closed(state, tile), near), channels), [*PIXEL, "segment"], channels, F.lit(0.0))
     placed = written(_placed(parts, state), "placed")
     through = F.col("start") + F.col("upto")
     scale = F.exp("start")
@@ -97,12 +160,12 @@ def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spre
         # Pixels that saturate need one of their segments pair by pair: only its rows, in tiles with such pixels.
         some = rows.join(broken.select("camera_id", "segment").distinct(), ["camera_id", "segment"], "left_semi")
         unbroken = state.select("camera_id", *_tile(tile)).distinct().join(broken.select("camera_id", *_tile(tile)).distinct(), ["camera_id", "tile_x", "tile_y"], "left_anti")
-        cut = _local(spread(some, unbroken), channels).join(broken, [*PIXEL, "segment"]).where(through > _LEAST)
+        cut = _local(_made(spread, some, unbroken, near), channels).join(broken.hint("merge"), [*PIXEL, "segment"]).where(through > _LEAST)
         added = added.unionByName(_sums(cut, PIXEL, channels, F.col("start")).withColumn("done", F.lit(True)))
     ends = broken.select(*PIXEL, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("upto", "alpha", *channels)], F.lit(True).alias("done"))
     added = added.unionByName(ends).groupBy(*PIXEL).agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "alpha", *channels)], F.sum("upto").alias("_left"), F.max("done").alias("_done"))
     more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
-    joined = state.join(added, PIXEL, "left")
+    joined = state.join(added.hint("merge"), PIXEL, "left")
     return joined.select(*PIXEL, more("n"), *[more(c) for c in ("alpha", *channels, "left")], (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"))
 
 
@@ -112,24 +175,27 @@ def image(state: DataFrame, channels: list[str], background: list[float] | None
     return state.select(*PIXEL, "n", "alpha", *[(F.col(c) + (1 - F.col("alpha")) * b).alias(c) for c, b in zip(channels, back, strict=True)])
 
 
-def composite(projected: DataFrame, grid: DataFrame, channels: list[str], background: list[float] | None = None, size: int = SIZE, spread: Spread = by_box) -> DataFrame:
+def composite(projected: DataFrame, grid: DataFrame, channels: list[str], background: list[float] | None = None, size: int = SIZE, spread: Spread = by_box, first: int = FIRST) -> DataFrame:
     """``composite.composite`` of all contributions, by segments."""
-    state = advance(blank(grid, channels), segmented(projected, size), channels, spread, fresh=True)
+    rows, near = looks(segmented(projected, size), grid, size, spread, first=first)
+    state = advance(blank(grid, channels), rows, channels, spread, fresh=True, near=near)
     return image(state, channels, background)
 
 
-def composite_by_ranges(projected: DataFrame, grid: DataFrame, channels: list[str], ranges: int, size: int = SIZE, spread: Spread = by_box, tile: int = 16) -> DataFrame:
+def composite_by_ranges(projected: DataFrame, grid: DataFrame, channels: list[str], ranges: int, size: int = SIZE, spread: Spread = by_box, tile: int = 16, deep: bool = False) -> DataFrame:
     """The state after all segments, range by range from near to far, each written; tiles that are done are left out of later ranges.
 
-    A camera's range is an equal share of its segments.
+    A camera's range is an equal share of its segments.  ``deep`` asks ``looks`` first, with a spread that takes limits.
     """
-    rows = segmented(projected, size)
+    rows, near = segmented(projected, size), None
+    if deep:
+        rows, near = looks(rows, grid, size, spread, tile=tile)
     numbers = rows.select("camera_id", "segment").distinct()
     share = numbers.withColumn("range", F.ntile(ranges).over(Window.partitionBy("camera_id").orderBy("segment")))
     dealt = rows.join(share, ["camera_id", "segment"])
     state = blank(grid, channels)
     for k in range(1, ranges + 1):
-        state = written(advance(state, dealt.where(F.col("range") == k).drop("range"), channels, spread, tile, fresh=k == 1), "state")
+        state = written(advance(state, dealt.where(F.col("range") == k).drop("range"), channels, spread, tile, fresh=k == 1, near=near), "state")
     return state
 
 
@@ -146,10 +212,10 @@ def tile_places(rows: DataFrame, tile: int = 16) -> DataFrame:
     return met.withColumn("_own", own).join(counts.select(*key, "segment", base.alias("_base")), [*key, "segment"]).withColumn("place", F.col("_base") + F.col("_own") - 1).drop("_own", "_base")
 
 
-def pairs_in_range(state: DataFrame, rows: DataFrame, channels: list[str] = (), spread: Spread = by_box, tile: int = 16) -> DataFrame:
+def pairs_in_range(state: DataFrame, rows: DataFrame, channels: list[str] = (), spread: Spread = by_box, tile: int = 16, near: DataFrame | None = None) -> DataFrame:
     """(camera_id, x, y, gaussian_id, weight): the pairs of ``rows`` that add to pixels of ``state``, which has seen all before them."""
-    local = _local(spread(rows, _closed(state, tile)), list(channels))
+    local = _local(_made(spread, rows, _closed(state, tile), near), list(channels))
     placed = _placed(_sums(local, [*PIXEL, "segment"], [], F.lit(0.0)), state)
-    found = local.join(placed.select(*PIXEL, "segment", "start"), [*PIXEL, "segment"])
+    found = local.join(placed.select(*PIXEL, "segment", "start").hint("merge"), [*PIXEL, "segment"])
     after = F.col("start") + F.col("upto")
     return found.where(after > _LEAST).select(*PIXEL, "gaussian_id", (F.col("alpha") * F.exp(after) / (1 - F.col("alpha"))).alias("weight"), *channels)

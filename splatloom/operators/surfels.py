@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splatloom.functions import rotation as R
 
-from .composite import PIXEL, _spread, contributions
+from .composite import PIXEL, _spread, contributions, near_pixels, near_tiles
 from .project import ALPHA_LEAST, ALPHA_MOST, EXTENT, computed, spread_out
 
 #: Fixed value: the inverse square of the screen-space filter's width.
@@ -47,13 +47,14 @@ def project_surfels(gaussians: DataFrame, cameras: DataFrame, near: float = 0.01
     return rows.where((F.abs("d") > 0) & (x + rx > 0) & (x - rx < F.col("width")) & (y + ry > 0) & (y - ry < F.col("height"))).drop("d")
 
 
-def surfel_pairs(projected: DataFrame, mask: DataFrame | None = None) -> DataFrame:
-    """A row for each pixel of the tiles that a surfel's box meets, but not ``mask`` lists, whose alpha is at least 1/255."""
+def surfel_pairs(projected: DataFrame, mask: DataFrame | None = None, limits: DataFrame | None = None) -> DataFrame:
+    """A row for each pixel of the tiles that a surfel's box meets, but not ``mask`` lists, whose alpha is at least 1/255; ``limits`` says how deep each pixel looks."""
     across = lambda c: F.ceil(F.col(c) / TILE).cast("int")
     rows = _spread(projected, TILE, across("width"), across("height"), "tile_x", "tile_y")
-    rows = rows if mask is None else rows.join(mask, ["camera_id", "tile_x", "tile_y"], "left_anti")
+    rows = near_tiles(rows if mask is None else rows.join(mask, ["camera_id", "tile_x", "tile_y"], "left_anti"), limits)
     rows = rows.withColumn("y", F.explode(F.sequence(F.col("tile_y") * TILE, F.least(F.col("tile_y") * TILE + TILE, "height") - 1)))
-    rows = rows.withColumn("x", F.explode(F.sequence(F.col("tile_x") * TILE, F.least(F.col("tile_x") * TILE + TILE, "width") - 1))).drop("tile_x", "tile_y")
+    rows = rows.withColumn("x", F.explode(F.sequence(F.col("tile_x") * TILE, F.least(F.col("tile_x") * TILE + TILE, "width") - 1)))
+    rows = near_pixels(rows, limits, TILE).drop("tile_x", "tile_y", "far", "ends")
     px, py = F.col("x") + 0.5, F.col("y") + 0.5
     hu = [(px * F.col(f"c{i}") - F.col(f"a{i}")).alias(f"u{i}") for i in range(3)]
     hv = [(py * F.col(f"c{i}") - F.col(f"b{i}")).alias(f"v{i}") for i in range(3)]

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splatloom.functions import losses as L
 from splatloom.operators import images, ranks
 from splatloom.sources import views as V
+from splatloom.sources.tables import written
 
 from . import rendering
 from .common import r4
@@ -66,7 +67,7 @@ def image_metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def color_affine(spark: SparkSession, folder: str) -> DataFrame:
     """The first channel corrected to look like the second."""
-    return images.affine_correction(_image(spark, folder), "c0", "c1").select("camera_id", "x", "y", r4("corrected").alias("corrected"))
+    return images.affine_correction(written(_image(spark, folder), "image"), "c0", "c1").select("camera_id", "x", "y", r4("corrected").alias("corrected"))
 
 
 def ssim_masked(spark: SparkSession, folder: str) -> DataFrame:

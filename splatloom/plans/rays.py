@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from splatloom.functions import lenses
 from splatloom.operators import composite as C
-from splatloom.operators import rays, unscented
+from splatloom.operators import rays, segments, unscented
 from splatloom.sources import views as V
 
 from . import geometry, rendering
@@ -58,7 +58,8 @@ def composite_eval3d(spark: SparkSession, folder: str) -> DataFrame:
     cameras = V.cameras(spark, folder)
     seen = unscented.project_unscented(rays.with_precision(_scene(spark, folder)), cameras)
     channels = ["c0", "c1", "c2", "hit", "nx", "ny", "nz"]
-    image = C.composite(C.contributions(rays.ray_pairs(seen, cameras)), C.pixels(cameras), channels)
+    pairs = segments.near_pairs(seen, C.pixels(cameras), lambda rows, mask, limits: rays.ray_pairs(rows, cameras, mask=mask, limits=limits))
+    image = C.composite(C.contributions(pairs), C.pixels(cameras), channels)
     return image.select("camera_id", "x", "y", "n", *[r4(c).alias(c) for c in ("alpha", *channels)])
 
 

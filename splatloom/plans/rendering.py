@@ -9,6 +9,7 @@ from splatloom.operators import composite as C
 from splatloom.operators.project import project
 from splatloom.operators.render import rasterize
 from splatloom.operators.segments import composite as two_level
+from splatloom.operators.segments import near_pairs
 from splatloom.operators.surfels import composite_surfels, project_surfels
 from splatloom.sources import views as V
 
@@ -23,7 +24,8 @@ def _seen(spark: SparkSession, folder: str, **options) -> DataFrame:
 
 
 def weighted_pairs(spark: SparkSession, folder: str, requests: DataFrame | None = None, mask: DataFrame | None = None) -> DataFrame:
-    return C.contributions(C.pairs(_seen(spark, folder), requests, mask))
+    grid = C.pixels(V.cameras(spark, folder)) if requests is None else requests
+    return C.contributions(near_pairs(_seen(spark, folder), grid, mask=mask))
 
 
 def _mask(spark: SparkSession, folder: str) -> DataFrame:
@@ -193,7 +195,7 @@ def blend_backward_sparse(spark: SparkSession, folder: str) -> DataFrame:
 def screen_gradients(spark: SparkSession, folder: str) -> DataFrame:
     """What densification goes by: lengths of the slopes of 2-D means, counts and radii."""
     seen = _seen(spark, folder)
-    found = C.screen_gradients(C.shape_gradients(C.contributions(C.pairs(seen)), ["c0", "c1", "c2"]), seen, cameras=25)
+    found = C.screen_gradients(C.shape_gradients(weighted_pairs(spark, folder), ["c0", "c1", "c2"]), seen, cameras=25)
     return found.select("gaussian_id", r4("grad2d").alias("grad2d"), "n", r4("radius").alias("radius"))
 
 

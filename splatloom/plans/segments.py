@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from splatloom.operators import composite as C
 from splatloom.operators import rays, segments, surfels, unscented
 from splatloom.sources import views as V
+from splatloom.sources.tables import written
 
 from . import rays as ray_plans
 from . import rendering
@@ -28,25 +29,26 @@ def composite_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 def composite_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """The state after three ranges from near to far: also which pixels are saturated."""
-    state = segments.composite_by_ranges(rendering._seen(spark, folder), C.pixels(V.cameras(spark, folder)), COLOURS, 3, size=16)
+    state = segments.composite_by_ranges(rendering._seen(spark, folder), C.pixels(V.cameras(spark, folder)), COLOURS, 3, size=16, deep=True)
     return state.select(*C.PIXEL, "n", "done", *[r4(c).alias(c) for c in ("alpha", *COLOURS)])
 
 
 def composite_resumed(spark: SparkSession, folder: str) -> DataFrame:
     """What the far range adds to each pixel's state after the near one."""
-    rows = segments.segmented(rendering._seen(spark, folder), 32)
-    start = segments.blank(C.pixels(V.cameras(spark, folder)), ["c0"])
-    near = segments.advance(start, rows.where(F.col("depth") < NEAR), ["c0"], fresh=True)
-    far = segments.advance(near, rows.where(F.col("depth") >= NEAR), ["c0"])
-    both = near.join(far.select(*C.PIXEL, F.col("n").alias("all"), F.col("alpha").alias("whole"), F.col("c0").alias("full")), C.PIXEL)
+    grid = C.pixels(V.cameras(spark, folder))
+    rows, deep = segments.looks(segments.segmented(rendering._seen(spark, folder), 32), grid, 32)
+    near = written(segments.advance(segments.blank(grid, ["c0"]), rows.where(F.col("depth") < NEAR), ["c0"], fresh=True, near=deep), "state")
+    far = segments.advance(near, rows.where(F.col("depth") >= NEAR), ["c0"], near=deep)
+    both = near.join(far.select(*C.PIXEL, F.col("n").alias("all"), F.col("alpha").alias("whole"), F.col("c0").alias("full")).hint("merge"), C.PIXEL)
     return both.select(*C.PIXEL, "n", (F.col("all") - F.col("n")).alias("more"), r4(F.col("whole") - F.col("alpha")).alias("alpha"), r4(F.col("full") - F.col("c0")).alias("c0"))
 
 
 def pairs_in_range(spark: SparkSession, folder: str) -> DataFrame:
     """Of each camera and primitive of the far range: in how many pixels it still counts, and its weight there."""
-    rows = segments.segmented(rendering._seen(spark, folder), 32)
-    near = segments.advance(segments.blank(C.pixels(V.cameras(spark, folder)), []), rows.where(F.col("depth") < NEAR), [], fresh=True)
-    found = segments.pairs_in_range(near, rows.where(F.col("depth") >= NEAR))
+    grid = C.pixels(V.cameras(spark, folder))
+    rows, deep = segments.looks(segments.segmented(rendering._seen(spark, folder), 32), grid, 32)
+    near = written(segments.advance(segments.blank(grid, []), rows.where(F.col("depth") < NEAR), [], fresh=True, near=deep), "state")
+    found = segments.pairs_in_range(near, rows.where(F.col("depth") >= NEAR), near=deep)
     return found.groupBy("camera_id", "gaussian_id").agg(F.count("*").alias("n"), r4(F.sum("weight")).alias("weight"))
 
 
@@ -66,7 +68,7 @@ def composite_eval3d_segments(spark: SparkSession, folder: str) -> DataFrame:
     cameras = V.cameras(spark, folder)
     seen = unscented.project_unscented(rays.with_precision(ray_plans._scene(spark, folder)), cameras)
     channels = [*COLOURS, "hit", "nx", "ny", "nz"]
-    return _shown(segments.composite(seen, C.pixels(cameras), channels, size=64, spread=lambda rows, mask: rays.ray_pairs(rows, cameras, mask=mask)), *channels)
+    return _shown(segments.composite(seen, C.pixels(cameras), channels, size=64, spread=lambda rows, mask, limits: rays.ray_pairs(rows, cameras, mask=mask, limits=limits)), *channels)
 
 
 QUERIES = {f.__name__: f for f in (composite_segments, composite_ranges, composite_resumed, pairs_in_range, tile_places, composite_2dgs_segments, composite_eval3d_segments)}

@@ -10,6 +10,7 @@ from splatloom.operators import rays, segments, surfels, unscented
 from splatloom.operators.project import project
 from splatloom.plans import rendering
 from splatloom.sources import views as V
+from splatloom.sources.tables import written
 
 SF = "/root/testdata/sf0.001"
 CHANNELS = ["c0", "c1", "depth"]
@@ -93,3 +94,37 @@ def test_surfels_and_rays_by_segments(spark):
     spread = lambda rows, mask: rays.ray_pairs(rows, cameras, mask=mask)
     state = segments.composite_by_ranges(seen, grid, ["c0", "hit"][:1], 2, size=8, spread=spread)
     _same(_image(segments.image(state, ["c0"]), ["c0"]), _image(C.composite(C.contributions(rays.ray_pairs(seen, cameras)), grid, ["c0"]), ["c0"]))
+
+
+def _deep(spark, n=400):
+    """Two cameras and ``n`` primitives that saturate the middle of the image long before the last one."""
+    ids = spark.range(n).select(F.col("id").alias("gaussian_id"), ((F.col("id") * 37 % 101) / 101 - 0.5).alias("mx"), ((F.col("id") * 53 % 103) / 103 - 0.5).alias("my"), (3 + F.col("id") * 71 % n / n).alias("mz"))
+    one = F.lit(1.0)
+    scene = ids.select("*", one.alias("qw"), *[F.lit(0.0).alias(q) for q in ("qx", "qy", "qz")], *[F.lit(0.15).alias(f"s{a}") for a in "xyz"], F.lit(0.95).alias("opacity"), (F.col("gaussian_id") % 7 / 7).alias("c0"))
+    view = [F.lit(float(i == j)).alias(f"r{i}{j}") for i in range(3) for j in range(3)]
+    cameras = spark.range(2).select(F.col("id").cast("int").alias("camera_id"), *view, (F.col("id") * 0.2).alias("t0"), F.lit(0.0).alias("t1"), F.lit(0.0).alias("t2"), F.lit(60.0).alias("fx"), F.lit(60.0).alias("fy"), F.lit(20.0).alias("cx"), F.lit(20.0).alias("cy"), F.lit(40).alias("width"), F.lit(40).alias("height"))
+    return scene, cameras
+
+
+def test_pairs_behind_saturated_pixels_are_not_made(spark):
+    scene, cameras = _deep(spark)
+    seen, grid = written(project(scene, cameras), "seen"), C.pixels(cameras)
+    whole, near = C.pairs(seen), written(segments.near_pairs(seen, grid, first=16), "near")
+    assert near.count() < whole.count() / 2
+    key = [*C.PIXEL, "gaussian_id", "place"]
+    want = {tuple(r[c] for c in key): r["weight"] for r in C.contributions(whole).select(*key, "weight").collect()}
+    got = {tuple(r[c] for c in key): r["weight"] for r in C.contributions(near).select(*key, "weight").collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - w) < 1e-12 for k, w in want.items())
+    asked = grid.where("(x + y) % 5 = 0 and x < 20")
+    some = segments.near_pairs(seen, asked, first=16)
+    assert {tuple(r[c] for c in key) for r in C.contributions(some).select(*key).collect()} == {k for k in want if (k[1] + k[2]) % 5 == 0 and k[1] < 20}
+    _same(_image(segments.composite(seen, grid, ["c0"], size=16, first=16), ["c0"]), _image(C.composite(C.contributions(whole), grid, ["c0"]), ["c0"]))
+
+
+def test_no_table_of_pixels_is_broadcast(spark):
+    scene, cameras = _deep(spark, 60)
+    image = segments.composite(project(scene, cameras), C.pixels(cameras), ["c0"], size=16)
+    assert "BroadcastExchange HashedRelationBroadcastMode(List(input[0, int, true], input[1, int, false], input[2, int, false]" not in image._jdf.queryExecution().executedPlan().toString()
+    image.write.format("noop").mode("overwrite").save()
+    final = image._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
+    assert final.count("HashedRelationBroadcastMode(List(input[0, int, true], input[1, int, false], input[2, int, false]") == 0
