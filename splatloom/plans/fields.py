@@ -24,8 +24,10 @@ def plane_cells(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def field_points(spark: SparkSession, folder: str) -> DataFrame:
-    points = V.points(spark, folder)
-    return points.select("point_id", *[(F.col(a) - 2.5).alias(a) for a in "xyz"], (F.pmod("point_id", F.lit(1000)) / 500 - 1).alias("t")).dropDuplicates(["point_id"])
+    """Points at their time; of the lines with one point_id the first of the table."""
+    lines = V.table(spark, folder, "lineitem").select("*", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")).alias("place"))
+    points = V.points_of(lines, "place").groupBy("point_id").agg(F.min_by(F.struct("x", "y", "z"), "place").alias("first"))
+    return points.select("point_id", *[(F.col(f"first.{a}") - 2.5).alias(a) for a in "xyz"], (F.pmod("point_id", F.lit(1000)) / 500 - 1).alias("t"))
 
 
 def plane_field(spark: SparkSession, folder: str) -> DataFrame:

@@ -70,12 +70,16 @@ def pose_keys(spark: SparkSession, folder: str, kind: str = "view") -> DataFrame
 
 
 def points(spark: SparkSession, folder: str) -> DataFrame:
-    lines = table(spark, folder, "lineitem")
+    return points_of(table(spark, folder, "lineitem"))
+
+
+def points_of(lines: DataFrame, *keep: str) -> DataFrame:
     return lines.select(
         (F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("point_id"),
         (F.col("l_quantity").cast("double") / 10).alias("x"),
         (F.col("l_discount").cast("double") * 50).alias("y"),
         (F.col("l_extendedprice").cast("double") / 20000).alias("z"),
+        *keep,
     )
 
 
