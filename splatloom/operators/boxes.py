@@ -50,7 +50,7 @@ def first_posed_box(points: DataFrame, boxes: DataFrame, frame: str = "frame") -
         return rows.select(frame, "point_id", *_AXES, F.lit(None).cast(boxes.schema["box_id"].dataType).alias("box_id"), *[F.lit(None).cast("double").alias(f"l{n}") for n in _AXES])
     asked = rows.select("*", F.explode(F.array(*[F.lit(k) for k in levels])).alias("level"))
     asked = asked.select("*", *[F.floor(F.col(n) / F.pow(F.lit(2.0), "level")).alias(f"g{n}") for n in _AXES])
-    met = asked.join(cells, [frame, "level", "gx", "gy", "gz"])
+    met = asked.join(cells.hint("merge"), [frame, "level", "gx", "gy", "gz"])  # many cells of a small table: nothing to broadcast
     away = tuple(F.col(n) - F.col(f"b{n}") for n in _AXES)
     local = [R.dot(tuple(F.col(f"g{i}{j}") for i in range(3)), away).alias(f"l{n}") for j, n in enumerate(_AXES)]
     met = computed(met, "_row", frame, "point_id", *_AXES, "box_id", "hx", "hy", "hz", *local)

@@ -16,7 +16,7 @@ def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.3) -> DataFra
     """(point_id, x, y, z, box_id): for each distinct point the box of smallest id that holds it, faces included; null if none.
 
     Boxes are listed in every grid cell that they meet and points in their own, so the join is on
-    equal cells.
+    equal cells.  Spark takes the listed boxes for as small as the boxes; they are not broadcast.
     """
     spans = {a: F.explode(F.sequence(_cell(F.col(f"b{a}") - F.col("half"), cell), _cell(F.col(f"b{a}") + F.col("half"), cell))).alias(f"g{a}") for a in "xyz"}
     rows = boxes
@@ -25,7 +25,7 @@ def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.3) -> DataFra
     points = spread_out(points)
     placed = points.select("*", *[_cell(a, cell).alias(f"g{a}") for a in "xyz"])
     inside = [F.abs(F.col(a) - F.col(f"b{a}")) <= F.col("half") for a in "xyz"]
-    met = placed.join(rows, ["gx", "gy", "gz"]).where(inside[0] & inside[1] & inside[2]).groupBy("point_id", "x", "y", "z").agg(F.min("box_id").alias("box_id"))
+    met = placed.join(rows.hint("merge"), ["gx", "gy", "gz"]).where(inside[0] & inside[1] & inside[2]).groupBy("point_id", "x", "y", "z").agg(F.min("box_id").alias("box_id"))
     return points.select("point_id", "x", "y", "z").distinct().join(met, ["point_id", "x", "y", "z"], "left")
 
 

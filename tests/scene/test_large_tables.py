@@ -1,6 +1,9 @@
 """Queries over tables in many parts: what is first, and what is broadcast."""
 
+from pyspark.sql import functions as F
 
+from splatloom.operators.boxes import first_posed_box
+from splatloom.operators.spatial import first_box
 from splatloom.plans.fields import field_points
 from splatloom.sources import views as V
 
@@ -17,3 +20,17 @@ def test_the_first_line_of_a_point_counts_however_the_table_is_read(spark, tmp_p
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert got == {n * 8 + 1: n / 10 - 2.5 for n in range(50)}
+
+
+def _final(df):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
+def test_listed_boxes_are_not_broadcast(spark):
+    f = "/root/testdata/sf0.001"
+    points = V.points(spark, f)
+    assert "Broadcast" not in _final(first_box(points, V.boxes(spark, f)))
+    half = F.lit(0.2)
+    boxes = V.boxes(spark, f).select(F.lit(0).alias("frame"), "box_id", "bx", "by", "bz", *[half.alias(f"h{a}") for a in "xyz"], F.lit(1.0).alias("qw"), *[F.lit(0.0).alias(f"q{a}") for a in "xyz"])
+    assert "Broadcast" not in _final(first_posed_box(points.withColumn("frame", F.lit(0)), boxes))
