@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from .project import ALPHA_LEAST, ALPHA_MOST, EXTENT, TRANSMITTANCE_LEAST, computed
 
 PIXEL = ["camera_id", "x", "y"]
+TILE = ["camera_id", "tile_x", "tile_y"]
+#: What pairs keep of the limits: their tile, and the logarithm of the transmittance and the pairs before their stretch of depth.
+BEFORE = ["tile_x", "tile_y", "start", "before"]
 
 
 def _span(low: Column, high: Column, size: Column) -> tuple[Column, Column]:
@@ -72,13 +75,23 @@ def tile_offsets(met: DataFrame, cameras: DataFrame, tile: int = 16) -> DataFram
 
 
 def near_tiles(rows: DataFrame, limits: DataFrame | None) -> DataFrame:
-    """Rows with a tile and a ``stretch`` of depth, without those whose tile does not look as deep; see ``segments.limits``."""
-    return rows if limits is None else rows.join(limits, ["camera_id", "tile_x", "tile_y"]).where("stretch <= far")
+    """Rows with a tile and a ``stretch`` of depth beside the limits of both; no rows where none are: no pixel looks as deep.
+
+    Rows are dealt out by tile and stretch here, before their pixels are made, and windows of pixels over them take that
+    as it is: pairs are not shuffled.
+    """
+    if limits is None:
+        return rows
+    key = [*TILE, "stretch"]
+    return rows.join(limits.select(*key), key, "left_semi").join(limits.hint("merge"), key)
 
 
 def near_pixels(rows: DataFrame, limits: DataFrame | None, tile: int = 16) -> DataFrame:
-    """Rows of ``near_tiles`` after their pixels are made, without those whose pixel does not look as deep."""
-    return rows if limits is None else rows.where(F.col("stretch") <= F.element_at("ends", (F.col("y") - F.col("tile_y") * tile) * tile + F.col("x") - F.col("tile_x") * tile + 1))
+    """Rows of ``near_tiles`` after their pixels are made, without those whose pixel does not look as deep, with ``BEFORE``."""
+    if limits is None:
+        return rows
+    place = (F.col("y") - F.col("tile_y") * tile) * tile + F.col("x") - F.col("tile_x") * tile + 1
+    return rows.withColumns({"start": F.element_at("starts", place), "before": F.element_at("befores", place)}).where("start is not null").drop("starts", "befores")
 
 
 def pairs(projected: DataFrame, requests: DataFrame | None = None, mask: DataFrame | None = None, tile: int = 16, limits: DataFrame | None = None) -> DataFrame:
@@ -109,23 +122,26 @@ def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | N
         rows = rows.join(asked, ["camera_id", "tile_x", "tile_y"])
         for at in "xy":
             rows = rows.where((F.col(at) >= edge(f"mean2d_{at}", f"radius_{at}", -1)) & (F.col(at) < edge(f"mean2d_{at}", f"radius_{at}", 1)))
-        return near_pixels(rows, limits, tile).select(*projected.columns, "x", "y")
+        return near_pixels(rows, limits, tile).select(*projected.columns, "x", "y", *([] if limits is None else BEFORE))
+    kept = [*projected.columns, "x", "y", *([] if limits is None else BEFORE)]
     for at, size in (("y", "height"), ("x", "width")):
         low = F.greatest(edge(f"mean2d_{at}", f"radius_{at}", -1), F.col(f"tile_{at}") * tile)
         high = F.least(edge(f"mean2d_{at}", f"radius_{at}", 1), (F.col(f"tile_{at}") + 1) * tile, F.col(size)) - 1
         rows = rows.where(low <= high).withColumn(at, F.explode(F.sequence(low.cast("int"), high.cast("int"))))
-    return near_pixels(rows, limits, tile).select(*projected.columns, "x", "y")
+    return near_pixels(rows, limits, tile).select(*kept)
 
 
 def contributions(rows: DataFrame) -> DataFrame:
     """``pairs`` in depth order up to the pixel's saturation, with weight = alpha times transmittance before.
 
     Ties of the 32-bit depth go by gaussian_id.  Transmittance never grows, so the filter keeps what
-    a loop keeps that stops before the first pair that takes it to 1e-4 or less.
+    a loop keeps that stops before the first pair that takes it to 1e-4 or less.  Pairs with limits say what stands
+    before their stretch of depth, so each stretch of a pixel is ordered by itself.
     """
-    order = Window.partitionBy(*PIXEL).orderBy(F.col("depth").cast("float"), "gaussian_id")
-    run = order.rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumns({"after": F.exp(F.sum(F.log1p(-F.col("alpha"))).over(run)), "place": F.row_number().over(order)})
+    near = "start" in rows.columns
+    order = Window.partitionBy(*PIXEL, *([*TILE[1:], "stretch"] if near else [])).orderBy(F.col("depth").cast("float"), "gaussian_id")
+    through, place = F.sum(F.log1p(-F.col("alpha"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(order)
+    rows = rows.withColumns({"after": F.exp(F.col("start") + through if near else through), "place": F.col("before") + place if near else place})
     rows = rows.where(F.col("after") > TRANSMITTANCE_LEAST)
     return rows.withColumn("weight", F.col("alpha") * F.col("after") / (1 - F.col("alpha")))
 

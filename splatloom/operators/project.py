@@ -46,10 +46,15 @@ def _jacobian(model: str, p: R.Vector, fx: Column, fy: Column, cx: Column, cy: C
     return (fx * x / z + cx, fy * y / z + cy), ((fx / z, zero, -fx * tx / (z * z)), (zero, fy / z, -fy * ty / (z * z)))
 
 
+#: Columns that ``computed`` passes on as they are, so that rows dealt out by them stay dealt out by them.
+KEYS = ("camera_id", "tile_x", "tile_y", "stretch")
+
+
 def computed(rows: DataFrame, *columns: Column | str) -> DataFrame:
     """A select whose columns are computed once: later filters are not rewritten in terms of their inputs."""
     rows = rows.select(*columns)
-    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+    keys = [c for c in rows.columns if c in KEYS]
+    return rows.select(*keys, F.inline(F.array(F.struct(*[c for c in rows.columns if c not in keys])))).select(*rows.columns)
 
 
 def spread_out(rows: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from splatloom.functions import lenses
 from splatloom.functions import rotation as R
 
-from .composite import near_pixels, near_tiles, tiles
+from .composite import BEFORE, near_pixels, near_tiles, tiles
 from .project import ALPHA_LEAST, ALPHA_MOST, computed
 
 
@@ -74,7 +74,7 @@ def ray_pairs(projected: DataFrame, cameras: DataFrame, tile: int = 16, mask: Da
         last = F.least((F.col(f"tile_{at}") + 1) * tile, F.col(size)) - 1
         rows = rows.withColumn(at, F.explode(F.sequence(F.col(f"tile_{at}") * tile, last)))
     rows = near_pixels(rows, limits, tile)
-    rest = [*rest, "x", "y"]
+    rest = [*rest, "x", "y", *([] if limits is None else BEFORE)]
     ray = (F.col("x") + 0.5 - F.col("cx")) / F.col("fx"), (F.col("y") + 0.5 - F.col("cy")) / F.col("fy"), F.lit(1.0)
     against = F.when(R.dot(ray, R.columns("c0_", "c1_", "c2_")) > 0, -1.0).otherwise(1.0)
     rows = computed(rows, *rest, "gs0", "gs1", "gs2", "o0", "o1", "o2", *[R.dot(ray, R.columns(f"h{i}0", f"h{i}1", f"h{i}2")).alias(f"e{i}_") for i in range(3)], *[(against * F.col(f"n{n}")).alias(f"n{n}") for n in "xyz"])

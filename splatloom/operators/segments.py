@@ -2,14 +2,16 @@
 
 Compositing is an ordered monoid: a run of pairs is known by the transmittance through it and by its weighted
 sums, and two runs combine to (T1 T2, S1 + T1 S2).  Primitives are numbered by depth once for each camera, by a
-range sort, and SIZE of them share a segment.  So a group of (pixel, segment) has at most SIZE pairs, however many
-pairs a pixel has; a pixel's second level has one row for each of its segments.  Only the segment in which a pixel
-saturates is looked at pair by pair again.  The state after a range of segments holds
-what a later range needs to go on: tiles that are saturated everywhere are then dropped before their pixels are made.
-
-Before any pair is shuffled, ``looks`` finds how deep each pixel has to look.  It goes through the depths of each camera
-in stretches, each GROWTH times as long as all before it, and sums the logarithms of each pixel's transmittance, which
-Spark adds up before its shuffle; where the sum says that a pixel is saturated, later stretches make no pair for it.
+range sort, and SIZE of them share a segment.
+
+``looks`` goes through the depths of each camera in stretches of segments, each GROWTH times as long as all before it.  It
+sums the logarithms of each pixel's transmittance, so it is known what stands before each stretch of a pixel, and where a
+pixel is saturated, later stretches make no pair for it.  Primitives are dealt out by tile and stretch, and pairs are made
+and ordered where their primitives are: no pair is shuffled.  An image adds up what the stretches of each pixel give.
+
+A state after a range of segments holds what a later range needs to go on: tiles that are saturated everywhere are
+then dropped before their pixels are made.  A group of (pixel, segment) has at most SIZE pairs, and only the segment in
+which a pixel saturates is looked at pair by pair again.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import functions as F
 
 from splatloom.sources.tables import written
 
-from .composite import PIXEL, pairs, tiles
+from .composite import PIXEL, TILE, contributions, pairs, tiles
+from .composite import composite as summed
 from .project import TRANSMITTANCE_LEAST
 
 #: Primitives of a camera in a segment; a power of two.
@@ -30,8 +33,6 @@ SIZE = 256
 _LEAST = math.log(TRANSMITTANCE_LEAST)
 #: Primitives of a camera in the first stretch of depth, and how the stretches grow.
 FIRST, GROWTH = 1024, 4
-#: The last stretch of a pixel that is never saturated.
-_OPEN = 99
 #: Makes pairs from rows with a ``segment``, without those in the masked tiles (camera_id, tile_x, tile_y) or beyond the limits.
 Spread = Callable[..., DataFrame]
 
@@ -70,42 +71,48 @@ def stretched(rows: DataFrame, size: int = SIZE, first: int = FIRST) -> tuple[Da
     return rows.join(starts, "camera_id").withColumn("stretch", stretch).drop("_starts"), (most or 1) - 1
 
 
-def limits(grid: DataFrame, ends: DataFrame | None, tile: int) -> DataFrame:
-    """(camera_id, tile_x, tile_y, ends, far): the last stretch that each pixel of a tile needs, -1 outside the ``grid``, and the tile's last one.
-
-    ``ends`` (camera_id, x, y, last) has the pixels that are saturated.
-    """
-    rows = grid.select(*PIXEL).distinct()
-    rows = rows.withColumn("last", F.lit(_OPEN)) if ends is None else rows.join(ends.where("last is not null").select(*PIXEL, "last").hint("merge"), PIXEL, "left")
+def opened(grid: DataFrame, tile: int) -> DataFrame:
+    """(camera_id, tile_x, tile_y, starts, befores): for each place of a tile 0 and 0 before any pair; ``starts`` are null outside the ``grid``."""
     place = (F.pmod("y", F.lit(tile)) * tile + F.pmod("x", F.lit(tile))).cast("int")
-    key = ["camera_id", "tile_x", "tile_y"]
-    rows = rows.select("camera_id", *_tile(tile), place.alias("k"), F.coalesce("last", F.lit(_OPEN)).cast("tinyint").alias("v"))
-    # Every place of a tile has a row of -1, so that the sorted rows are the array.
-    every = rows.select(*key).distinct().select(*key, F.explode(F.sequence(F.lit(0), F.lit(tile * tile - 1))).alias("k"), F.lit(-1).cast("tinyint").alias("v"))
-    whole = rows.unionByName(every).groupBy(*key, "k").agg(F.max("v").alias("v")).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("k", "v"))).alias("e"), F.max("v").alias("far"))
-    return written(whole.select(*key, F.col("e.v").alias("ends"), "far"), "limits")
+    rows = grid.select("camera_id", *_tile(tile), place.alias("_k")).groupBy(*TILE).agg(F.collect_set("_k").alias("_asked"))
+    starts = F.transform(F.sequence(F.lit(0), F.lit(tile * tile - 1)), lambda k: F.when(F.array_contains("_asked", k), F.lit(0.0)))
+    return rows.select(*TILE, starts.alias("starts"), F.array_repeat(F.lit(0).cast("long"), tile * tile).alias("befores"))
+
+
+def _behind(near: DataFrame, rows: DataFrame, tile: int) -> DataFrame:
+    """The tiles of ``near`` behind the pairs ``rows`` of one stretch; places that are saturated become null, and tiles without others go."""
+    place = ((F.col("y") - F.col("tile_y") * tile) * tile + F.col("x") - F.col("tile_x") * tile).cast("int")
+    sums = rows.groupBy(*TILE, "stretch", place.alias("_k")).agg(F.sum(F.log1p(-F.col("alpha"))).alias("left"), F.count("*").alias("n"))
+    met = sums.groupBy(*TILE, "stretch").agg(F.map_from_entries(F.collect_list(F.struct("_k", F.struct("left", "n")))).alias("_sums")).drop("stretch")
+    added = lambda c, k: F.coalesce(F.try_element_at("_sums", k)[c], F.lit(0))
+    both = near.join(met.hint("merge"), TILE, "left")
+    both = both.select(*TILE, F.transform("starts", lambda s, k: s + added("left", k)).alias("starts"), F.transform("befores", lambda b, k: b + added("n", k)).alias("befores"))
+    both = both.withColumn("starts", F.transform("starts", lambda s: F.when(s >= _LEAST - 1e-6, s)))
+    return both.where(F.exists("starts", lambda s: s.isNotNull()))
 
 
 def looks(rows: DataFrame, grid: DataFrame, size: int = SIZE, spread: Spread = by_box, mask: DataFrame | None = None, tile: int = 16, first: int = FIRST) -> tuple[DataFrame, DataFrame]:
-    """Segmented ``rows`` with ``stretch``, and the ``limits`` of the pixels of ``grid``: no pair beyond them adds to its pixel.
+    """Segmented ``rows`` with ``stretch``, and the limits of the pixels of ``grid``: no pair outside them adds to its pixel.
 
-    A pixel's last stretch is the one that takes its transmittance below 1e-4, by a margin for the order of sums.
+    Limits (camera_id, tile_x, tile_y, stretch, starts, befores) have a row for each tile and each stretch that any of its
+    pixels looks at: the logarithm of each pixel's transmittance before that stretch, null if it is below 1e-4, by a margin
+    for the order of sums, and how many pairs stand before.
     """
     rows, most = stretched(rows, size, first)
-    ends, near = None, limits(grid, None, tile)
+    near = written(opened(grid, tile), "near")
+    every = near.withColumn("stretch", F.lit(0))
     for k in range(most):
-        sums = spread(rows.where(F.col("stretch") == k), mask, near).groupBy(*PIXEL).agg(F.sum(F.log1p(-F.col("alpha"))).alias("left")).withColumn("last", F.lit(None).cast("int"))
-        both = (sums if ends is None else ends.unionByName(sums)).groupBy(*PIXEL).agg(F.sum("left").alias("left"), F.min("last").alias("last"))
-        ends = written(both.withColumn("last", F.coalesce("last", F.when(F.col("left") < _LEAST - 1e-6, k))), "ends")
-        near = limits(grid, ends, tile)
-    return rows, near
+        found = spread(rows.where(F.col("stretch") == k), mask, near.withColumn("stretch", F.lit(k)))
+        near = written(_behind(near, found, tile), "near")
+        every = every.unionByName(near.withColumn("stretch", F.lit(k + 1)))
+    return rows, every
 
 
-def near_pairs(projected: DataFrame, grid: DataFrame, spread: Spread = by_box, mask: DataFrame | None = None, first: int = FIRST) -> DataFrame:
+def near_pairs(projected: DataFrame, grid: DataFrame, spread: Spread = by_box, mask: DataFrame | None = None, size: int = SIZE, first: int = FIRST) -> DataFrame:
     """The pairs on pixels of ``grid`` that ``composite.contributions`` may need: those behind a saturated pixel are not made."""
-    size = min(SIZE, first)
+    size = min(size, first)
     rows, near = looks(segmented(projected, size), grid, size, spread, mask, first=first)
-    return spread(rows, mask, near).drop("segment", "stretch")
+    return spread(rows, mask, near).drop("segment")
 
 
 def blank(grid: DataFrame, channels: list[str]) -> DataFrame:
@@ -116,8 +123,9 @@ def blank(grid: DataFrame, channels: list[str]) -> DataFrame:
 
 def _local(rows: DataFrame, channels: list[str]) -> DataFrame:
     """Pairs with ``upto``, the logarithm of the transmittance from the begin of their segment through themselves."""
-    kept = rows.select(*PIXEL, "segment", F.col("depth").cast("float").alias("near"), "gaussian_id", "alpha", *channels)
-    run = Window.partitionBy(*PIXEL, "segment").orderBy("near", "gaussian_id").rowsBetween(Window.unboundedPreceding, 0)
+    dealt = [c for c in (*TILE[1:], "stretch") if c in rows.columns]
+    kept = rows.select(*PIXEL, *dealt, "segment", F.col("depth").cast("float").alias("near"), "gaussian_id", "alpha", *channels)
+    run = Window.partitionBy(*PIXEL, *dealt, "segment").orderBy("near", "gaussian_id").rowsBetween(Window.unboundedPreceding, 0)
     return kept.withColumn("upto", F.sum(F.log1p(-F.col("alpha"))).over(run))
 
 
@@ -176,10 +184,8 @@ def image(state: DataFrame, channels: list[str], background: list[float] | None
 
 
 def composite(projected: DataFrame, grid: DataFrame, channels: list[str], background: list[float] | None = None, size: int = SIZE, spread: Spread = by_box, first: int = FIRST) -> DataFrame:
-    """``composite.composite`` of all contributions, by segments."""
-    rows, near = looks(segmented(projected, size), grid, size, spread, first=first)
-    state = advance(blank(grid, channels), rows, channels, spread, fresh=True, near=near)
-    return image(state, channels, background)
+    """``composite.composite`` of all contributions: each stretch of a pixel by itself, then the stretches of each pixel."""
+    return summed(contributions(near_pairs(projected, grid, spread, size=size, first=first)), grid, channels, background)
 
 
 def composite_by_ranges(projected: DataFrame, grid: DataFrame, channels: list[str], ranges: int, size: int = SIZE, spread: Spread = by_box, tile: int = 16, deep: bool = False) -> DataFrame:

@@ -54,7 +54,8 @@ def surfel_pairs(projected: DataFrame, mask: DataFrame | None = None, limits: Da
     rows = near_tiles(rows if mask is None else rows.join(mask, ["camera_id", "tile_x", "tile_y"], "left_anti"), limits)
     rows = rows.withColumn("y", F.explode(F.sequence(F.col("tile_y") * TILE, F.least(F.col("tile_y") * TILE + TILE, "height") - 1)))
     rows = rows.withColumn("x", F.explode(F.sequence(F.col("tile_x") * TILE, F.least(F.col("tile_x") * TILE + TILE, "width") - 1)))
-    rows = near_pixels(rows, limits, TILE).drop("tile_x", "tile_y", "far", "ends")
+    rows = near_pixels(rows, limits, TILE)
+    rows = rows.drop("tile_x", "tile_y") if limits is None else rows
     px, py = F.col("x") + 0.5, F.col("y") + 0.5
     hu = [(px * F.col(f"c{i}") - F.col(f"a{i}")).alias(f"u{i}") for i in range(3)]
     hv = [(py * F.col(f"c{i}") - F.col(f"b{i}")).alias(f"v{i}") for i in range(3)]

@@ -128,3 +128,17 @@ def test_no_table_of_pixels_is_broadcast(spark):
     image.write.format("noop").mode("overwrite").save()
     final = image._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0]
     assert final.count("HashedRelationBroadcastMode(List(input[0, int, true], input[1, int, false], input[2, int, false]") == 0
+
+
+def test_pairs_are_not_shuffled(spark):
+    scene, cameras = _deep(spark)
+    seen, grid = written(project(scene, cameras), "seen"), C.pixels(cameras)
+    near = segments.near_pairs(seen, grid, first=16)
+    plan = C.contributions(near)._jdf.queryExecution().executedPlan().toString()
+    above = plan[: plan.index("SortMergeJoin")]
+    assert "Window" in above and above.count("Generate explode") == 2 and "Exchange" not in above
+    # What is known before a stretch is what all nearer pairs of the pixel leave.
+    key = [*C.PIXEL, "gaussian_id"]
+    whole = {tuple(r[c] for c in key): (r["place"], r["after"]) for r in C.contributions(C.pairs(seen)).collect()}
+    rows = C.contributions(near).where("stretch > 0 and place = before + 1").collect()
+    assert rows and all(whole[tuple(r[c] for c in key)][0] == r["place"] and math.isclose(math.exp(r["start"]) * (1 - r["alpha"]), whole[tuple(r[c] for c in key)][1], rel_tol=1e-9) for r in rows)
