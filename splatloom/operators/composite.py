@@ -83,7 +83,10 @@ def near_tiles(rows: DataFrame, limits: DataFrame | None) -> DataFrame:
     if limits is None:
         return rows
     key = [*TILE, "stretch"]
-    return rows.join(limits.select(*key), key, "left_semi").join(limits.hint("merge"), key)
+    # A hash spares the shuffle of what has no limits, and the join decides; a table by one long is broadcast in 1 MB, one by several columns in pages of up to 64 MB.
+    mark = F.xxhash64(F.col("camera_id").cast("string"), *[F.col(c).cast("int") for c in key[1:]])
+    rows = rows.withColumn("_mark", mark).join(limits.select(mark.alias("_mark")), "_mark", "left_semi").drop("_mark")
+    return rows.join(limits.hint("merge"), key)
 
 
 def near_pixels(rows: DataFrame, limits: DataFrame | None, tile: int = 16) -> DataFrame:

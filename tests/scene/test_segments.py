@@ -142,3 +142,11 @@ def test_pairs_are_not_shuffled(spark):
     whole = {tuple(r[c] for c in key): (r["place"], r["after"]) for r in C.contributions(C.pairs(seen)).collect()}
     rows = C.contributions(near).where("stretch > 0 and place = before + 1").collect()
     assert rows and all(whole[tuple(r[c] for c in key)][0] == r["place"] and math.isclose(math.exp(r["start"]) * (1 - r["alpha"]), whole[tuple(r[c] for c in key)][1], rel_tol=1e-9) for r in rows)
+
+
+def test_tables_of_tiles_are_broadcast_by_one_long(spark):
+    scene, cameras = _deep(spark)
+    near = segments.near_pairs(written(project(scene, cameras), "seen"), C.pixels(cameras), first=16)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    modes = [line for line in plan.split("\n") if "BroadcastExchange" in line]
+    assert modes and all(line.count("input[") == 1 for line in modes)
