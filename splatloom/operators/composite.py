@@ -134,18 +134,23 @@ def _cells(projected: DataFrame, requests: DataFrame | None, mask: DataFrame | N
     return near_pixels(rows, limits, tile).select(*kept)
 
 
-def contributions(rows: DataFrame) -> DataFrame:
-    """``pairs`` in depth order up to the pixel's saturation, with weight = alpha times transmittance before.
+def ordered(rows: DataFrame) -> DataFrame:
+    """``pairs`` in depth order, with ``place`` and the transmittance ``after`` each; ties of the 32-bit depth go by gaussian_id.
 
-    Ties of the 32-bit depth go by gaussian_id.  Transmittance never grows, so the filter keeps what
-    a loop keeps that stops before the first pair that takes it to 1e-4 or less.  Pairs with limits say what stands
-    before their stretch of depth, so each stretch of a pixel is ordered by itself.
+    Pairs with limits say what stands before their stretch of depth, so each stretch of a pixel is ordered by itself.
     """
     near = "start" in rows.columns
     order = Window.partitionBy(*PIXEL, *([*TILE[1:], "stretch"] if near else [])).orderBy(F.col("depth").cast("float"), "gaussian_id")
     through, place = F.sum(F.log1p(-F.col("alpha"))).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(order)
-    rows = rows.withColumns({"after": F.exp(F.col("start") + through if near else through), "place": F.col("before") + place if near else place})
-    rows = rows.where(F.col("after") > TRANSMITTANCE_LEAST)
+    return rows.withColumns({"after": F.exp(F.col("start") + through if near else through), "place": F.col("before") + place if near else place})
+
+
+def contributions(rows: DataFrame) -> DataFrame:
+    """``ordered`` pairs up to the pixel's saturation, with weight = alpha times transmittance before.
+
+    Transmittance never grows, so the filter keeps what a loop keeps that stops before the first pair that takes it to 1e-4 or less.
+    """
+    rows = ordered(rows).where(F.col("after") > TRANSMITTANCE_LEAST)
     return rows.withColumn("weight", F.col("alpha") * F.col("after") / (1 - F.col("alpha")))
 
 

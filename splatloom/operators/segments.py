@@ -9,9 +9,9 @@ sums the logarithms of each pixel's transmittance, so it is known what stands be
 pixel is saturated, later stretches make no pair for it.  Primitives are dealt out by tile and stretch, and pairs are made
 and ordered where their primitives are: no pair is shuffled.  An image adds up what the stretches of each pixel give.
 
-A state after a range of segments holds what a later range needs to go on: tiles that are saturated everywhere are
-then dropped before their pixels are made.  A group of (pixel, segment) has at most SIZE pairs, and only the segment in
-which a pixel saturates is looked at pair by pair again.
+A state after a range of segments holds what a later range needs to go on.  With limits, stretches end where ranges end, and a
+range adds its stretches up.  Without limits, tiles that are saturated everywhere are dropped before their pixels are made;
+a group of (pixel, segment) has at most SIZE pairs, and only the segment in which a pixel saturates is looked at pair by pair again.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from splatloom.sources.tables import written
 
-from .composite import PIXEL, TILE, contributions, pairs, tiles
+from .composite import PIXEL, TILE, contributions, ordered, pairs, tiles
 from .composite import composite as summed
 from .project import TRANSMITTANCE_LEAST
 
@@ -60,14 +60,18 @@ def _made(spread: Spread, rows: DataFrame, mask: DataFrame | None, near: DataFra
 
 
 def stretched(rows: DataFrame, size: int = SIZE, first: int = FIRST) -> tuple[DataFrame, int]:
-    """Segmented ``rows`` with ``stretch``, which grows with the segment from 0 on, and the largest one."""
-    place = F.row_number().over(Window.partitionBy("camera_id").orderBy("segment")) - 1
+    """Segmented ``rows`` with ``stretch``, which grows with the segment from 0 on, and the largest one.
+
+    Where rows have a ``range``, which grows with the depth, no stretch holds rows of two ranges.
+    """
+    key = [c for c in ("range", "segment") if c in rows.columns]
+    place = F.row_number().over(Window.partitionBy("camera_id").orderBy(*key)) - 1
     number = sum((place * size >= first * GROWTH**k).cast("int") for k in range(16))
-    numbers = rows.select("camera_id", "segment").distinct().select("camera_id", "segment", number.alias("number"))
-    starts = numbers.groupBy("camera_id", "number").agg(F.min("segment").alias("start")).groupBy("camera_id").agg(F.sort_array(F.collect_list("start")).alias("_starts"))
+    numbers = rows.select("camera_id", *key).distinct().select("camera_id", *key, number.alias("number"))
+    starts = numbers.groupBy("camera_id", *key[:-1], "number").agg(F.min(F.struct(*key)).alias("start")).groupBy("camera_id").agg(F.sort_array(F.collect_list("start")).alias("_starts"))
     starts = written(starts, "stretches")
     most = starts.agg(F.max(F.size("_starts"))).first()[0]
-    stretch = F.size(F.filter("_starts", lambda s: s <= F.col("segment"))) - 1
+    stretch = F.size(F.filter("_starts", lambda s: s <= F.struct(*key))) - 1
     return rows.join(starts, "camera_id").withColumn("stretch", stretch).drop("_starts"), (most or 1) - 1
 
 
@@ -156,9 +160,33 @@ def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spre
 
     A pixel is done at the first pair that would take its transmittance to 1e-4 or less; neither that pair nor any
     behind it adds to it, in later ranges either.  ``fresh`` says that no pixel is done yet;
-    ``near`` are the limits of ``looks``.  As tables of pixels grow with the images, none is broadcast.
+    ``near`` are the limits that ``looks`` found for the rows of all ranges, which tell the ranges apart by ``range``.
+    As tables of pixels grow with the images, none is broadcast.
     """
-    parts = _sums(_local(_made(spread, rows, None if fresh else _closed(state, tile), near), channels), [*PIXEL, "segment"], channels, F.lit(0.0))
+    if near is None:
+        added = _merged(state, rows, channels, spread, tile, fresh)
+    elif fresh or "range" in rows.columns:
+        added = _placed_before(spread(rows, None, near), channels)
+    else:
+        raise ValueError("rows of a later range need a range, so that no stretch of the limits holds rows of two")
+    more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
+    joined = state.join(added.hint("merge"), PIXEL, "left")
+    return joined.select(*PIXEL, more("n"), *[more(c) for c in ("alpha", *channels, "left")], (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"))
+
+
+def _placed_before(rows: DataFrame, channels: list[str]) -> DataFrame:
+    """What pairs with limits add to each pixel: they know what stands before their stretch, so none is shuffled or made again."""
+    counts = F.col("after") > TRANSMITTANCE_LEAST
+    weight = F.when(counts, F.col("alpha") * F.col("after") / (1 - F.col("alpha"))).otherwise(0.0)
+    found = ordered(rows).withColumns({"_counts": counts, "_weight": weight})
+    sums = [F.sum("_weight").alias("_alpha"), *[F.sum(F.col("_weight") * F.col(c)).alias(f"_{c}") for c in channels]]
+    left = F.sum(F.when(F.col("_counts"), F.log1p(-F.col("alpha"))).otherwise(0.0))
+    return found.groupBy(*PIXEL).agg(F.count_if("_counts").alias("_n"), *sums, left.alias("_left"), F.max(~F.col("_counts")).alias("_done"))
+
+
+def _merged(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spread, tile: int, fresh: bool) -> DataFrame:
+    """What the segments of ``rows`` add to each pixel: each segment by itself, then those before which the pixel is not done."""
+    parts = _sums(_local(spread(rows, None if fresh else _closed(state, tile)), channels), [*PIXEL, "segment"], channels, F.lit(0.0))
     placed = written(_placed(parts, state), "placed")
     through = F.col("start") + F.col("upto")
     scale = F.exp("start")
@@ -168,13 +196,10 @@ def advance(state: DataFrame, rows: DataFrame, channels: list[str], spread: Spre
         # Pixels that saturate need one of their segments pair by pair: only its rows, in tiles with such pixels.
         some = rows.join(broken.select("camera_id", "segment").distinct(), ["camera_id", "segment"], "left_semi")
         unbroken = state.select("camera_id", *_tile(tile)).distinct().join(broken.select("camera_id", *_tile(tile)).distinct(), ["camera_id", "tile_x", "tile_y"], "left_anti")
-        cut = _local(_made(spread, some, unbroken, near), channels).join(broken.hint("merge"), [*PIXEL, "segment"]).where(through > _LEAST)
+        cut = _local(spread(some, unbroken), channels).join(broken.hint("merge"), [*PIXEL, "segment"]).where(through > _LEAST)
         added = added.unionByName(_sums(cut, PIXEL, channels, F.col("start")).withColumn("done", F.lit(True)))
     ends = broken.select(*PIXEL, F.lit(0).cast("long").alias("n"), *[F.lit(0.0).alias(c) for c in ("upto", "alpha", *channels)], F.lit(True).alias("done"))
-    added = added.unionByName(ends).groupBy(*PIXEL).agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "alpha", *channels)], F.sum("upto").alias("_left"), F.max("done").alias("_done"))
-    more = lambda c: (F.col(c) + F.coalesce(F.col(f"_{c}"), F.lit(0))).alias(c)
-    joined = state.join(added.hint("merge"), PIXEL, "left")
-    return joined.select(*PIXEL, more("n"), *[more(c) for c in ("alpha", *channels, "left")], (F.col("done") | F.coalesce("_done", F.lit(False))).alias("done"))
+    return added.unionByName(ends).groupBy(*PIXEL).agg(*[F.sum(c).alias(f"_{c}") for c in ("n", "alpha", *channels)], F.sum("upto").alias("_left"), F.max("done").alias("_done"))
 
 
 def image(state: DataFrame, channels: list[str], background: list[float] | None = None) -> DataFrame:
@@ -194,14 +219,14 @@ def composite_by_ranges(projected: DataFrame, grid: DataFrame, channels: list[st
     A camera's range is an equal share of its segments.  ``deep`` asks ``looks`` first, with a spread that takes limits.
     """
     rows, near = segmented(projected, size), None
+    share = rows.select("camera_id", "segment").distinct().select("*", F.ntile(ranges).over(Window.partitionBy("camera_id").orderBy("segment")).alias("range"))
+    starts = share.groupBy("camera_id", "range").agg(F.min("segment").alias("start")).groupBy("camera_id").agg(F.collect_list("start").alias("_starts"))
+    dealt = rows.join(starts, "camera_id").withColumn("range", F.size(F.filter("_starts", lambda s: s <= F.col("segment")))).drop("_starts")
     if deep:
-        rows, near = looks(rows, grid, size, spread, tile=tile)
-    numbers = rows.select("camera_id", "segment").distinct()
-    share = numbers.withColumn("range", F.ntile(ranges).over(Window.partitionBy("camera_id").orderBy("segment")))
-    dealt = rows.join(share, ["camera_id", "segment"])
+        dealt, near = looks(dealt, grid, size, spread, tile=tile)
     state = blank(grid, channels)
     for k in range(1, ranges + 1):
-        state = written(advance(state, dealt.where(F.col("range") == k).drop("range"), channels, spread, tile, fresh=k == 1, near=near), "state")
+        state = written(advance(state, dealt.where(F.col("range") == k), channels, spread, tile, fresh=k == 1, near=near), "state")
     return state
 
 

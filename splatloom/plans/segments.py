@@ -33,10 +33,14 @@ def composite_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return state.select(*C.PIXEL, "n", "done", *[r4(c).alias(c) for c in ("alpha", *COLOURS)])
 
 
+def _ranged(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.segmented(rendering._seen(spark, folder), 32).withColumn("range", (F.col("depth") >= NEAR).cast("int"))
+
+
 def composite_resumed(spark: SparkSession, folder: str) -> DataFrame:
     """What the far range adds to each pixel's state after the near one."""
     grid = C.pixels(V.cameras(spark, folder))
-    rows, deep = segments.looks(segments.segmented(rendering._seen(spark, folder), 32), grid, 32)
+    rows, deep = segments.looks(_ranged(spark, folder), grid, 32)
     near = written(segments.advance(segments.blank(grid, ["c0"]), rows.where(F.col("depth") < NEAR), ["c0"], fresh=True, near=deep), "state")
     far = segments.advance(near, rows.where(F.col("depth") >= NEAR), ["c0"], near=deep)
     both = near.join(far.select(*C.PIXEL, F.col("n").alias("all"), F.col("alpha").alias("whole"), F.col("c0").alias("full")).hint("merge"), C.PIXEL)
@@ -46,7 +50,7 @@ def composite_resumed(spark: SparkSession, folder: str) -> DataFrame:
 def pairs_in_range(spark: SparkSession, folder: str) -> DataFrame:
     """Of each camera and primitive of the far range: in how many pixels it still counts, and its weight there."""
     grid = C.pixels(V.cameras(spark, folder))
-    rows, deep = segments.looks(segments.segmented(rendering._seen(spark, folder), 32), grid, 32)
+    rows, deep = segments.looks(_ranged(spark, folder), grid, 32)
     near = written(segments.advance(segments.blank(grid, []), rows.where(F.col("depth") < NEAR), [], fresh=True, near=deep), "state")
     found = segments.pairs_in_range(near, rows.where(F.col("depth") >= NEAR), near=deep)
     return found.groupBy("camera_id", "gaussian_id").agg(F.count("*").alias("n"), r4(F.sum("weight")).alias("weight"))

@@ -150,3 +150,27 @@ def test_tables_of_tiles_are_broadcast_by_one_long(spark):
     plan = near._jdf.queryExecution().executedPlan().toString()
     modes = [line for line in plan.split("\n") if "BroadcastExchange" in line]
     assert modes and all(line.count("input[") == 1 for line in modes)
+
+
+def test_ranges_with_limits_add_up_stretches(spark, monkeypatch):
+    scene, cameras = _deep(spark)
+    seen, grid = written(project(scene, cameras), "seen"), C.pixels(cameras)
+    names = []
+    monkeypatch.setattr(segments, "written", lambda df, name: names.append(name) or written(df, name))
+    rows = segments.segmented(seen, 16).withColumn("range", (F.col("depth") >= 3.4).cast("int"))
+    rows, near = segments.looks(rows, grid, 16, first=64)
+    parts = rows.groupBy("camera_id", "stretch").agg(F.countDistinct("range").alias("n"), F.min("range").alias("range")).collect()
+    assert {r["n"] for r in parts} == {1} and {r["range"] for r in parts} == {0, 1}
+    first = segments.advance(segments.blank(grid, ["c0"]), rows.where("range = 0"), ["c0"], fresh=True, near=near)
+    state = segments.advance(written(first, "state"), rows.where("range = 1"), ["c0"], near=near)
+    want = C.contributions(C.pairs(seen))
+    _same(_image(first, ["c0"]), _image(C.composite(want.where("depth < 3.4"), grid, ["c0"]), ["c0"]))
+    _same(_image(state, ["c0"]), _image(C.composite(want, grid, ["c0"]), ["c0"]))
+    ends = C.ordered(C.pairs(seen)).groupBy(*C.PIXEL).agg(F.min("after").alias("after")).where("after <= 1e-4")
+    assert state.where("done").count() == ends.count() > 100 and state.where("done").join(ends, C.PIXEL).count() == ends.count()
+    assert "placed" not in names  # no pair is looked at twice
+    with pytest.raises(ValueError):
+        segments.advance(first, rows.drop("range"), ["c0"], near=near)
+    deep = segments.composite_by_ranges(seen, grid, ["c0"], 3, size=16, deep=True)
+    _same(_image(segments.image(deep, ["c0"]), ["c0"]), _image(C.composite(want, grid, ["c0"]), ["c0"]))
+    assert "placed" not in names
