@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from splatloom.functions import rotation as R
+from splatloom.sources.tables import written
 
 from .quantiles import exact_quantiles
 
@@ -43,13 +44,14 @@ def upright(cameras: DataFrame, key: str = "scene_id", focus: bool = True, stric
     square = [[R.dot(tuple(skew[i]), tuple(skew[m][j] for m in range(3))) for j in range(3)] for i in range(3)]
     flipped = [[-1.0, 0.0, 0.0], [0.0, -1.0, 0.0], [0.0, 0.0, 1.0]]
     turn = [[F.when((c > 0) | (kk > 0), F.lit(float(i == j)) + skew[i][j] + square[i][j] * share).otherwise(flipped[i][j]).alias(f"q{i}{j}") for j in range(3)] for i in range(3)]
-    turns = mean.select(key, *[x for row in turn for x in row])
+    # Written once: means come out by other last digits when their rows meet in another order, and every pass over what is turned must see the same.
+    turns = written(mean.select(key, *[x for row in turn for x in row]), "turns")
     rows = cameras.select(key, *[f"r{i}2" for i in range(3)], "t0", "t1", "t2").join(turns, key)
     q = [R.columns(f"q{i}0", f"q{i}1", f"q{i}2") for i in range(3)]
     rows = rows.select(key, *[R.dot(q[i], R.columns("t0", "t1", "t2")).alias(f"p{i}") for i in range(3)], *[R.dot(q[i], R.columns("r02", "r12", "r22")).alias(f"d{i}") for i in range(3)])
     p, d = R.columns("p0", "p1", "p2"), R.columns("d0", "d1", "d2")
     near = [(p[i] - R.dot(d, p) * d[i] if focus else p[i]).alias(f"m{i}") for i in range(3)]
-    middle = exact_quantiles(rows.select(key, *near), [key], ["m0", "m1", "m2"])
+    middle = written(exact_quantiles(rows.select(key, *near), [key], ["m0", "m1", "m2"]), "middles")
     far = rows.join(middle, key).select(key, R.norm(tuple(p[i] - F.col(f"m{i}") for i in range(3))).alias("far"))
     size = far.groupBy(key).agg(F.max("far").alias("far")) if strict else exact_quantiles(far, [key], ["far"])
     scale = F.when(F.col("far") > 0, 1 / F.col("far")).otherwise(1.0)

@@ -18,6 +18,7 @@ def exact_quantiles(rows: DataFrame, keys: list[str], values: list[str], share:
     left for a grid of quantiles, takes the steps around the rank, and counts exactly what lies below and within;
     where the sketch was off, the side stays as it was.  Outliers and skewed values only change where the steps lie.
     Rounds end when no group has more than BOUND rows left or none got smaller; ties count as one value then.
+    ``rows`` are read several times and must have the same values each time; values that follow from means or sums are written first.
     """
     what = [*keys, "_which"]
     pairs = F.explode(F.array(*[F.struct(F.lit(v).alias("_which"), F.col(v).cast("double").alias("_v")) for v in values]))

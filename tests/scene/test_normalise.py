@@ -72,3 +72,22 @@ def test_a_camera_turned_by_almost_half_a_turn_keeps_its_digits(spark):
         # The pose turns about z only, so the turn to -y is the inverse of its own.
         for name, want in {"a00": 2 * c, "a01": 2 * s, "a10": -2 * s, "a11": 2 * c, "a03": -2 * (c * 15.708 + s * 6.854), "a13": -2 * (-s * 15.708 + c * 6.854)}.items():
             assert abs(got[name] - want) < 1e-8, (gap, name, got[name], want)
+
+
+def test_every_pass_sees_the_same_turns(spark):
+    r = np.random.default_rng(5)
+    poses = [(k, float(a), float(x), float(y)) for k in range(300) for a, x, y in zip(r.uniform(-1, 1, 13), *r.normal(size=(2, 13)) * 4, strict=True)]
+    angle = F.col("a")
+    turn = [[F.cos(angle), -F.sin(angle), F.lit(0.0)], [F.sin(angle), F.cos(angle), F.lit(0.0)], [F.lit(0.0), F.lit(0.0), F.lit(1.0)]]
+    cameras = spark.createDataFrame(poses, "scene_id int, a double, t0 double, t1 double").withColumn("t2", F.lit(0.5))
+    cameras = cameras.select("scene_id", "t0", "t1", "t2", *[turn[i][j].alias(f"r{i}{j}") for i in range(3) for j in range(3)])
+    # Each pass meets the rows in another order, so that sums of them differ in their last digits.
+    got = N.upright(cameras.repartition(7, F.expr("reflect('java.util.UUID', 'randomUUID')"))).collect()
+    assert len(got) == 300
+    for x in got:
+        own = np.array([p[1:] for p in poses if p[0] == x["scene_id"]])
+        up = np.array([np.sin(own[:, 0]).mean(), -np.cos(own[:, 0]).mean()])
+        s, c = -up / np.linalg.norm(up)
+        at = own[:, 1:] @ np.array([[c, -s], [s, c]]).T
+        middle = np.median(at, axis=0)
+        assert np.isclose(x["scale"], 1 / np.median(np.sqrt(((at - middle) ** 2).sum(1) + 0.25))) and np.allclose([x["a03"], x["a13"]], -middle * x["scale"])
