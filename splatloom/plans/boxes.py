@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from splatloom.operators.boxes import first_posed_box
+from splatloom.operators.project import spread_out
 from splatloom.sources import views as V
 
 from .common import r4
@@ -17,7 +18,7 @@ FRAMES = 8
 def points_in_posed_boxes(spark: SparkSession, folder: str) -> DataFrame:
     """The first box of its frame that holds each point, and the point in that box's own axes; boxes of 0.1 to 4 across."""
     points = V.points(spark, folder).select(F.pmod("point_id", F.lit(FRAMES)).cast("int").alias("frame"), "point_id", "x", "y", "z")
-    parts = V.table(spark, folder, "part").select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
+    parts = spread_out(V.table(spark, folder, "part")).select("*", F.explode(F.sequence(F.lit(0), F.lit(FRAMES - 1))).alias("frame"))
     angle = 0.1 * F.col("frame") + 0.05 * F.col("p_size")
     size = F.when(F.pmod("p_partkey", F.lit(97)) == 0, 2.0).otherwise(0.05 + 0.02 * F.pmod("p_partkey", F.lit(11)))
     boxes = parts.select(

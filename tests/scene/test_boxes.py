@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from splatloom.operators import boxes
 from splatloom.operators.boxes import first_posed_box
 
 BOX = "frame int, box_id long, bx double, by double, bz double, hx double, hy double, hz double, qw double, qx double, qy double, qz double"
@@ -37,3 +39,25 @@ def test_empty_tables(spark):
     points = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0)], "frame int, point_id long, x double, y double, z double")
     none = spark.createDataFrame([], BOX)
     assert first_posed_box(points, none).first()["box_id"] is None and first_posed_box(points.limit(0), none).count() == 0
+
+
+@pytest.mark.parametrize(("first", "in_list"), [(32_768, 4096), (400, 3)])
+def test_of_many_boxes_upon_each_other_few_are_met(spark, monkeypatch, first, in_list):
+    monkeypatch.setattr(boxes, "FIRST", first)
+    monkeypatch.setattr(boxes, "LISTED", in_list)
+    r = np.random.default_rng(4)
+    n = 3000
+    centre, half, quat = r.uniform(0, 1, (n, 3)), r.uniform(0.1, 0.4, (n, 3)), r.normal(size=(n, 4))
+    half[::50] *= 4
+    ids = r.permutation(n) * 7
+    points = r.uniform(-0.7, 1.7, (1500, 3))
+    turn = [np.array([[1 - 2 * (y * y + z * z), 2 * (x * y - w * z), 2 * (x * z + w * y)], [2 * (x * y + w * z), 1 - 2 * (x * x + z * z), 2 * (y * z - w * x)], [2 * (x * z - w * y), 2 * (y * z + w * x), 1 - 2 * (x * x + y * y)]]) for w, x, y, z in quat / np.linalg.norm(quat, axis=1)[:, None]]
+    held = np.stack([(np.abs((points - centre[k]) @ turn[k]) <= half[k]).all(1) for k in range(n)])
+    want = {i: int(ids[h].min()) if h.any() else None for i, h in enumerate(held.T)}
+    table = spark.createDataFrame([(1, i, *map(float, p)) for i, p in enumerate(points)], "frame int, point_id long, x double, y double, z double")
+    many = spark.createDataFrame([(1, int(ids[k]), *map(float, (*centre[k], *half[k], *quat[k]))) for k in range(n)], BOX)
+    assert {x["point_id"]: x["box_id"] for x in first_posed_box(table, many).collect()} == want
+    lists, size, several = boxes.listed(table, many, ["frame"])
+    pairs = table.select("frame", *[F.floor(F.col(a) / size).alias(f"g{a}") for a in "xyz"]).join(lists, ["frame", "gx", "gy", "gz"]).agg(F.sum(F.size("boxes"))).first()[0]
+    # All pairs in one cell of the boxes' own size would be millions.
+    assert pairs < 30 * len(points) and several == (in_list == 3)
