@@ -5,28 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .project import spread_out
+from .boxes import first_of
 
 
 def _cell(c: Column | str, size: float) -> Column:
     return F.floor((F.col(c) if isinstance(c, str) else c) / size)
 
 
-def first_box(points: DataFrame, boxes: DataFrame, cell: float = 0.3) -> DataFrame:
+def first_box(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """(point_id, x, y, z, box_id): for each distinct point the box of smallest id that holds it, faces included; null if none.
 
-    Boxes are listed in every grid cell that they meet and points in their own, so the join is on
-    equal cells.  Spark takes the listed boxes for as small as the boxes; they are not broadcast.
+    Of boxes in one place the first counts, and the rest is as with turned boxes.
     """
-    spans = {a: F.explode(F.sequence(_cell(F.col(f"b{a}") - F.col("half"), cell), _cell(F.col(f"b{a}") + F.col("half"), cell))).alias(f"g{a}") for a in "xyz"}
-    rows = boxes
-    for a in "xyz":
-        rows = rows.select("*", spans[a])
-    points = spread_out(points)
-    placed = points.select("*", *[_cell(a, cell).alias(f"g{a}") for a in "xyz"])
-    inside = [F.abs(F.col(a) - F.col(f"b{a}")) <= F.col("half") for a in "xyz"]
-    met = placed.join(rows.hint("merge"), ["gx", "gy", "gz"]).where(inside[0] & inside[1] & inside[2]).groupBy("point_id", "x", "y", "z").agg(F.min("box_id").alias("box_id"))
-    return points.select("point_id", "x", "y", "z").distinct().join(met, ["point_id", "x", "y", "z"], "left")
+    places = boxes.groupBy("bx", "by", "bz", "half").agg(F.min("box_id").alias("box_id"))
+    return first_of(points, places.select("box_id", "bx", "by", "bz", *[F.col("half").alias(f"h{a}") for a in "xyz"]), [], distinct=True).select("point_id", "x", "y", "z", "box.box_id")
 
 
 #: Points in one list of ``nearest_neighbours``.

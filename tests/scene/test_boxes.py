@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from splatloom.operators import boxes
 from splatloom.operators.boxes import first_posed_box
+from splatloom.operators.spatial import first_box
 
 BOX = "frame int, box_id long, bx double, by double, bz double, hx double, hy double, hz double, qw double, qx double, qy double, qz double"
 
@@ -61,3 +62,25 @@ def test_of_many_boxes_upon_each_other_few_are_met(spark, monkeypatch, first, in
     pairs = table.select("frame", *[F.floor(F.col(a) / size).alias(f"g{a}") for a in "xyz"]).join(lists, ["frame", "gx", "gy", "gz"]).agg(F.sum(F.size("boxes"))).first()[0]
     # All pairs in one cell of the boxes' own size would be millions.
     assert pairs < 30 * len(points) and several == (in_list == 3)
+
+
+def test_of_boxes_in_one_place_only_the_first_is_met(spark, monkeypatch):
+    found = []
+
+    def spied(*args, listed=boxes.listed):
+        found.append(listed(*args))
+        return found[-1]
+
+    monkeypatch.setattr(boxes, "listed", spied)
+    table = spark.range(2000).select((F.col("id") % 1900).alias("point_id"), *[(F.col("id") % 1900 * k % 101 / 25.25).alias(a) for a, k in zip("xyz", (7, 11, 13), strict=True)])
+    many = spark.range(20_000).select((99_999 - F.col("id")).alias("box_id"), *[(F.col("id") % 500 * k % 37 / 9.25).alias(f"b{a}") for a, k in zip("xyz", (3, 5, 8), strict=True)], F.lit(0.3).alias("half"))
+    got = first_box(table, many).collect()
+    places = {tuple(x)[1:4]: x["box_id"] for x in many.orderBy(F.desc("box_id")).collect()}
+    at, ids = np.array(list(places)), np.array(list(places.values()))
+    assert len(got) == 1900
+    for x in got:
+        inside = ids[(np.abs(at - [x["x"], x["y"], x["z"]]) <= 0.3).all(1)]
+        assert x["box_id"] == (int(inside.min()) if len(inside) else None)
+    lists, size, _ = found[0]
+    pairs = table.select(*[F.floor(F.col(a) / size).alias(f"g{a}") for a in "xyz"]).join(lists, ["gx", "gy", "gz"]).agg(F.sum(F.size("boxes"))).first()[0]
+    assert 0 < pairs < 4 * 2000
