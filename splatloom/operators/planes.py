@@ -7,9 +7,11 @@ not in the table hold 1 in planes with time, else the ``rest`` value.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ AXES = ("x", "y", "z", "t")
 PAIRS = list(combinations(range(len(AXES)), 2))
 #: Cells along each side of a block; a block also has the first cells of the next ones.
 BLOCK = 8
+#: Values of all planes that every task holds as a whole; larger planes are looked up by blocks.
+HELD = 2**20
 
 
 def resolutions(base: Sequence[int], scales: Sequence[int] = (1, 2)) -> list[tuple[int, ...]]:
@@ -42,6 +46,46 @@ def blocks(cells: DataFrame, features: int, rest: float) -> DataFrame:
     return held.select(*keys, F.transform(F.sequence(F.lit(0), F.lit((BLOCK + 1) ** 2 - 1)), lambda k: F.coalesce(F.try_element_at("held", k), empty)).alias("grid"))
 
 
+def _whole(cells: DataFrame, sizes: Sequence[Sequence[int]], features: int, rest: float) -> list[list[np.ndarray]]:
+    """For each scale and plane the values of all its cells, a row for each."""
+    made = [[np.full((size[a], size[b], features), 1.0 if b == 3 else rest) for a, b in PAIRS] for size in sizes]
+    inside = F.lit(False)
+    for s, size in enumerate(sizes):
+        for p, (a, b) in enumerate(PAIRS):
+            inside = inside | ((F.col("scale") == s) & (F.col("plane") == p) & F.col("i").between(0, size[a] - 1) & F.col("j").between(0, size[b] - 1))
+    known = cells.where(inside).select(*[F.col(c).cast("long") for c in ("scale", "plane", "i", "j")], *[F.element_at("values", n + 1).cast("double").alias(f"v{n}") for n in range(features)]).toArrow()
+    scale, plane, i, j, *values = (known.column(c).to_numpy() for c in known.column_names)
+    values = np.stack(values, 1)
+    for s, planes in enumerate(made):
+        for p, grid in enumerate(planes):
+            own = (scale == s) & (plane == p)
+            grid[i[own], j[own]] = values[own]
+    return [[grid.reshape(-1, features) for grid in planes] for planes in made]
+
+
+def _sampled(planes: list[list[np.ndarray]], sizes: Sequence[Sequence[int]], features: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unit = [batch.column(a).to_numpy() for a in AXES]
+            made = np.ones((batch.num_rows, len(sizes), features))
+            for s, size in enumerate(sizes):
+                at = [u * (n - 1) for u, n in zip(unit, size, strict=True)]
+                low = [np.minimum(np.floor(c), n - 2).astype(np.int64) for c, n in zip(at, size, strict=True)]
+                part = [(c - k)[:, None] for c, k in zip(at, low, strict=True)]
+                for p, (a, b) in enumerate(PAIRS):
+                    grid, first, u, v = planes[s][p], low[a] * size[b] + low[b], part[a], part[b]
+                    value = grid.take(first, 0) * ((1 - u) * (1 - v))
+                    value += grid.take(first + size[b], 0) * (u * (1 - v))
+                    value += grid.take(first + 1, 0) * ((1 - u) * v)
+                    value += grid.take(first + size[b] + 1, 0) * (u * v)
+                    made[:, s] *= value
+            width = len(sizes) * features
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, batch.num_rows * width + 1, width, dtype=np.int32)), pa.array(made.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("point_id"), lists], ["point_id", "features"])
+
+    return run
+
+
 def sample(points: DataFrame, cells: DataFrame, sizes: Sequence[Sequence[int]], features: int, bounds: float = 1.6, rest: float = 0.0) -> DataFrame:
     """(point_id, features): for each point of distinct point_id its feature array, scale after scale.
 
@@ -49,10 +93,14 @@ def sample(points: DataFrame, cells: DataFrame, sizes: Sequence[Sequence[int]],
     [-bounds, bounds], against the direction of the cells; t counts in [-1, 1]; points outside take
     the value of the edge.  ``sizes`` has the cells along each axis for each scale, at least two.
 
-    A point looks up one block in each plane, so only samples are shuffled, one for each plane, and no cell; a
+    Planes of at most HELD values are sent to the tasks as a whole, and each point is a row from begin to end.
+    Of larger ones a point looks up one block in each plane, so only samples are shuffled, one for each plane, and no cell; a
     block is bounded in size, and points in one block are many rows of a join that Spark may split.
     """
     unit = [F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col(a) if a == "t" else -F.col(a) / bounds) + 1) / 2)).alias(a) for a in AXES]
+    if features * sum(size[a] * size[b] for size in sizes for a, b in PAIRS) <= HELD:
+        rows = points.select("point_id", *unit)
+        return rows.mapInArrow(_sampled(_whole(cells, sizes, features, rest), sizes, features), f"point_id {rows.schema['point_id'].dataType.simpleString()}, features array<double>")
     looks = []
     for s, size in enumerate(sizes):
         for p, (a, b) in enumerate(PAIRS):

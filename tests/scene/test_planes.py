@@ -3,6 +3,7 @@
 import numpy as np
 
 from splatloom.operators import planes as P
+from splatloom.plans.fields import field_points
 
 
 def test_samples_and_regularisers_equal_numpy(spark):
@@ -46,3 +47,34 @@ def test_samples_and_regularisers_equal_numpy(spark):
         loss += smooth * (3.0 if x["timed"] else 2.0) + (0.5 * np.abs(1 - g).mean() if x["timed"] else 0.0)
     assert np.isclose(P.regularisation(cells, sizes, features, 2.0, 3.0, 0.5, rest).first()["loss"], loss)
     assert P.regularisation(cells.where("false"), sizes, features).first()["loss"] == 0.0
+
+
+def test_points_in_whole_planes_are_not_multiplied_and_equal_those_by_blocks(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    sizes = P.resolutions((11, 9, 17, 3))
+    rows = {(s, p, int(r.integers(0, sizes[s][a])), int(r.integers(0, sizes[s][b]))) for s in range(2) for p, (a, b) in enumerate(P.PAIRS) for _ in range(30)}
+    cells = spark.createDataFrame([(*k, [float(v) for v in r.normal(size=2)]) for k in sorted(rows)], "scale int, plane int, i int, j int, values array<double>")
+    points = [[float(v) for v in p] for p in r.uniform(-2, 2, (200, 4))] + [[None, 0.5, float("nan"), None], [float("inf"), float("-inf"), -0.0, 1.0]]
+    table = spark.createDataFrame([(k, *p) for k, p in enumerate(points)], "point_id long, x double, y double, z double, t double")
+    whole = P.sample(table, cells, sizes, 2, rest=0.2)
+    plan = whole._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan and "Generate" not in plan
+    got = {x["point_id"]: x["features"] for x in whole.collect()}
+    monkeypatch.setattr(P, "HELD", 0)
+    want = {x["point_id"]: x["features"] for x in P.sample(table, cells, sizes, 2, rest=0.2).collect()}
+    assert len(got) == len(points) and got.keys() == want.keys()
+    for k in got:
+        assert np.allclose(got[k], want[k], rtol=1e-13, atol=1e-13), points[k]
+
+
+def test_the_first_line_of_several_files_counts(spark, tmp_path):
+    for name, q in (("b", 20.0), ("a", 10.0), ("c", 30.0)):
+        lines = spark.createDataFrame([(n, 1, q + n, 0.01, 20000.0) for n in range(4)] + [(n, 1, 49.0, 0.01, 20000.0) for n in range(4)], "l_orderkey long, l_linenumber int, l_quantity double, l_discount double, l_extendedprice double")
+        lines.coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        (next((tmp_path / name).glob("*.parquet"))).rename(tmp_path / f"{name}.parquet")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for name in "bac":
+        (tmp_path / f"{name}.parquet").rename(tmp_path / "lineitem.parquet" / f"{name}.parquet")
+    plan = field_points(spark, str(tmp_path))
+    assert "SortAggregate" not in plan._jdf.queryExecution().executedPlan().toString()
+    assert {x["point_id"]: x["x"] for x in plan.collect()} == {n * 8 + 1: (10 + n) / 10 - 2.5 for n in range(4)}
